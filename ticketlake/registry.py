@@ -67,3 +67,299 @@ def q_dealer(spark, sf_dir):
 @register("a3", "SELECT * FROM prod ORDER BY total_tickets DESC")
 def q_product(spark, sf_dir):
     return marts.product_defects(enriched(spark, sf_dir))
+
+
+# --- KPI questions (F*, A9-A23, K*, P15, T*) ------------------------------------------
+
+from .operators import forecast as fc  # noqa: E402
+from .operators import kpi  # noqa: E402
+from .oracle_sql import pct as _opct  # noqa: E402
+from .oracle_sql import r2 as _or2  # noqa: E402
+
+FLT = kpi.KpiFilter(team="Brake Systems", severity="High", date_from="1996-01-15", date_to="1999-06-30")
+_W = ("WHERE assigned_team = 'Brake Systems' AND severity_level = 'High' "
+      "AND created_date BETWEEN DATE '1996-01-15' AND DATE '1999-06-30'")
+_MW = "WHERE created_month BETWEEN DATE '1996-01-15' AND DATE '1999-06-30'"
+
+
+def team_mart(spark, sf_dir):
+    return marts.team_workload(enriched(spark, sf_dir))
+
+
+def dealer_mart(spark, sf_dir):
+    return marts.dealer_performance(enriched(spark, sf_dir))
+
+
+def prod_mart(spark, sf_dir):
+    return marts.product_defects(enriched(spark, sf_dir))
+
+
+@register("f1_f3_filtered_detail", f"SELECT * FROM kpi {_W}")
+def q_filtered(spark, sf_dir):
+    return kpi.filtered_fact(fact(spark, sf_dir), FLT)
+
+
+def _overview_sql(where: str) -> str:
+    return f"""SELECT count(*) AS total_tickets,
+       count(*) FILTER (WHERE is_open) AS open_tickets,
+       count(*) FILTER (WHERE is_closed) AS closed_tickets,
+       {_or2("avg(resolution_hours) FILTER (WHERE is_closed)", 1)} AS avg_resolution_h,
+       {_opct("count(*) FILTER (WHERE is_sla_breach = true)", "count(*) FILTER (WHERE is_closed)", 1)} AS sla_breach_rate_pct,
+       {_opct("count(*) FILTER (WHERE is_open)", "count(*)", 1)} AS open_share_pct
+FROM kpi {where}"""
+
+
+@register("a9_a10_overview", _overview_sql(""))
+def q_overview(spark, sf_dir):
+    return kpi.overview(fact(spark, sf_dir))
+
+
+@register("a9_overview_filtered", _overview_sql(_W))
+def q_overview_f(spark, sf_dir):
+    return kpi.overview(fact(spark, sf_dir), FLT)
+
+
+@register("a13", f"SELECT severity_level AS severity, count(*) AS count FROM kpi {_W} GROUP BY 1 ORDER BY 2 DESC")
+def q_sev(spark, sf_dir):
+    return kpi.severity_distribution(fact(spark, sf_dir), FLT)
+
+
+@register("a13_all", "SELECT severity_level AS severity, count(*) AS count FROM kpi GROUP BY 1 ORDER BY 2 DESC")
+def q_sev_all(spark, sf_dir):
+    return kpi.severity_distribution(fact(spark, sf_dir))
+
+
+@register("a14_k3", """SELECT resolution_bucket, count(*) AS count FROM kpi GROUP BY 1
+ORDER BY CASE resolution_bucket WHEN 'Open' THEN 0 WHEN '0–4h' THEN 1 WHEN '4–24h' THEN 2
+ WHEN '24–72h' THEN 3 WHEN '3–7 days' THEN 4 ELSE 5 END""")
+def q_bucket(spark, sf_dir):
+    return kpi.bucket_distribution(fact(spark, sf_dir))
+
+
+@register("a15", "SELECT CAST(date_trunc('week', created_date) AS DATE) AS week, count(*) AS count "
+                 "FROM kpi GROUP BY 1 ORDER BY 1")
+def q_weekly(spark, sf_dir):
+    return kpi.weekly_volume(fact(spark, sf_dir))
+
+
+_WEEKLY = "weekly AS (SELECT CAST(date_trunc('week', created_date) AS DATE) AS week, count(*) AS count FROM kpi GROUP BY 1)"
+_XS = "xs AS (SELECT week, CAST(count AS DOUBLE) AS y, CAST(row_number() OVER (ORDER BY week) - 1 AS DOUBLE) AS x FROM weekly)"
+
+
+@register("t1", f""", {_WEEKLY}, {_XS}
+SELECT count(*) AS weeks, {_or2('regr_slope(y, x)', 6)} AS slope, {_or2('regr_intercept(y, x)', 6)} AS intercept
+FROM xs HAVING count(*) >= 3""")
+def q_trend(spark, sf_dir):
+    return fc.trend(kpi.weekly_volume(fact(spark, sf_dir)))
+
+
+@register("t2_u1", f""", {_WEEKLY}, {_XS},
+fit AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n, max(week) AS last_week
+        FROM xs HAVING count(*) >= 3)
+SELECT week, CAST(count AS DOUBLE) AS count, 'actual' AS kind FROM weekly
+UNION ALL
+SELECT CAST(last_week + CAST(7 * i AS INTEGER) AS DATE) AS week, {_or2('greatest(0.0, a + b * (n - 1 + i))', 4)} AS count,
+       'forecast' AS kind
+FROM fit, range(1, 5) t(i)""")
+def q_forecast(spark, sf_dir):
+    return fc.weekly_forecast(kpi.weekly_volume(fact(spark, sf_dir)))
+
+
+@register("t2_by_team", f""", wk AS (SELECT assigned_team, CAST(date_trunc('week', created_date) AS DATE) AS week,
+   count(*) AS count FROM kpi GROUP BY 1, 2),
+xs AS (SELECT assigned_team, week, CAST(count AS DOUBLE) AS y,
+   CAST(row_number() OVER (PARTITION BY assigned_team ORDER BY week) - 1 AS DOUBLE) AS x FROM wk),
+fit AS (SELECT assigned_team, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n, max(week) AS last_week
+        FROM xs GROUP BY assigned_team HAVING count(*) >= 3)
+SELECT assigned_team, week, CAST(count AS DOUBLE) AS count, 'actual' AS kind FROM wk
+UNION ALL
+SELECT assigned_team, CAST(last_week + CAST(7 * i AS INTEGER) AS DATE) AS week,
+       {_or2('greatest(0.0, a + b * (n - 1 + i))', 4)} AS count, 'forecast' AS kind
+FROM fit, range(1, 5) t(i)""")
+def q_forecast_team(spark, sf_dir):
+    return fc.weekly_forecast(kpi.weekly_volume(fact(spark, sf_dir), by=["assigned_team"]), by=["assigned_team"])
+
+
+_TEAM_SUM = f"""SELECT assigned_team AS "Team", sum(total_tickets) AS "Total", sum(open_tickets) AS "Open",
+  {_or2('sum(avg_resolution_hours * closed_tickets) / nullif(sum(closed_tickets), 0)', 1)} AS "Avg Resolution (h)",
+  {_opct('sum(sla_breached_tickets)', 'sum(closed_tickets)', 1)} AS "SLA Breach %",
+  {_or2('avg(critical_pct)', 1)} AS "Critical %",
+  {_opct('sum(critical_tickets)', 'sum(total_tickets)', 1)} AS "Critical % (weighted)"
+FROM team {{w}} GROUP BY 1 ORDER BY 2 DESC"""
+
+
+@register("a11_k6", _TEAM_SUM.format(w=""))
+def q_team_sum(spark, sf_dir):
+    return kpi.team_summary(team_mart(spark, sf_dir))
+
+
+@register("a11_f4_month_filter", _TEAM_SUM.format(w=_MW))
+def q_team_sum_f(spark, sf_dir):
+    return kpi.team_summary(team_mart(spark, sf_dir), FLT)
+
+
+_DEALER_SUM = f"""SELECT dealer_label AS "Dealer", dealer_country AS "Country", sum(total_tickets) AS "Total Tickets",
+  sum(distinct_vehicles) AS "Vehicles",
+  {_opct('sum(sla_breached_tickets)', 'sum(closed_tickets)', 1)} AS "SLA Breach %",
+  {_or2('sum(avg_resolution_hours * closed_tickets) / nullif(sum(closed_tickets), 0)', 1)} AS "Avg Resolution (h)",
+  {_or2('avg(warranty_rate_pct)', 1)} AS "Warranty %"
+FROM dealer {{w}} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20"""
+
+
+@register("a12", _DEALER_SUM.format(w=""))
+def q_dealer_sum(spark, sf_dir):
+    return kpi.dealer_summary(dealer_mart(spark, sf_dir))
+
+
+@register("a12_month_filter", _DEALER_SUM.format(w=_MW))
+def q_dealer_sum_f(spark, sf_dir):
+    return kpi.dealer_summary(dealer_mart(spark, sf_dir), FLT)
+
+
+@register("k5_volume", f"""SELECT * FROM ({_DEALER_SUM.format(w='')}) s ORDER BY "Total Tickets" DESC, 1, 2 LIMIT 10""")
+def q_k5v(spark, sf_dir):
+    return kpi.top_dealers(kpi.dealer_summary(dealer_mart(spark, sf_dir)), "Total Tickets")
+
+
+@register("k5_sla", f"""SELECT * FROM ({_DEALER_SUM.format(w='')}) s ORDER BY "SLA Breach %" DESC NULLS LAST, 1, 2 LIMIT 10""")
+def q_k5s(spark, sf_dir):
+    return kpi.top_dealers(kpi.dealer_summary(dealer_mart(spark, sf_dir)), "SLA Breach %")
+
+
+@register("k4", """SELECT product_family AS "Product Family", component_name AS "Component", fault_mode AS "Fault Mode",
+  total_tickets AS "Tickets", affected_vehicles AS "Vehicles", critical_rate_pct AS "Critical %",
+  warranty_rate_pct AS "Warranty %", avg_resolution_hours AS "Avg Resolution (h)"
+FROM prod ORDER BY total_tickets DESC, product_family, product_code, component_name, fault_code, fault_mode NULLS LAST
+LIMIT 30""")
+def q_k4(spark, sf_dir):
+    return kpi.top_product_defects(prod_mart(spark, sf_dir))
+
+
+@register("a16", "SELECT product_family, sum(total_tickets) AS tickets FROM prod WHERE product_family IS NOT NULL "
+                 "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+def q_a16(spark, sf_dir):
+    return kpi.tickets_by(prod_mart(spark, sf_dir), "product_family")
+
+
+@register("a17", "SELECT fault_mode, sum(total_tickets) AS tickets FROM prod WHERE fault_mode IS NOT NULL "
+                 "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+def q_a17(spark, sf_dir):
+    return kpi.tickets_by(prod_mart(spark, sf_dir), "fault_mode")
+
+
+@register("a18_teams", "SELECT DISTINCT assigned_team FROM kpi WHERE assigned_team IS NOT NULL ORDER BY 1")
+def q_a18t(spark, sf_dir):
+    return kpi.filter_options(fact(spark, sf_dir), "assigned_team")
+
+
+@register("a18_severities", "SELECT DISTINCT severity_level FROM kpi WHERE severity_level IS NOT NULL ORDER BY 1")
+def q_a18s(spark, sf_dir):
+    return kpi.filter_options(fact(spark, sf_dir), "severity_level")
+
+
+@register("a19", "SELECT min(created_date) AS min_date, max(created_date) AS max_date FROM kpi")
+def q_a19(spark, sf_dir):
+    return kpi.date_bounds(fact(spark, sf_dir))
+
+
+_TEAM_EXPORT = """SELECT assigned_team AS "Team", created_month AS "Month", total_tickets AS "Total Tickets",
+  open_tickets AS "Open", closed_tickets AS "Closed", sla_breached_tickets AS "SLA Breached",
+  sla_breach_rate_pct AS "SLA Breach %", avg_resolution_hours AS "Avg Resolution (h)",
+  median_resolution_hours AS "Median Resolution (h)", critical_tickets AS "Critical",
+  high_severity_tickets AS "High Severity", warranty_claims AS "Warranty Claims",
+  critical_pct AS "Critical %", warranty_pct AS "Warranty %"
+FROM team {w} ORDER BY 2 DESC, 1"""
+
+
+@register("p15_team_k2", _TEAM_EXPORT.format(w=_MW))
+def q_p15t(spark, sf_dir):
+    return kpi.team_export(team_mart(spark, sf_dir), FLT)
+
+
+@register("p15_dealer", """SELECT dealer_label AS "Dealer", dealer_country AS "Country", created_month AS "Month",
+  total_tickets AS "Total Tickets", closed_tickets AS "Closed", distinct_vehicles AS "Vehicles",
+  sla_breached_tickets AS "SLA Breached", sla_breach_rate_pct AS "SLA Breach %",
+  avg_resolution_hours AS "Avg Resolution (h)", warranty_rate_pct AS "Warranty %"
+FROM dealer ORDER BY 3 DESC, 1""")
+def q_p15d(spark, sf_dir):
+    return kpi.dealer_export(dealer_mart(spark, sf_dir))
+
+
+@register("p15_product", """SELECT product_family AS "Product Family", component_name AS "Component",
+  fault_mode AS "Fault Mode", total_tickets AS "Total Tickets", affected_vehicles AS "Vehicles",
+  critical_rate_pct AS "Critical %", warranty_rate_pct AS "Warranty %",
+  avg_resolution_hours AS "Avg Resolution (h)", median_resolution_hours AS "Median Resolution (h)"
+FROM prod ORDER BY total_tickets DESC""")
+def q_p15p(spark, sf_dir):
+    return kpi.product_export(prod_mart(spark, sf_dir))
+
+
+@register("s15_summary", f"""SELECT "Metric", "Value" FROM (
+  SELECT 1 AS i, 'Total Tickets' AS "Metric", CAST(total_tickets AS VARCHAR) AS "Value" FROM o
+  UNION ALL SELECT 2, 'Open Tickets', CAST(open_tickets AS VARCHAR) FROM o
+  UNION ALL SELECT 3, 'Closed Tickets', CAST(closed_tickets AS VARCHAR) FROM o
+  UNION ALL SELECT 4, 'Avg Resolution Time', CASE WHEN avg_resolution_h IS NULL THEN '—'
+       ELSE printf('%.1fh', avg_resolution_h) END FROM o
+  UNION ALL SELECT 5, 'SLA Breach Rate', CASE WHEN sla_breach_rate_pct IS NULL THEN '—'
+       ELSE printf('%.1f%%', sla_breach_rate_pct) END FROM o) s ORDER BY i""".replace(
+    "FROM o", f"FROM ({_overview_sql(_W)}) o"))
+def q_summary(spark, sf_dir):
+    return kpi.summary_export(kpi.overview(fact(spark, sf_dir), FLT))
+
+
+@register("a22_sla_by_team_month", """SELECT assigned_team, created_month, sla_breached_tickets, closed_tickets,
+  sla_breach_rate_pct FROM team ORDER BY 3 DESC, 1, 2""")
+def q_a22a(spark, sf_dir):
+    return kpi.teams_by_sla_breaches(team_mart(spark, sf_dir))
+
+
+@register("a22_slowest_dealers", f"""SELECT dealer_code, dealer_label, sum(closed_tickets) AS closed_tickets,
+  {_or2('sum(avg_resolution_hours * closed_tickets) / nullif(sum(closed_tickets), 0)')} AS avg_resolution_hours
+FROM dealer GROUP BY 1, 2 ORDER BY 4 DESC NULLS LAST, 1""")
+def q_a22b(spark, sf_dir):
+    return kpi.slowest_dealers(dealer_mart(spark, sf_dir))
+
+
+@register("a22_warranty_by_family", f"""SELECT product_family, sum(warranty_claims) AS warranty_claims,
+  sum(total_tickets) AS total_tickets, {_opct('sum(warranty_claims)', 'sum(total_tickets)')} AS warranty_rate_pct
+FROM prod GROUP BY 1 ORDER BY 2 DESC, 1""")
+def q_a22c(spark, sf_dir):
+    return kpi.warranty_by_family(prod_mart(spark, sf_dir))
+
+
+@register("a22_monthly_by_severity", """SELECT created_month, severity_level, count(*) AS tickets FROM kpi
+GROUP BY 1, 2 ORDER BY 1, 2""")
+def q_a22d(spark, sf_dir):
+    return kpi.monthly_volume_by_severity(fact(spark, sf_dir))
+
+
+@register("a22_resolution_spread", f"""SELECT severity_level, count(*) FILTER (WHERE is_closed) AS closed_tickets,
+  {_or2("quantile_cont(resolution_hours, 0.25) FILTER (WHERE is_closed)")} AS p25_hours,
+  {_or2("quantile_cont(resolution_hours, 0.5) FILTER (WHERE is_closed)")} AS p50_hours,
+  {_or2("quantile_cont(resolution_hours, 0.75) FILTER (WHERE is_closed)")} AS p75_hours,
+  {_or2("quantile_cont(resolution_hours, 0.9) FILTER (WHERE is_closed)")} AS p90_hours
+FROM kpi GROUP BY 1 ORDER BY 1""")
+def q_a22e(spark, sf_dir):
+    return kpi.resolution_spread_by_severity(fact(spark, sf_dir))
+
+
+@register("a23_team", f"""SELECT assigned_team, count(*) AS total_tickets,
+  count(*) FILTER (WHERE ticket_status = 'Escalated') AS escalated_tickets,
+  {_opct("count(*) FILTER (WHERE ticket_status = 'Escalated')", 'count(*)')} AS escalation_rate_pct
+FROM kpi GROUP BY 1 ORDER BY 1""")
+def q_a23t(spark, sf_dir):
+    return kpi.escalation_rate(fact(spark, sf_dir), ["assigned_team"])
+
+
+@register("a23_overall", f"""SELECT count(*) AS total_tickets,
+  count(*) FILTER (WHERE ticket_status = 'Escalated') AS escalated_tickets,
+  {_opct("count(*) FILTER (WHERE ticket_status = 'Escalated')", 'count(*)')} AS escalation_rate_pct FROM kpi""")
+def q_a23o(spark, sf_dir):
+    return kpi.escalation_rate(fact(spark, sf_dir))
+
+
+@register("a23_channel_status", """SELECT source_channel, ticket_status, count(*) AS tickets FROM kpi
+GROUP BY 1, 2 ORDER BY 1, 2""")
+def q_a23c(spark, sf_dir):
+    return fact(spark, sf_dir).groupBy("source_channel", "ticket_status").agg(
+        kpi.F.count(kpi.F.lit(1)).alias("tickets")).orderBy("source_channel", "ticket_status")
