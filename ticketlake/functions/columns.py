@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import re as _re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,3 +85,9 @@ def sanitize_name(name: str | Column, default: str = "synthetic-dataset") -> Col
     s = F.regexp_replace(s, r"[^A-Za-z0-9_.-]+", "-")
     s = F.regexp_replace(s, r"^[-._]+|[-._]+$", "")
     return F.when(F.length(s) > 0, s).otherwise(F.lit(default))
+
+
+def sanitize_name_value(name: str, default: str = "synthetic-dataset") -> str:
+    """Scalar form of :func:`sanitize_name` for a single name given by a caller."""
+    s = _re.sub(r"[^A-Za-z0-9_.-]+", "-", (name or "").strip()).strip("-._")
+    return s or default

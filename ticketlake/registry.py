@@ -363,3 +363,166 @@ GROUP BY 1, 2 ORDER BY 1, 2""")
 def q_a23c(spark, sf_dir):
     return fact(spark, sf_dir).groupBy("source_channel", "ticket_status").agg(
         kpi.F.count(kpi.F.lit(1)).alias("tickets")).orderBy("source_channel", "ticket_status")
+
+
+# --- columns, ad-hoc SQL, storage (P1-P9, N1, F9, A20, A21, S*) ----------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from .functions.columns import sanitize_name  # noqa: E402
+from .operators import columns as cols  # noqa: E402
+from .operators import sqlrun  # noqa: E402
+from .sources import storage  # noqa: E402
+
+
+def tickets_internal(spark, sf_dir):
+    """Raw tickets with internal names, registered as view ``tickets``."""
+    return storage.register_tickets(tickets_raw(spark, sf_dir))
+
+
+@register("p1_s6", "SELECT * FROM tickets")
+def q_normalize(spark, sf_dir):
+    return tickets_internal(spark, sf_dir)
+
+
+@register("p2", """SELECT ticket_id, coalesce(created_date, creation_date) AS creation_date, assigned_team
+FROM (SELECT ticket_id, CASE WHEN ticket_status = 'Closed' THEN NULL ELSE created_date END AS created_date,
+             closed_date AS creation_date, assigned_team FROM raw) s""")
+def q_merge(spark, sf_dir):
+    raw = tickets_raw(spark, sf_dir)
+    both = raw.select(
+        "ticket_id",
+        F.when(F.col("ticket_status") == "Closed", F.lit(None)).otherwise(F.col("created_date")).alias("created_date"),
+        F.col("closed_date").alias("creation_date"),
+        "assigned_team",
+    )
+    return cols.normalize_columns(both)
+
+
+@register("p4", """SELECT ticket_id AS ticket_uuid, product AS product_family, component AS component_name,
+  failure_mode AS fault_mode, severity AS severity_level, severity_cur AS current_severity, region AS geo_region,
+  customer_type AS customer_segment, ticket_channel AS source_channel, description AS issue_description,
+  assigned_team AS route_team, status AS ticket_status, sub_status AS ticket_substatus, status_line AS status_state,
+  creation_datetime AS created_timestamp, creation_date, close_datetime AS closed_timestamp,
+  close_date AS closed_date, creator_country AS reporter_country, creator_department AS reporter_department,
+  owner_country AS handler_country, owner_department AS handler_department, dealer_id AS dealer_code,
+  dealer_name AS dealer_label, dealer_country AS dealer_country_code, dealer_state AS dealer_state_code,
+  dealer_city AS dealer_city_name, time_to_close_seconds AS resolution_seconds,
+  first_queued_seconds AS first_queue_seconds, vin_number AS vehicle_vin, chassis_number AS vehicle_chassis,
+  mileage AS odometer_reading, mileage_unit AS odometer_unit, error_code AS fault_code, sr_type AS service_request_type,
+  sr_area AS service_request_area, product_id AS product_code, chassis_serie AS chassis_series
+FROM tickets""")
+def q_public(spark, sf_dir):
+    return cols.to_public(tickets_internal(spark, sf_dir))
+
+
+@register("p6", "SELECT ticket_uuid, issue_description, severity_level FROM "
+                "(SELECT ticket_id AS ticket_uuid, description AS issue_description, severity AS severity_level "
+                "FROM tickets) s")
+def q_select(spark, sf_dir):
+    public = cols.to_public(tickets_internal(spark, sf_dir))
+    return cols.select_columns(public, ["ticket_id", " ", "issue_description", "severity", "ticket_uuid"])
+
+
+@register("p8", "SELECT ticket_id, description, assigned_team, severity_level FROM "
+                "(SELECT ticket_id, description, assigned_team, severity AS severity_level FROM tickets) s")
+def q_roles(spark, sf_dir):
+    public = cols.to_public(tickets_internal(spark, sf_dir))
+    return cols.prepare_training_columns(
+        public, include_columns=["ticket_uuid", "issue_description", "route_team", "severity_level"])
+
+
+@register("p9")
+def q_auto_id(spark, sf_dir):
+    public = cols.to_public(tickets_internal(spark, sf_dir))
+    return cols.prepare_training_columns(
+        public, include_columns=["issue_description", "severity_level", "route_team"],
+        assigned_team_column="", ticket_id_column="")
+
+
+@register("p17_p18", """SELECT ticket_id, ticket_status,
+  CASE WHEN ticket_status IN ('Resolved', 'Closed') THEN 'Closed' ELSE 'Open' END AS status_line,
+  CASE WHEN closed_at IS NULL THEN NULL ELSE epoch(closed_at - created_at) END AS resolution_seconds
+FROM stg""")
+def q_status_line(spark, sf_dir):
+    from .functions.columns import seconds_between
+    s = staged(spark, sf_dir)
+    return s.select(
+        "ticket_id", "ticket_status",
+        F.when(F.col("ticket_status").isin("Resolved", "Closed"), F.lit("Closed")).otherwise(F.lit("Open"))
+        .alias("status_line"),
+        F.when(F.col("closed_at").isNotNull(), seconds_between("created_at", "closed_at")).alias("resolution_seconds"),
+    )
+
+
+@register("n1", """SELECT dealer_label,
+  CASE WHEN s = '' THEN 'synthetic-dataset' ELSE s END AS dataset_name
+FROM (SELECT dealer_label, regexp_replace(regexp_replace(trim(dealer_label), '[^A-Za-z0-9_.-]+', '-', 'g'),
+        '^[-._]+|[-._]+$', '', 'g') AS s FROM (SELECT DISTINCT dealer_label FROM raw) d) x""")
+def q_sanitize(spark, sf_dir):
+    return tickets_raw(spark, sf_dir).select("dealer_label").distinct().select(
+        "dealer_label", sanitize_name("dealer_label").alias("dataset_name"))
+
+
+@register("s3_p16", "SELECT *, created_date AS creation_date FROM raw ORDER BY ticket_id LIMIT 5000")
+def q_preview(spark, sf_dir):
+    return storage.preview(tickets_raw(spark, sf_dir), 10_000)
+
+
+@register("s4", """SELECT true AS "exists", count(*) AS row_count, 38 AS column_count, true AS routing_capable FROM raw""")
+def q_status(spark, sf_dir):
+    return storage.dataset_status(tickets_raw(spark, sf_dir))
+
+
+@register("s17")
+def q_fingerprint(spark, sf_dir):
+    return storage.fingerprint(tickets_raw(spark, sf_dir))
+
+
+@register("a20", """SELECT "column", value, count(*) AS count FROM (
+  SELECT 'severity' AS "column", severity AS value FROM tickets UNION ALL
+  SELECT 'status', status FROM tickets UNION ALL
+  SELECT 'region', region FROM tickets UNION ALL
+  SELECT 'ticket_channel', ticket_channel FROM tickets UNION ALL
+  SELECT 'customer_type', customer_type FROM tickets) u
+WHERE value IS NOT NULL GROUP BY 1, 2""")
+def q_value_counts(spark, sf_dir):
+    return kpi.value_counts(tickets_internal(spark, sf_dir),
+                            ["severity", "status", "region", "ticket_channel", "customer_type"])
+
+
+_STARTER_KEYS = {
+    "a21_tickets_per_team": "Tickets per team",
+    "a21_avg_resolution_by_severity": "Avg resolution by severity",
+    "a21_open_by_region": "Open tickets by region",
+    "a21_top_failure_modes": "Top failure modes",
+    "a21_open_critical": "Open critical tickets",
+}
+
+
+def _starter(title):
+    def run(spark, sf_dir):
+        tickets_internal(spark, sf_dir)
+        return sqlrun.run_select(spark, sqlrun.STARTER_QUERIES[title], limit=sqlrun.DEFAULT_ROWS)
+    return run
+
+
+for _key, _title in _STARTER_KEYS.items():
+    register(_key, sqlrun.STARTER_QUERIES[_title] if "LIMIT" in sqlrun.STARTER_QUERIES[_title]
+             else sqlrun.STARTER_QUERIES[_title] + " LIMIT 500")(_starter(_title))
+
+
+@register("f9_cte", """, t AS (SELECT assigned_team, status FROM tickets)
+SELECT assigned_team, count(*) AS n FROM t WHERE status = 'Escalated' GROUP BY assigned_team LIMIT 500""")
+def q_cte(spark, sf_dir):
+    tickets_internal(spark, sf_dir)
+    return sqlrun.run_select(spark, """WITH t AS (SELECT assigned_team, status FROM tickets)
+SELECT assigned_team, count(*) AS n FROM t WHERE status = :st GROUP BY assigned_team""", args={"st": "Escalated"})
+
+
+@register("x8_open_by_status_line", """SELECT region, COUNT(*) AS open_tickets FROM tickets WHERE status_line = 'Open'
+GROUP BY region ORDER BY open_tickets DESC LIMIT 500""")
+def q_x8(spark, sf_dir):
+    tickets_internal(spark, sf_dir)
+    return sqlrun.run_select(spark, "SELECT region, COUNT(*) AS open_tickets\nFROM tickets\nWHERE status_line = 'Open'\n"
+                                    "GROUP BY region\nORDER BY open_tickets DESC")
