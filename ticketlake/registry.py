@@ -526,3 +526,129 @@ def q_x8(spark, sf_dir):
     tickets_internal(spark, sf_dir)
     return sqlrun.run_select(spark, "SELECT region, COUNT(*) AS open_tickets\nFROM tickets\nWHERE status_line = 'Open'\n"
                                     "GROUP BY region\nORDER BY open_tickets DESC")
+
+
+# --- data quality (Q1-Q8) and data tests (X-*, F8) -------------------------------------
+
+from .operators import expectations as ex  # noqa: E402
+from .operators import quality  # noqa: E402
+from .sources.fixtures import raw_column_exprs  # noqa: E402
+
+# internal column names of `tickets` in order, with their Spark types
+_INTERNAL_COLS = [cols.DEFAULT_PUBLIC_TO_INTERNAL.get(n, n) for n, _ in raw_column_exprs()]
+_RAW_TYPES = {"odometer_reading": "double", "created_timestamp": "timestamp_ntz", "created_date": "date",
+              "closed_timestamp": "timestamp_ntz", "closed_date": "date", "first_queue_seconds": "int",
+              "resolution_seconds": "double"}
+_TYPES = dict(zip(_INTERNAL_COLS, [_RAW_TYPES.get(n, "string") for n, _ in raw_column_exprs()]))
+
+
+def _union(parts):
+    return "\n UNION ALL ".join(parts)
+
+
+@register("q1_q2_q3", f"""SELECT count(*) AS rows, 38 AS columns,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM tickets) d) AS duplicate_rows,
+  {_or2('100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM tickets) d)) / nullif(count(*), 0)', 4)} AS duplicate_pct,
+  {_or2('100.0 * (' + ' + '.join(f'count(*) FILTER (WHERE {c} IS NULL)' for c in _INTERNAL_COLS) + ') / (nullif(count(*), 0) * 38.0)', 4)} AS overall_null_pct
+FROM tickets""")
+def q_overview_quality(spark, sf_dir):
+    return quality.overview(tickets_internal(spark, sf_dir))
+
+
+@register("q4", "SELECT \"column\", null_pct FROM (" + _union(
+    [f"SELECT '{c}' AS \"column\", {_or2(f'100.0 * count(*) FILTER (WHERE {c} IS NULL) / nullif(count(*), 0)', 4)} AS null_pct FROM tickets"
+     for c in _INTERNAL_COLS]) + ") u WHERE null_pct > 0 ORDER BY null_pct DESC, 1")
+def q_nulls(spark, sf_dir):
+    return quality.null_by_column(tickets_internal(spark, sf_dir))
+
+
+@register("q5", "SELECT * FROM (" + _union(
+    [f"SELECT '{c}' AS \"column\", '{_TYPES[c]}' AS type, "
+     f"{_or2(f'100.0 * count(*) FILTER (WHERE {c} IS NULL) / nullif(count(*), 0)', 1)} AS null_pct, "
+     f"count(DISTINCT {c}) AS unique_values, coalesce(CAST(min({c}) AS VARCHAR), '—') AS sample FROM tickets"
+     for c in _INTERNAL_COLS]) + ") u")
+def q_schema(spark, sf_dir):
+    return quality.schema_profile(tickets_internal(spark, sf_dir))
+
+
+_H = "h AS (SELECT try_cast(time_to_close_seconds AS DOUBLE) / 3600.0 AS h FROM tickets WHERE try_cast(time_to_close_seconds AS DOUBLE) IS NOT NULL)"
+
+
+@register("q6_q7", f""", {_H},
+q AS (SELECT quantile_cont(h, 0.25) AS q1, quantile_cont(h, 0.5) AS med, quantile_cont(h, 0.75) AS q3,
+             quantile_cont(h, 0.95) AS p95 FROM h)
+SELECT count(*) AS n, {_or2('any_value(med)', 4)} AS median_hours, {_or2('any_value(p95)', 4)} AS p95_hours,
+  {_or2('any_value(q1)', 4)} AS q1_hours, {_or2('any_value(q3)', 4)} AS q3_hours,
+  {_or2('any_value(q3 - q1)', 4)} AS iqr_hours,
+  count(*) FILTER (WHERE h < q1 - 1.5 * (q3 - q1) OR h > q3 + 1.5 * (q3 - q1)) AS outliers,
+  {_or2('100.0 * count(*) FILTER (WHERE h < q1 - 1.5 * (q3 - q1) OR h > q3 + 1.5 * (q3 - q1)) / nullif(count(*), 0)', 4)} AS outlier_pct
+FROM h, q""")
+def q_res_stats(spark, sf_dir):
+    return quality.resolution_stats(tickets_internal(spark, sf_dir))
+
+
+@register("q8", f""", {_H},
+b AS (SELECT min(h) AS lo, quantile_cont(h, 0.99) AS hi FROM h),
+x AS (SELECT least(59, CAST(floor((least(h, hi) - lo) / ((hi - lo) / 60)) AS INTEGER)) AS bin, lo, (hi - lo) / 60 AS w
+      FROM h, b)
+SELECT bin, {_or2('any_value(lo) + bin * any_value(w)', 4)} AS bin_start,
+  {_or2('any_value(lo) + (bin + 1) * any_value(w)', 4)} AS bin_end, count(*) AS count
+FROM x GROUP BY bin ORDER BY bin""")
+def q_hist(spark, sf_dir):
+    return quality.histogram(tickets_internal(spark, sf_dir))
+
+
+_MODEL_CTE = {"raw": "raw", "staging": "stg", "enriched": "enr", "ticket_kpis": "kpi", "team_workload": "team",
+              "dealer_performance": "dealer", "product_defects": "prod"}
+
+
+def _suite_sql() -> str:
+    parts = []
+    for i, k in enumerate(ex.SUITE):
+        t = _MODEL_CTE[k.model]
+        if k.kind == "unique":
+            f = f"(SELECT count(*) FROM (SELECT {k.column} FROM {t} WHERE {k.column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1) u)"
+        elif k.kind == "not_null":
+            f = f"(SELECT count(*) FROM {t} WHERE {k.column} IS NULL)"
+        elif k.kind == "accepted_values":
+            vals = ", ".join(f"'{v}'" for v in k.values)
+            f = f"(SELECT count(*) FROM {t} WHERE {k.column} IS NOT NULL AND {k.column} NOT IN ({vals}))"
+        else:
+            f = f"(SELECT count(*) FROM {t} WHERE {k.column} IS NOT NULL AND {k.column} < {k.minimum})"
+        parts.append(f"SELECT {i} AS seq, '{k.model}' AS model, '{k.name}' AS test, '{k.column}' AS \"column\", "
+                     f"{f} AS failures")
+    return "SELECT model, test, \"column\", failures, failures = 0 AS passed FROM (" + _union(parts) + ") s ORDER BY seq"
+
+
+def all_models(spark, sf_dir):
+    raw = tickets_raw(spark, sf_dir)
+    stg = stage_tickets(raw)
+    enr = enrich_tickets(stg)
+    return {"raw": raw, "staging": stg, "enriched": enr, "ticket_kpis": marts.ticket_fact(enr),
+            "team_workload": marts.team_workload(enr), "dealer_performance": marts.dealer_performance(enr),
+            "product_defects": marts.product_defects(enr)}
+
+
+@register("x_suite", _suite_sql())
+def q_suite(spark, sf_dir):
+    return ex.run_suite(all_models(spark, sf_dir))
+
+
+@register("f8_x_s", """SELECT ticket_id, created_at, closed_at, resolution_seconds FROM stg
+WHERE ticket_status = 'Closed' AND resolution_seconds IS NOT NULL AND resolution_seconds < 0""")
+def q_negative(spark, sf_dir):
+    return ex.negative_resolution(staged(spark, sf_dir))
+
+
+@register("x_c", """SELECT ticket_id, ticket_status, closed_at, closed_date FROM stg
+WHERE ticket_status = 'Closed' AND closed_date IS NULL""")
+def q_closed_date(spark, sf_dir):
+    return ex.closed_without_date(staged(spark, sf_dir))
+
+
+@register("x_r", """SELECT 'staging' AS model, test, CAST(NULL AS VARCHAR) AS "column", failures, failures = 0 AS passed FROM (
+  SELECT 'assert_no_negative_resolution' AS test, count(*) AS failures FROM stg
+   WHERE ticket_status = 'Closed' AND resolution_seconds IS NOT NULL AND resolution_seconds < 0
+  UNION ALL SELECT 'assert_closed_has_closed_date', count(*) FROM stg WHERE ticket_status = 'Closed' AND closed_date IS NULL) s""")
+def q_singular(spark, sf_dir):
+    return ex.run_singular(staged(spark, sf_dir))
