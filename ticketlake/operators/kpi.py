@@ -62,7 +62,14 @@ def apply(df: DataFrame, conds: list[Column]) -> DataFrame:
 
 
 def filtered_fact(fact: DataFrame, flt: KpiFilter | None = None) -> DataFrame:
-    return apply(fact, (flt or KpiFilter()).ticket_conditions())
+    """Apply the ticket filter.  When the fact carries ``created_month`` (the
+    written fact is partitioned by it) the date range is repeated on the month
+    so the scan skips whole partitions; rows kept are the same."""
+    flt = flt or KpiFilter()
+    conds = flt.ticket_conditions()
+    if conds and "created_month" in fact.columns:
+        conds += flt.month_conditions(floor_month=True)
+    return apply(fact, conds)
 
 
 # --- options and bounds --------------------------------------------------------
