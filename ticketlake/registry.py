@@ -652,3 +652,67 @@ def q_closed_date(spark, sf_dir):
   UNION ALL SELECT 'assert_closed_has_closed_date', count(*) FROM stg WHERE ticket_status = 'Closed' AND closed_date IS NULL) s""")
 def q_singular(spark, sf_dir):
     return ex.run_singular(staged(spark, sf_dir))
+
+
+# --- vector search (V1-V5) ----------------------------------------------------------------
+
+from .operators import search  # noqa: E402
+from .sources.fixtures import read_table  # noqa: E402
+
+_V_NORM = "list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))"
+_V_CTES = f""", e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ex AS (SELECT label, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM e),
+cm AS (SELECT label, i, avg(x) AS m FROM ex GROUP BY label, i),
+c AS (SELECT label, list(m ORDER BY i) AS v FROM cm GROUP BY label),
+cn AS (SELECT label, {_V_NORM} AS v FROM c),
+en AS (SELECT vec_id, label, {_V_NORM} AS v FROM e)"""
+
+
+def embeddings(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings")
+
+
+@register("v2", f""", e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT vec_id, label, len(v) AS dim, {_or2('sqrt(list_sum(list_transform(v, lambda y: y * y)))', 6)} AS input_norm,
+  {_or2(f'sqrt(list_sum(list_transform({_V_NORM}, lambda y: y * y)))', 6)} AS unit_norm FROM e""")
+def q_v2(spark, sf_dir):
+    n = search.norms(embeddings(spark, sf_dir))
+    return n.select("vec_id", "label", F.size("embedding").alias("dim"),
+                    search.round_half_up("_n0", 6).alias("input_norm"),
+                    search.round_half_up("_n1", 6).alias("unit_norm"))
+
+
+@register("v3_k8_j3_j4", f"""{_V_CTES},
+s AS (SELECT cn.label AS query_label, en.vec_id, en.label, list_dot_product(cn.v, en.v) AS score FROM cn, en),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_label, rank, vec_id, {_or2('score', 4)} AS score, label FROM r WHERE rank <= 5""")
+def q_v3(spark, sf_dir):
+    emb = embeddings(spark, sf_dir)
+    queries = search.label_centroids(emb).withColumnRenamed("label", "query_label")
+    return search.top_k_similar(emb, queries, k=5, query_id_col="query_label", carry=["label"])
+
+
+@register("v3_blocked", f"""{_V_CTES},
+s AS (SELECT cn.label AS query_label, en.vec_id, en.label, list_dot_product(cn.v, en.v) AS score FROM cn, en),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_label, rank, vec_id, {_or2('score', 4)} AS score, label FROM r WHERE rank <= 5""")
+def q_v3_blocked(spark, sf_dir):
+    """Same answer through the large-batch path (chunked queries x corpus blocks)."""
+    emb = embeddings(spark, sf_dir)
+    queries = search.label_centroids(emb).withColumnRenamed("label", "query_label")
+    return search.top_k_similar(emb, queries, k=5, query_id_col="query_label", carry=["label"],
+                                max_broadcast_queries=4, corpus_block_rows=128)
+
+
+@register("v4", "SELECT count(embedding) > 0 AS \"exists\", count(embedding) AS vector_count, "
+                "max(len(embedding)) AS dim FROM embeddings")
+def q_v4(spark, sf_dir):
+    return search.vector_status(embeddings(spark, sf_dir))
+
+
+@register("v5")
+def q_v5(spark, sf_dir):
+    emb = embeddings(spark, sf_dir)
+    queries = search.label_centroids(emb).withColumnRenamed("label", "query_label")
+    return search.approx_top_k_similar(emb, queries, k=5, query_id_col="query_label", min_cosine=-1.0,
+                                       bucket_length=4.0, num_hash_tables=2)
