@@ -716,3 +716,83 @@ def q_v5(spark, sf_dir):
     queries = search.label_centroids(emb).withColumnRenamed("label", "query_label")
     return search.approx_top_k_similar(emb, queries, k=5, query_id_col="query_label", min_cosine=-1.0,
                                        bucket_length=4.0, num_hash_tables=2)
+
+
+# --- routing (R1-R11) ------------------------------------------------------------------------
+
+from .operators import routing  # noqa: E402
+
+
+def routing_data(spark, sf_dir):
+    return routing.training_frame(tickets_internal(spark, sf_dir))
+
+
+@register("r1", "SELECT coalesce(assigned_team, 'Unassigned') AS assigned_team, count(*) AS n FROM tickets "
+                "GROUP BY 1 ORDER BY 1")
+def q_r1(spark, sf_dir):
+    return routing.class_counts(routing_data(spark, sf_dir))
+
+
+@register("r2", """SELECT ticket_id, assigned_team,
+  row_number() OVER (PARTITION BY assigned_team ORDER BY md5('42:' || ticket_id), ticket_id)
+    <= ceil(0.2 * count(*) OVER (PARTITION BY assigned_team)) AS is_test
+FROM (SELECT ticket_id, coalesce(assigned_team, 'Unassigned') AS assigned_team FROM tickets) t""")
+def q_r2(spark, sf_dir):
+    return routing.stratified_split(routing_data(spark, sf_dir)).select("ticket_id", "assigned_team", "is_test")
+
+
+_TOK = ("d AS (SELECT ticket_id, unnest(regexp_extract_all(lower(coalesce(description, '')), '\\b\\w\\w+\\b')) AS term "
+        "FROM tickets)")
+
+
+@register("r3", f""", {_TOK}
+SELECT term, count(*) AS count, count(DISTINCT ticket_id) AS doc_freq FROM d GROUP BY term""")
+def q_r3(spark, sf_dir):
+    return routing.token_counts(routing_data(spark, sf_dir))
+
+
+@register("r4", f""", {_TOK}, n AS (SELECT count(*) AS n FROM tickets)
+SELECT term, count(DISTINCT ticket_id) AS doc_freq,
+  {_or2('ln((1 + any_value(n)) / (1 + count(DISTINCT ticket_id))) + 1', 6)} AS idf
+FROM d, n GROUP BY term""")
+def q_r4(spark, sf_dir):
+    data = routing_data(spark, sf_dir)
+    _, cv, scaling = routing.fit_tfidf(data)
+    tokens = routing.tokenizer().transform(data)
+    df = (tokens.select(F.explode(F.array_distinct("tokens")).alias("term"))
+          .groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq")))
+    weights = spark.createDataFrame([(t, float(w)) for t, w in zip(cv.vocabulary, scaling)], "term string, idf double")
+    return weights.join(df, "term").select("term", "doc_freq", search.round_half_up("idf", 6).alias("idf"))
+
+
+def _trained(spark, sf_dir):
+    return routing.train_routing(spark, tickets_internal(spark, sf_dir))
+
+
+@register("r6_k7")
+def q_r6(spark, sf_dir):
+    return _trained(spark, sf_dir).importance
+
+
+@register("r7_accuracy")
+def q_r7a(spark, sf_dir):
+    return _trained(spark, sf_dir).accuracy
+
+
+@register("r7_confusion")
+def q_r7c(spark, sf_dir):
+    return _trained(spark, sf_dir).confusion
+
+
+@register("r8_j5_k9")
+def q_r8(spark, sf_dir):
+    data = routing_data(spark, sf_dir)
+    model = routing.fit_routing(data)
+    return routing.predict(model, data).select(
+        "ticket_id", "assigned_team", "predicted_team", search.round_half_up("confidence", 4).alias("confidence"),
+        F.map_entries("team_scores").alias("team_scores"))
+
+
+@register("r11")
+def q_r11(spark, sf_dir):
+    return _trained(spark, sf_dir).summary
