@@ -94,6 +94,8 @@ def _top_k_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int,
     """(query row, corpus row) of the k best per query: score desc, id asc, ties exact."""
     out = []
     n = scores.shape[1]
+    if ids.dtype == object:
+        ids = ids.astype(str)
     for qi in range(scores.shape[0]):
         s = scores[qi]
         if n > k:
@@ -110,7 +112,9 @@ def _score_frame(qids, qmat, pdf, k, id_col, vec_col, carry, qid_col):
     if len(pdf) == 0 or len(qids) == 0:
         return None
     cmat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-    scores = qmat @ cmat.T
+    # Scores are rounded at 1e-10 so equal vectors tie exactly whatever the
+    # summation order of the matrix product; ties then go to the smaller id.
+    scores = np.round(qmat @ cmat.T, 10)
     ids = pdf[id_col].to_numpy()
     pairs = _top_k_rows(scores, ids, k)
     if not pairs:

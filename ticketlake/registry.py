@@ -796,3 +796,97 @@ def q_r8(spark, sf_dir):
 @register("r11")
 def q_r11(spark, sf_dir):
     return _trained(spark, sf_dir).summary
+
+
+# --- reply drafts (G1-G5) ---------------------------------------------------------------------
+
+from .operators import drafts  # noqa: E402
+
+_RX = "'\\b\\w\\w+\\b'"
+_G_CTES = f""", cd AS (SELECT ticket_id, coalesce(description, '') AS description,
+    coalesce(assigned_team, '') AS assigned_team FROM tickets WHERE status_line = 'Closed'),
+qd AS (SELECT ticket_id, coalesce(description, '') AS description FROM tickets
+    WHERE status_line = 'Open' AND length(trim(coalesce(description, ''))) > 0),
+ctexts AS (SELECT DISTINCT description FROM cd),
+ctf AS (SELECT description, term, count(*) AS tf FROM (SELECT description,
+    unnest(regexp_extract_all(lower(description), {_RX})) AS term FROM ctexts) x GROUP BY 1, 2),
+cdf AS (SELECT term, count(DISTINCT ticket_id) AS df FROM (SELECT ticket_id,
+    unnest(regexp_extract_all(lower(description), {_RX})) AS term FROM cd) x GROUP BY term),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM cd)) / (1 + df)) + 1 AS idf FROM cdf),
+cw AS (SELECT description, term, tf * idf AS w FROM ctf JOIN idf USING (term)),
+cn AS (SELECT description, sqrt(sum(w * w)) AS nrm FROM cw GROUP BY 1),
+qtext AS (SELECT DISTINCT trim(description) AS qt FROM qd),
+qtf AS (SELECT qt, term, count(*) AS tf FROM (SELECT qt, unnest(regexp_extract_all(lower(qt), {_RX})) AS term
+    FROM qtext) x GROUP BY 1, 2),
+qw AS (SELECT qt, term, tf * idf AS w FROM qtf JOIN idf USING (term)),
+qn AS (SELECT qt, sqrt(sum(w * w)) AS nrm FROM qw GROUP BY 1),
+dp AS (SELECT qw.qt, cw.description, sum(qw.w * cw.w) AS d FROM qw JOIN cw USING (term) GROUP BY 1, 2),
+sim AS (SELECT q.qt, c.description, coalesce(dp.d / (qn.nrm * cn.nrm), 0.0) AS score
+    FROM qtext q CROSS JOIN ctexts c LEFT JOIN dp ON dp.qt = q.qt AND dp.description = c.description
+    LEFT JOIN qn ON qn.qt = q.qt LEFT JOIN cn ON cn.description = c.description),
+reps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY description ORDER BY ticket_id) AS r FROM cd) x
+    WHERE r <= 3),
+ranked AS (SELECT sim.qt, reps.ticket_id, reps.assigned_team, reps.description, sim.score,
+    row_number() OVER (PARTITION BY sim.qt ORDER BY round(sim.score, 10) DESC, reps.ticket_id) AS rank
+    FROM sim JOIN reps ON reps.description = sim.description),
+hits AS (SELECT qd.ticket_id, ranked.rank, ranked.ticket_id AS context_ticket_id,
+    ranked.assigned_team AS context_team, {_or2('ranked.score', 4)} AS similarity_score,
+    ranked.description AS context_description, qd.description
+    FROM qd JOIN ranked ON ranked.qt = trim(qd.description) WHERE ranked.rank <= 3),
+ctx AS (SELECT ticket_id, any_value(description) AS description, count(*) AS n,
+    string_agg(printf('%d. ticket_id=%s; assigned_team=%s; similarity_score=%.4f; description=%s',
+      rank, context_ticket_id, context_team, similarity_score, context_description), chr(10) ORDER BY rank) AS ctx_text,
+    max(CASE WHEN rank = 1 THEN context_team END) AS team1,
+    string_agg(CASE WHEN context_team <> '' THEN context_ticket_id || ' (' || context_team || ')'
+               ELSE context_ticket_id END, ', ' ORDER BY rank) FILTER (WHERE rank <= 2) AS refs
+    FROM hits GROUP BY ticket_id)"""
+
+
+def draft_context(spark, sf_dir):
+    t = tickets_internal(spark, sf_dir)
+    queries = t.filter(F.col("status_line") == "Open").select("ticket_id", "description")
+    corpus = t.filter(F.col("status_line") == "Closed").select("ticket_id", "description", "assigned_team")
+    return drafts.retrieve_context(queries, corpus)
+
+
+@register("g1", f"""{_G_CTES}
+SELECT ticket_id, rank, context_ticket_id, context_team, similarity_score FROM hits""")
+def q_g1(spark, sf_dir):
+    c = draft_context(spark, sf_dir)
+    hits = c.select(F.col("ticket_id").alias("query_ticket_id"), F.explode("context").alias("h"))
+    return hits.select(F.col("query_ticket_id").alias("ticket_id"), F.col("h.rank").alias("rank"),
+                       F.col("h.ticket_id").alias("context_ticket_id"), F.col("h.assigned_team").alias("context_team"),
+                       F.col("h.similarity_score").alias("similarity_score"))
+
+
+@register("g2", f"""{_G_CTES}
+SELECT ticket_id, ctx_text AS context_text FROM ctx""")
+def q_g2(spark, sf_dir):
+    return draft_context(spark, sf_dir).select("ticket_id", drafts.format_context(F.col("context")).alias("context_text"))
+
+
+@register("g3", f"""{_G_CTES}
+SELECT ticket_id, replace(replace({"'" + drafts.PROMPT_TEMPLATE.replace("'", "''") + "'"}, '{{ticket_description}}', trim(description)),
+  '{{context_tickets}}', ctx_text) AS prompt FROM ctx""")
+def q_g3(spark, sf_dir):
+    c = draft_context(spark, sf_dir)
+    return c.select("ticket_id", drafts.build_prompt(F.trim("description"),
+                                                     drafts.format_context(F.col("context"))).alias("prompt"))
+
+
+@register("g4", f"""{_G_CTES}
+SELECT ticket_id, 'Thanks for reporting this issue.' || chr(10) || chr(10) || 'Summary: ' ||
+  CASE WHEN length(s) > 220 THEN rtrim(substr(s, 1, 217)) || '...' ELSE s END ||
+  chr(10) || 'Recommended owner: ' || CASE WHEN trim(team1) <> '' THEN trim(team1) ELSE 'Support Team' END ||
+  chr(10) || chr(10) || 'Proposed next steps:' || chr(10) ||
+  '1. {drafts.NEXT_STEPS[0]}' || chr(10) || '2. {drafts.NEXT_STEPS[1]}' || chr(10) ||
+  '3. {drafts.NEXT_STEPS[2]}' || chr(10) || chr(10) || 'Related ticket signals: ' || refs || '.' AS suggested_response
+FROM (SELECT *, replace(trim(description), chr(10), ' ') AS s FROM ctx) x""")
+def q_g4(spark, sf_dir):
+    c = draft_context(spark, sf_dir)
+    return c.select("ticket_id", drafts.local_draft(F.col("description"), F.col("context")).alias("suggested_response"))
+
+
+@register("g5")
+def q_g5(spark, sf_dir):
+    return drafts.draft_table(draft_context(spark, sf_dir))
