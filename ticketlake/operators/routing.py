@@ -14,8 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString, Normalizer,
-                                RegexTokenizer, StringIndexer)
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -91,9 +90,7 @@ def tokenizer(input_col: str = "description", output_col: str = "tokens") -> Reg
 
 def token_counts(train: DataFrame) -> DataFrame:
     """(term, count, doc_freq) over the training text."""
-    toks = tokenizer().transform(train).select(F.monotonically_increasing_id().alias("_d"), "tokens")
-    ex = toks.select("_d", F.explode("tokens").alias("term"))
-    return ex.groupBy("term").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("_d").alias("doc_freq"))
+    return term_stats(train).select("term", F.col("total").alias("count"), "doc_freq")
 
 
 @dataclass
@@ -115,16 +112,31 @@ class RoutingModel:
         return RoutingModel(pm, labels, list(cv.vocabulary), np.asarray(ew.getScalingVec().toArray()))
 
 
-def fit_tfidf(train: DataFrame, max_features: int = MAX_FEATURES):
-    """Tokenizer + CountVectorizer (top ``max_features`` terms by frequency) and
-    the smooth idf vector; returns the stages (tok, cv_model, scaling)."""
-    tok = tokenizer()
-    tokens = tok.transform(train)
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=max_features, minDF=1.0).fit(tokens)
-    # Spark's IDF is ln((m+1)/(df+1)); the smooth sklearn form adds 1.
-    idf_model = IDF(inputCol="tf", outputCol="_idf", minDocFreq=0).fit(cv.transform(tokens))
-    scaling = np.asarray(idf_model.idf.toArray()) + 1.0
-    return tok, cv, scaling
+def term_stats(train: DataFrame, text_col: str = "description") -> DataFrame:
+    """(term, total count, doc_freq) in one scan and one aggregation: each
+    document emits (term, 1, 0) per token and (term, 0, 1) per distinct token."""
+    toks = tokenizer(text_col, "_tok").transform(train.select(text_col))
+
+    def item(t, c, d):
+        return F.struct(t.alias("term"), F.lit(c).alias("c"), F.lit(d).alias("d"))
+
+    items = F.concat(F.transform("_tok", lambda t: item(t, 1, 0)),
+                     F.transform(F.array_distinct("_tok"), lambda t: item(t, 0, 1)))
+    return (toks.select(F.inline(items)).groupBy("term")
+            .agg(F.sum("c").cast("bigint").alias("total"), F.sum("d").cast("bigint").alias("doc_freq")))
+
+
+def fit_tfidf(train: DataFrame, max_features: int = MAX_FEATURES, text_col: str = "description"):
+    """Vocabulary = the ``max_features`` most frequent terms (ties by term) and
+    smooth idf ``ln((1+n)/(1+df)) + 1``, from one aggregation; returns
+    (tokenizer, CountVectorizerModel, idf vector)."""
+    stats = term_stats(train, text_col)
+    n_docs = train.count()
+    top = stats.orderBy(F.desc("total"), "term").limit(max_features).collect()  # bounded by max_features
+    vocab = [r["term"] for r in top]
+    scaling = np.array([math.log((1.0 + n_docs) / (1.0 + r["doc_freq"])) + 1.0 for r in top], dtype=np.float64)
+    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="tokens", outputCol="tf")
+    return tokenizer(text_col), cv, scaling
 
 
 def fit_routing(train: DataFrame, c: float = 1.0, max_iter: int = 1000, max_features: int = MAX_FEATURES,
@@ -136,15 +148,19 @@ def fit_routing(train: DataFrame, c: float = 1.0, max_iter: int = 1000, max_feat
     norm = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
     indexer = StringIndexer(inputCol="assigned_team", outputCol="label", stringOrderType="alphabetAsc",
                             handleInvalid="error")
-    pre = PipelineModel(stages=[tok, cv, ew, norm]).transform(train)
+    # Equal (text, team) rows have equal features: train on the distinct pairs
+    # weighted by their count.  The weighted loss divided by the weight sum is
+    # the same objective as on the repeated rows, so the model is unchanged.
+    grouped = train.groupBy("description", "assigned_team").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    pre = PipelineModel(stages=[tok, cv, ew, norm]).transform(grouped)
     idx_model = indexer.fit(pre)
-    feats = idx_model.transform(pre).select("features", "label")
+    feats = idx_model.transform(pre).select("features", "label", "weight")
     # Iterative fit: cut lineage to a reliable checkpoint, keep it cached.
     feats = feats.checkpoint(eager=True).persist()
-    n = feats.count()
-    lr = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", maxIter=max_iter,
-                            regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False,
-                            fitIntercept=True, tol=1e-6)
+    n = feats.agg(F.sum("weight")).first()[0] or 0.0
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial",
+                            maxIter=max_iter, regParam=1.0 / (c * max(n, 1.0)), elasticNetParam=0.0,
+                            standardization=False, fitIntercept=True, tol=1e-6)
     lr_model = lr.fit(feats)
     feats.unpersist()
     pm = PipelineModel(stages=[tok, cv, ew, norm, idx_model, lr_model])
