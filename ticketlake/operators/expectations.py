@@ -86,32 +86,66 @@ def unique_failures(df: DataFrame, column: str) -> DataFrame:
             .filter(F.col("n") > 1))
 
 
-def run_suite(models: dict[str, DataFrame], suite: list[Check] | None = None) -> DataFrame:
-    """Evaluate the suite on the given models (missing models are skipped)."""
+def run_suite(models: dict[str, DataFrame], suite: list[Check] | None = None,
+              columns: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """Evaluate the suite on the given models (missing models are skipped).
+
+    Models given as the same DataFrame object (row-aligned layers carried in
+    one frame) are tested in one aggregate, and a uniqueness test on the same
+    frame and column runs once.  ``columns`` maps a model's column name to the
+    frame's column name where they differ.
+    """
     suite = suite or SUITE
+    columns = columns or {}
+    by_frame: dict[int, list[tuple[int, Check, str]]] = {}
+    frames: dict[int, DataFrame] = {}
+    for i, k in enumerate(suite):
+        if k.model in models:
+            df = models[k.model]
+            frames[id(df)] = df
+            col = columns.get(k.model, {}).get(k.column, k.column)
+            by_frame.setdefault(id(df), []).append((i, k, col))
     parts = []
-    for model, df in models.items():
-        mine = [(i, k) for i, k in enumerate(suite) if k.model == model]
-        cols = [k for _, k in mine if k.kind != "unique"]
+    for fid, items in by_frame.items():
+        df = frames[fid]
+        cols = [(i, k, c) for i, k, c in items if k.kind != "unique"]
         if cols:
-            order = {id(k): i for i, k in mine}
-            agg = df.agg(*[_failure_expr(k).alias(f"f{j}") for j, k in enumerate(cols)])
+            agg = df.agg(*[_failure_expr(Check(k.model, c, k.kind, k.values, k.minimum)).alias(f"f{j}")
+                           for j, (_, k, c) in enumerate(cols)])
             parts.append(agg.select(F.inline(F.array(*[
-                F.struct(F.lit(order[id(k)]).alias("seq"), F.lit(model).alias("model"),
-                         F.lit(k.name).alias("test"), F.lit(k.column).alias("column"),
-                         F.col(f"f{j}").alias("failures"))
-                for j, k in enumerate(cols)]))))
-        for i, k in mine:
+                F.struct(F.lit(i).alias("seq"), F.lit(k.model).alias("model"), F.lit(k.name).alias("test"),
+                         F.lit(k.column).alias("column"), F.col(f"f{j}").alias("failures"))
+                for j, (i, k, c) in enumerate(cols)]))))
+        uniq: dict[str, list[tuple[int, Check]]] = {}
+        for i, k, c in items:
             if k.kind == "unique":
-                parts.append(unique_failures(df, k.column).agg(F.count(F.lit(1)).alias("failures")).select(
-                    F.lit(i).alias("seq"), F.lit(model).alias("model"), F.lit("unique").alias("test"),
-                    F.lit(k.column).alias("column"), "failures"))
+                uniq.setdefault(c, []).append((i, k))
+        for c, checks in uniq.items():
+            n = unique_failures(df, c).agg(F.count(F.lit(1)).alias("failures"))
+            parts.append(n.select(F.inline(F.array(*[
+                F.struct(F.lit(i).alias("seq"), F.lit(k.model).alias("model"), F.lit("unique").alias("test"),
+                         F.lit(k.column).alias("column"), F.col("failures").alias("failures"))
+                for i, k in checks]))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("passed", F.col("failures") == 0).orderBy("seq").drop("seq")
 
 
+# Raw columns the raw-layer tests need that staging renames or recasts.
+RAW_ONLY = {"created_timestamp": "raw__created_timestamp", "odometer_unit": "raw__odometer_unit"}
+
+
+def upstream_suite(raw: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
+    """raw + staging + enriched tests in one pass; returns (results, staged)."""
+    from ..operators.enrich import enrich_tickets
+    from ..operators.staging import stage_tickets
+    wide_stg = stage_tickets(raw, keep_raw=list(RAW_ONLY))
+    wide = enrich_tickets(wide_stg, as_of) if as_of else enrich_tickets(wide_stg)
+    res = run_suite({"raw": wide, "staging": wide, "enriched": wide}, columns={"raw": RAW_ONLY})
+    return res.unionByName(run_singular(wide)), wide
+
+
 def negative_resolution(stg: DataFrame) -> DataFrame:
     """Singular test: closed tickets with a negative resolution time."""
     return stg.filter((F.col("ticket_status") == "Closed") & F.col("resolution_seconds").isNotNull()

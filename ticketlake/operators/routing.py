@@ -88,11 +88,6 @@ def tokenizer(input_col: str = "description", output_col: str = "tokens") -> Reg
                           toLowercase=True)
 
 
-def token_counts(train: DataFrame) -> DataFrame:
-    """(term, count, doc_freq) over the training text."""
-    return term_stats(train).select("term", F.col("total").alias("count"), "doc_freq")
-
-
 @dataclass
 class RoutingModel:
     pipeline: PipelineModel      # tokens -> tf -> tf-idf -> unit -> label index -> lr
@@ -112,26 +107,39 @@ class RoutingModel:
         return RoutingModel(pm, labels, list(cv.vocabulary), np.asarray(ew.getScalingVec().toArray()))
 
 
-def term_stats(train: DataFrame, text_col: str = "description") -> DataFrame:
+def term_stats(train: DataFrame, text_col: str = "description", weight_col: str | None = None) -> DataFrame:
     """(term, total count, doc_freq) in one scan and one aggregation: each
-    document emits (term, 1, 0) per token and (term, 0, 1) per distinct token."""
-    toks = tokenizer(text_col, "_tok").transform(train.select(text_col))
+    document emits (term, w, 0) per token and (term, 0, w) per distinct token,
+    w = the row's weight (its multiplicity when rows were grouped) or 1."""
+    w = F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint")
+    toks = tokenizer(text_col, "_tok").transform(train.select(text_col, w.alias("_w")))
 
     def item(t, c, d):
-        return F.struct(t.alias("term"), F.lit(c).alias("c"), F.lit(d).alias("d"))
+        return F.struct(t.alias("term"), c.alias("c"), d.alias("d"))
 
-    items = F.concat(F.transform("_tok", lambda t: item(t, 1, 0)),
-                     F.transform(F.array_distinct("_tok"), lambda t: item(t, 0, 1)))
+    zero = F.lit(0).cast("bigint")
+    items = F.concat(F.transform("_tok", lambda t: item(t, F.col("_w"), zero)),
+                     F.transform(F.array_distinct("_tok"), lambda t: item(t, zero, F.col("_w"))))
     return (toks.select(F.inline(items)).groupBy("term")
-            .agg(F.sum("c").cast("bigint").alias("total"), F.sum("d").cast("bigint").alias("doc_freq")))
+            .agg(F.sum("c").alias("total"), F.sum("d").alias("doc_freq")))
+
 
+def token_counts(train: DataFrame) -> DataFrame:
+    """(term, count, doc_freq) over the training text."""
+    return term_stats(train).select("term", F.col("total").alias("count"), "doc_freq")
 
-def fit_tfidf(train: DataFrame, max_features: int = MAX_FEATURES, text_col: str = "description"):
+
+def fit_tfidf(train: DataFrame, max_features: int = MAX_FEATURES, text_col: str = "description",
+              weight_col: str | None = None):
     """Vocabulary = the ``max_features`` most frequent terms (ties by term) and
     smooth idf ``ln((1+n)/(1+df)) + 1``, from one aggregation; returns
-    (tokenizer, CountVectorizerModel, idf vector)."""
-    stats = term_stats(train, text_col)
-    n_docs = train.count()
+    (tokenizer, CountVectorizerModel, idf vector).  With ``weight_col`` each row
+    stands for that many identical documents."""
+    stats = term_stats(train, text_col, weight_col)
+    if weight_col:
+        n_docs = train.agg(F.sum(weight_col)).first()[0] or 0
+    else:
+        n_docs = train.count()
     top = stats.orderBy(F.desc("total"), "term").limit(max_features).collect()  # bounded by max_features
     vocab = [r["term"] for r in top]
     scaling = np.array([math.log((1.0 + n_docs) / (1.0 + r["doc_freq"])) + 1.0 for r in top], dtype=np.float64)
@@ -142,22 +150,28 @@ def fit_tfidf(train: DataFrame, max_features: int = MAX_FEATURES, text_col: str
 def fit_routing(train: DataFrame, c: float = 1.0, max_iter: int = 1000, max_features: int = MAX_FEATURES,
                 tfidf_on: DataFrame | None = None) -> RoutingModel:
     """Fit the full pipeline on ``train``; the TF-IDF vocabulary/idf is fitted on
-    ``tfidf_on`` when given (the reference fits it on all rows before the split)."""
-    tok, cv, scaling = fit_tfidf(tfidf_on if tfidf_on is not None else train, max_features)
+    ``tfidf_on`` when given (the reference fits it on all rows before the split).
+
+    Equal (text, team) rows have equal features, so training runs on the
+    distinct pairs weighted by their count (one shuffle, then small data).  The
+    weighted loss divided by the weight sum is the objective on the repeated
+    rows, and weighted term counts give the same vocabulary and idf.
+    """
+    grouped = (train.groupBy("description", "assigned_team")
+               .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+               .checkpoint(eager=True))   # reliable checkpoint: cuts lineage before the iterations
+    if tfidf_on is not None:
+        tok, cv, scaling = fit_tfidf(tfidf_on, max_features)
+    else:
+        tok, cv, scaling = fit_tfidf(grouped, max_features, weight_col="weight")
     ew = ElementwiseProduct(inputCol="tf", outputCol="tfidf", scalingVec=Vectors.dense(scaling.tolist()))
     norm = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
     indexer = StringIndexer(inputCol="assigned_team", outputCol="label", stringOrderType="alphabetAsc",
                             handleInvalid="error")
-    # Equal (text, team) rows have equal features: train on the distinct pairs
-    # weighted by their count.  The weighted loss divided by the weight sum is
-    # the same objective as on the repeated rows, so the model is unchanged.
-    grouped = train.groupBy("description", "assigned_team").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     pre = PipelineModel(stages=[tok, cv, ew, norm]).transform(grouped)
     idx_model = indexer.fit(pre)
-    feats = idx_model.transform(pre).select("features", "label", "weight")
-    # Iterative fit: cut lineage to a reliable checkpoint, keep it cached.
-    feats = feats.checkpoint(eager=True).persist()
-    n = feats.agg(F.sum("weight")).first()[0] or 0.0
+    feats = idx_model.transform(pre).select("features", "label", "weight").persist()
+    n = grouped.agg(F.sum("weight")).first()[0] or 0.0
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial",
                             maxIter=max_iter, regParam=1.0 / (c * max(n, 1.0)), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True, tol=1e-6)

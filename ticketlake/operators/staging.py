@@ -41,9 +41,14 @@ def odometer_km(reading: Column, unit: Column) -> Column:
     return F.when(F.lower(unit) == F.lit("miles"), reading * F.lit(config.MILES_TO_KM)).otherwise(reading)
 
 
-def stage_tickets(raw: DataFrame) -> DataFrame:
-    """Raw (public names, any of string/typed columns) -> staged, typed tickets."""
+def stage_tickets(raw: DataFrame, keep_raw: list[str] | None = None) -> DataFrame:
+    """Raw (public names, any of string/typed columns) -> staged, typed tickets.
+
+    ``keep_raw`` carries extra raw columns under ``raw__<name>`` (used to test
+    the raw, staging and enriched layers in one pass over row-aligned data).
+    """
     cols = [F.col(src).alias(dst or src) for src, dst in STAGING_COLUMNS]
+    cols += [F.col(c).alias(f"raw__{c}") for c in (keep_raw or [])]
     reading = _typed(raw, "odometer_reading", "double")
     cols += [
         odometer_km(reading, F.col("odometer_unit")).alias("odometer_km"),

@@ -50,7 +50,7 @@ def build_marts(spark: SparkSession, raw: DataFrame, out_dir: str, as_of: _dt.da
     enr = enrich_tickets(stg, as_of)
     results = []
     if run_tests:
-        upstream = ex.run_suite({"raw": raw, "staging": stg, "enriched": enr}).unionByName(ex.run_singular(stg))
+        upstream, _ = ex.upstream_suite(raw, as_of)
         results.append(ex.assert_passed(upstream))
 
     paths = {name: f"{out}/{name}" for name in MART_NAMES}

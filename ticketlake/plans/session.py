@@ -16,6 +16,9 @@ SCALE_CONF = {
     # Partial (map-side) WindowGroupLimit before the shuffle of top-k windows.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Mart groupings have hundreds to thousands of keys; the default (128)
+    # sends median / distinct aggregations to the slower sort-based path.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
@@ -58,11 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SIZE_CHECKS: dict[tuple[int, int], bool] = {}
+
+
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
-    Counts at most ``max_rows + 1`` rows (a cheap bounded job); beyond the bound
-    the frame is returned as is and the planner / AQE picks a shuffle join.
+    Counts at most ``max_rows + 1`` rows (a cheap bounded job, remembered per
+    plan for the session); beyond the bound the frame is returned as is and
+    the planner / AQE picks a shuffle join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (df.semanticHash(), max_rows)
+    if key not in _SIZE_CHECKS:
+        _SIZE_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if _SIZE_CHECKS[key] else df
