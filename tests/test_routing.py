@@ -85,3 +85,13 @@ def test_tfidf_matches_smooth_idf(spark, fixture_df):
         df_ = sum(1 for d in docs if term in d)
         assert abs(w - (math.log((1 + len(docs)) / (1 + df_)) + 1)) < 1e-12
     assert "vpn" in cv.vocabulary and "a" not in cv.vocabulary
+
+
+def test_artifacts_and_performance(spark, trained, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("empty"))
+    with pytest.raises(FileNotFoundError):
+        routing.load_performance(spark, out + "/none")
+    import os
+    root = [p for p in os.listdir(str(tmp_path_factory.getbasetemp())) if p.startswith("model")][0]
+    perf = routing.load_performance(spark, os.path.join(str(tmp_path_factory.getbasetemp()), root)).first()
+    assert perf["class_names"] == ["Billing", "Hardware", "Network"] and 0.0 <= perf["accuracy"] <= 1.0

@@ -45,3 +45,17 @@ def test_status_routing_capable(spark):
     df = spark.createDataFrame([("x", "y")], "issue_description string, route_team string")
     r = storage.dataset_status(df).first()
     assert r["routing_capable"] is True and r["row_count"] == 1
+
+
+def test_export_set(spark, tmp_dir):
+    from ticketlake import registry as R
+    from ticketlake.operators import kpi
+    from tests.conftest import SF001
+    enr = R.enriched(spark, SF001)
+    from ticketlake.operators import marts
+    frames = kpi.export_frames(marts.ticket_fact(enr), marts.team_workload(enr), marts.dealer_performance(enr),
+                               marts.product_defects(enr), kpi.KpiFilter(team="Brake Systems"))
+    paths = storage.export_set(frames, tmp_dir + "/export")
+    assert len(paths) == 5
+    summary = spark.read.option("header", True).csv(paths[0]).collect()
+    assert [r["Metric"] for r in summary][0] == "Total Tickets"

@@ -32,6 +32,21 @@ SEVERITIES = ["Low", "Medium", "High", "Critical"]
 SEGMENTS = ["Dealer", "Fleet Operator", "Independent Owner", "Service Partner"]
 ODOMETER_UNITS = ["km", "miles"]
 FORECAST_WEEKS = 4
+# Component -> responsible team routing rules.
+ROUTING_RULES: dict[str, str] = {
+    "Fuel Injector": "Powertrain Diagnostics",
+    "Turbocharger": "Turbo Systems Team",
+    "Cooling Pump": "Cooling Systems",
+    "Gearbox": "Transmission Engineering",
+    "Clutch": "Transmission Engineering",
+    "Hydraulic Pump": "Hydraulics Team",
+    "Battery": "Electrical Systems",
+    "Wiring Harness": "Electrical Systems",
+    "Sensors": "Electronics Diagnostics",
+    "Brake Pads": "Brake Systems",
+    "Hydraulic Line": "Brake Systems",
+    "ABS Sensor": "Electronics Diagnostics",
+}
 # ---------------------------------------------------------------------------
 
 # The reference computes "now" from the wall clock; we take it as a parameter.

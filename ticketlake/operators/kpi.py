@@ -298,3 +298,16 @@ def escalation_rate(fact: DataFrame, by: list[str] | None = None) -> DataFrame:
     out = g.agg(total.alias("total_tickets"), esc.alias("escalated_tickets"),
                 pct(esc, total).alias("escalation_rate_pct"))
     return out.orderBy(*keys) if keys else out
+
+
+def export_frames(fact: DataFrame, team_mart: DataFrame, dealer_mart: DataFrame, prod_mart: DataFrame,
+                  flt: KpiFilter | None = None) -> dict[str, DataFrame]:
+    """The five export tables under the current filters (summary, ticket detail,
+    team, dealer, product), ready for ``storage.export_set``."""
+    return {
+        "summary": summary_export(overview(fact, flt)),
+        "ticket_detail": filtered_fact(fact, flt),
+        "team_workload": team_export(team_mart, flt),
+        "dealer_performance": dealer_export(dealer_mart, flt),
+        "product_defects": product_export(prod_mart),
+    }

@@ -260,8 +260,35 @@ def train_routing(spark: SparkSession, dataset: DataFrame, out_dir: str | None =
     imp = feature_importance(eval_model, spark)
     final = fit_routing(split)
     if out_dir:
-        final.save(f"{out_dir.rstrip('/')}/routing_model")
+        save_artifacts(spark, final, out_dir, dataset, acc, cm, imp, trained_at)
     summary = acc.select(
         F.lit(split.count()).alias("row_count"), F.lit(True).alias("routing_trained"),
         F.col("accuracy"), F.lit(len(final.labels)).alias("classes"), F.lit(trained_at).alias("trained_at_utc"))
     return TrainResult(final, summary, acc, cm, imp)
+
+
+def save_artifacts(spark: SparkSession, model: RoutingModel, out_dir: str, dataset: DataFrame,
+                   acc: DataFrame, cm: DataFrame, imp: DataFrame, trained_at: str) -> None:
+    """Model folder, performance record (accuracy, classes, confusion, top
+    features) and training metadata with the dataset fingerprint, as JSON."""
+    from ..sources.storage import fingerprint
+    root = out_dir.rstrip("/")
+    model.save(f"{root}/routing_model")
+    perf = acc.select(
+        "accuracy", F.array(*[F.lit(x) for x in model.labels]).alias("class_names"),
+        F.lit(trained_at).alias("trained_at_utc"))
+    perf.coalesce(1).write.mode("overwrite").json(f"{root}/model_performance")
+    cm.coalesce(1).write.mode("overwrite").json(f"{root}/confusion")
+    imp.coalesce(1).write.mode("overwrite").json(f"{root}/feature_importance")
+    fp = fingerprint(dataset).select("row_count", "hash_xor", F.col("hash_sum").cast("string").alias("hash_sum"),
+                                     F.lit(trained_at).alias("trained_at_utc"))
+    fp.coalesce(1).write.mode("append").json(f"{root}/routing_training_metadata")
+
+
+def load_performance(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Performance record of the last training; raises before any training."""
+    import os
+    path = f"{out_dir.rstrip('/')}/model_performance"
+    if path.startswith("/") and not os.path.exists(path):
+        raise FileNotFoundError("Model performance data not found. Train the routing models first.")
+    return spark.read.json(path)

@@ -66,6 +66,7 @@ def build_marts(spark: SparkSession, raw: DataFrame, out_dir: str, as_of: _dt.da
     if run_tests:
         results.append(ex.assert_passed(ex.run_suite(built)))
     if register:
+        register_layers(spark, raw, as_of)
         register_marts(spark, paths)
     tests = results[0] if results else None
     for r in results[1:]:
@@ -73,6 +74,17 @@ def build_marts(spark: SparkSession, raw: DataFrame, out_dir: str, as_of: _dt.da
     return BuildResult(paths, tests)
 
 
+def register_layers(spark: SparkSession, raw: DataFrame, as_of: _dt.datetime = config.DEFAULT_AS_OF) -> None:
+    """Layer namespaces: databases raw / staging / intermediate / marts; the lazy
+    layers are session views named after their models."""
+    for db in ("raw", "staging", "intermediate", "marts"):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
+    stg = stage_tickets(raw)
+    raw.createOrReplaceTempView("support_tickets")
+    stg.createOrReplaceTempView("stg_support_tickets")
+    enrich_tickets(stg, as_of).createOrReplaceTempView("int_tickets_enriched")
+
+
 def register_marts(spark: SparkSession, paths: dict[str, str], database: str = "marts") -> None:
     """Catalog entries ``marts.<name>`` over the written Parquet folders."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")

@@ -890,3 +890,44 @@ def q_g4(spark, sf_dir):
 @register("g5")
 def q_g5(spark, sf_dir):
     return drafts.draft_table(draft_context(spark, sf_dir))
+
+
+# --- rule lookups (J1, J2) and text embedding (V1) ---------------------------------------
+
+from . import config  # noqa: E402
+from .operators import rules  # noqa: E402
+
+_RULES_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in sorted(config.ROUTING_RULES.items())) + \
+    ") r(rule_component, rule_team)"
+
+
+@register("j1", f"""SELECT ticket_id, component, assigned_team, rule_team,
+  coalesce(rule_team = assigned_team, false) AS rule_matches
+FROM tickets LEFT JOIN {_RULES_SQL} ON component = rule_component""")
+def q_j1(spark, sf_dir):
+    t = tickets_internal(spark, sf_dir).select("ticket_id", "component", "assigned_team")
+    out = rules.apply_routing_rules(t, rules.rules_frame(spark))
+    return out.select("ticket_id", "component", "assigned_team", "rule_team",
+                      F.coalesce(F.col("rule_team") == F.col("assigned_team"), F.lit(False)).alias("rule_matches"))
+
+
+@register("j2", """SELECT severity_level, sla_hours, count(*) AS tickets,
+  count(*) FILTER (WHERE is_sla_breach = true) AS sla_breached_tickets
+FROM enr LEFT JOIN (VALUES ('Critical', 24), ('High', 48), ('Low', 96), ('Medium', 72)) s(severity, sla_hours)
+  ON severity_level = severity GROUP BY 1, 2""")
+def q_j2(spark, sf_dir):
+    from .functions.columns import count_where
+    e = enriched(spark, sf_dir)
+    s = rules.sla_frame(spark)
+    return (e.join(F.broadcast(s), e.severity_level == s.severity, "left")
+            .groupBy("severity_level", "sla_hours")
+            .agg(F.count(F.lit(1)).alias("tickets"),
+                 count_where(F.col("is_sla_breach") == F.lit(True)).alias("sla_breached_tickets")))
+
+
+@register("v1")
+def q_v1(spark, sf_dir):
+    t = tickets_internal(spark, sf_dir).select("ticket_id", "description")
+    out, _ = search.embed_text(t)
+    return out.select("ticket_id", F.size("embedding").alias("dim"),
+                      search.round_half_up(search.l2_norm(F.col("embedding")), 6).alias("norm"))
