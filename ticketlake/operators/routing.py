@@ -20,7 +20,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import sized_broadcast
+from ..plans.session import reliable_checkpoint, sized_broadcast
 from .columns import normalize_columns
 
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
@@ -157,9 +157,9 @@ def fit_routing(train: DataFrame, c: float = 1.0, max_iter: int = 1000, max_feat
     weighted loss divided by the weight sum is the objective on the repeated
     rows, and weighted term counts give the same vocabulary and idf.
     """
-    grouped = (train.groupBy("description", "assigned_team")
-               .agg(F.count(F.lit(1)).cast("double").alias("weight"))
-               .checkpoint(eager=True))   # reliable checkpoint: cuts lineage before the iterations
+    # Reliable checkpoint: cuts lineage before the iterations.
+    grouped = reliable_checkpoint(train.groupBy("description", "assigned_team")
+                                  .agg(F.count(F.lit(1)).cast("double").alias("weight")))
     if tfidf_on is not None:
         tok, cv, scaling = fit_tfidf(tfidf_on, max_features)
     else:
@@ -253,7 +253,7 @@ def train_routing(spark: SparkSession, dataset: DataFrame, out_dir: str | None =
     if "ticket_id" not in data.columns:
         from .columns import with_row_index
         data = with_row_index(data, "ticket_id")
-    split = stratified_split(data).checkpoint(eager=True)
+    split = reliable_checkpoint(stratified_split(data))
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     eval_model = fit_routing(train, tfidf_on=split if fit_tfidf_on_all else None)
     acc, cm, _ = evaluate(eval_model, test)

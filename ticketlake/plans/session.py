@@ -64,6 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _SIZE_CHECKS: dict[tuple[int, int], bool] = {}
 
 
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Eager checkpoint to the session's reliable checkpoint folder (never a
+    local checkpoint): cuts lineage so lost executors recompute from files."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
