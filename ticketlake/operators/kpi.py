@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_rank, count_where, pct, round_half_up
+from .quantiles import exact_quantiles, join_on_keys
 
 ALL = "All"
 
@@ -279,15 +280,20 @@ def monthly_volume_by_severity(fact: DataFrame) -> DataFrame:
 
 
 def resolution_spread_by_severity(fact: DataFrame, approx: bool = False) -> DataFrame:
-    h = F.when(F.col("is_closed"), F.col("resolution_hours"))
+    """Closed tickets and p25 / p50 / p75 / p90 resolution hours per severity
+    (exact and skew-safe; ``approx`` uses percentile_approx)."""
     qs = [0.25, 0.5, 0.75, 0.9]
-    arr = (F.percentile_approx(h, qs, 10000) if approx else F.percentile(h, F.array(*[F.lit(q) for q in qs])))
-    return fact.groupBy("severity_level").agg(
-        count_where(F.col("is_closed")).alias("closed_tickets"), arr.alias("_q")
-    ).select(
-        "severity_level", "closed_tickets",
-        *[round_half_up(F.col("_q")[i], 2).alias(f"p{int(q * 100)}_hours") for i, q in enumerate(qs)],
-    ).orderBy("severity_level")
+    names = [f"p{int(q * 100)}_hours" for q in qs]
+    closed = count_where(F.col("is_closed")).alias("closed_tickets")
+    if approx:
+        h = F.when(F.col("is_closed"), F.col("resolution_hours"))
+        out = fact.groupBy("severity_level").agg(closed, F.percentile_approx(h, qs, 10000).alias("_q")).select(
+            "severity_level", "closed_tickets", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    else:
+        spread = exact_quantiles(fact.filter(F.col("is_closed")), ["severity_level"], "resolution_hours", qs, names)
+        out = join_on_keys(fact.groupBy("severity_level").agg(closed), spread, ["severity_level"])
+    return out.select("severity_level", "closed_tickets",
+                      *[round_half_up(n, 2).alias(n) for n in names]).orderBy("severity_level")
 
 
 def escalation_rate(fact: DataFrame, by: list[str] | None = None) -> DataFrame:

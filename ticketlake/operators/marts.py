@@ -2,9 +2,11 @@
 
 All rollups are plain hash aggregations: partial (map-side) aggregation runs
 before the shuffle, so a hot team or dealer only costs one row per map task.
-Exact medians keep a value->count map per group (bounded by the number of
-distinct resolution values); ``approx=True`` switches medians to
-``percentile_approx`` and distinct counts to HyperLogLog++ for very large data.
+Exact medians come from :func:`quantiles.exact_quantiles` (no task holds a
+whole group's values) and are joined to the other measures on the group key;
+this also keeps the main aggregation a code-generated hash aggregation.
+``approx=True`` switches medians to ``percentile_approx`` and distinct counts
+to HyperLogLog++ inside the one aggregation.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, pct, round_half_up
+from .quantiles import exact_quantiles, join_on_keys
 
 FACT_COLUMNS = [
     "ticket_id", "vehicle_chassis_id", "vehicle_vin", "chassis_series",
@@ -44,8 +47,25 @@ def _closed(x: str) -> Column:
     return F.when(F.col("is_closed"), F.col(x))
 
 
-def _median(x: Column, approx: bool) -> Column:
-    return F.percentile_approx(x, 0.5, 10000) if approx else F.median(x)
+# Placeholder for the median of closed resolution hours in a measure list.
+MEDIAN = object()
+
+
+def _rollup(tickets: DataFrame, keys: list[str], measures: list[tuple[str, Column | object]],
+            approx: bool) -> DataFrame:
+    """groupBy(keys) with the measures in order; the MEDIAN entry is exact
+    (skew-safe, joined on the group key) unless ``approx``."""
+    if approx:
+        med = round_half_up(F.percentile_approx(_closed("resolution_hours"), 0.5, 10000), 2)
+        return tickets.groupBy(*keys).agg(*[(med if e is MEDIAN else e).alias(n) for n, e in measures])
+    base = tickets.groupBy(*keys).agg(*[e.alias(n) for n, e in measures if e is not MEDIAN])
+    names = [n for n, e in measures if e is MEDIAN]
+    if not names:
+        return base
+    closed = tickets.filter(F.col("is_closed"))
+    med = exact_quantiles(closed, keys, "resolution_hours", [0.5], ["_m"])
+    med = med.select(*keys, round_half_up("_m", 2).alias(names[0]))
+    return join_on_keys(base, med, keys).select(*keys, *[n for n, _ in measures])
 
 
 def _distinct(x: str, approx: bool) -> Column:
@@ -67,59 +87,59 @@ def _counts() -> dict[str, Column]:
 def team_workload(tickets: DataFrame, approx: bool = False) -> DataFrame:
     """One row per team per month."""
     n = _counts()
-    return tickets.groupBy(*TEAM_KEYS).agg(
-        n["total"].alias("total_tickets"),
-        n["closed"].alias("closed_tickets"),
-        n["open"].alias("open_tickets"),
-        n["critical"].alias("critical_tickets"),
-        n["high"].alias("high_severity_tickets"),
-        n["warranty"].alias("warranty_claims"),
-        n["breached"].alias("sla_breached_tickets"),
-        pct(n["breached"], n["closed"]).alias("sla_breach_rate_pct"),
-        round_half_up(F.avg(_closed("resolution_hours")), 2).alias("avg_resolution_hours"),
-        round_half_up(_median(_closed("resolution_hours"), approx), 2).alias("median_resolution_hours"),
-        round_half_up(F.min(_closed("resolution_hours")), 2).alias("min_resolution_hours"),
-        round_half_up(F.max(_closed("resolution_hours")), 2).alias("max_resolution_hours"),
-        round_half_up(F.avg("first_queue_hours"), 2).alias("avg_first_queue_hours"),
-        pct(n["warranty"], n["total"]).alias("warranty_pct"),
-        pct(n["critical"], n["total"]).alias("critical_pct"),
-    )
+    return _rollup(tickets, TEAM_KEYS, [
+        ("total_tickets", n["total"]),
+        ("closed_tickets", n["closed"]),
+        ("open_tickets", n["open"]),
+        ("critical_tickets", n["critical"]),
+        ("high_severity_tickets", n["high"]),
+        ("warranty_claims", n["warranty"]),
+        ("sla_breached_tickets", n["breached"]),
+        ("sla_breach_rate_pct", pct(n["breached"], n["closed"])),
+        ("avg_resolution_hours", round_half_up(F.avg(_closed("resolution_hours")), 2)),
+        ("median_resolution_hours", MEDIAN),
+        ("min_resolution_hours", round_half_up(F.min(_closed("resolution_hours")), 2)),
+        ("max_resolution_hours", round_half_up(F.max(_closed("resolution_hours")), 2)),
+        ("avg_first_queue_hours", round_half_up(F.avg("first_queue_hours"), 2)),
+        ("warranty_pct", pct(n["warranty"], n["total"])),
+        ("critical_pct", pct(n["critical"], n["total"])),
+    ], approx)
 
 
 def dealer_performance(tickets: DataFrame, approx: bool = False) -> DataFrame:
     """One row per dealer per month."""
     n = _counts()
-    return tickets.groupBy(*DEALER_KEYS).agg(
-        n["total"].alias("total_tickets"),
-        n["closed"].alias("closed_tickets"),
-        n["open"].alias("open_tickets"),
-        n["critical"].alias("critical_tickets"),
-        n["warranty"].alias("warranty_claims"),
-        n["breached"].alias("sla_breached_tickets"),
-        _distinct("vehicle_chassis_id", approx).alias("distinct_vehicles"),
-        pct(n["breached"], n["closed"]).alias("sla_breach_rate_pct"),
-        round_half_up(F.avg(_closed("resolution_hours")), 2).alias("avg_resolution_hours"),
-        round_half_up(_median(_closed("resolution_hours"), approx), 2).alias("median_resolution_hours"),
-        round_half_up(F.max(_closed("resolution_hours")), 2).alias("max_resolution_hours"),
-        round_half_up(F.avg("first_queue_hours"), 2).alias("avg_first_queue_hours"),
-        pct(n["warranty"], n["total"]).alias("warranty_rate_pct"),
-    )
+    return _rollup(tickets, DEALER_KEYS, [
+        ("total_tickets", n["total"]),
+        ("closed_tickets", n["closed"]),
+        ("open_tickets", n["open"]),
+        ("critical_tickets", n["critical"]),
+        ("warranty_claims", n["warranty"]),
+        ("sla_breached_tickets", n["breached"]),
+        ("distinct_vehicles", _distinct("vehicle_chassis_id", approx)),
+        ("sla_breach_rate_pct", pct(n["breached"], n["closed"])),
+        ("avg_resolution_hours", round_half_up(F.avg(_closed("resolution_hours")), 2)),
+        ("median_resolution_hours", MEDIAN),
+        ("max_resolution_hours", round_half_up(F.max(_closed("resolution_hours")), 2)),
+        ("avg_first_queue_hours", round_half_up(F.avg("first_queue_hours"), 2)),
+        ("warranty_rate_pct", pct(n["warranty"], n["total"])),
+    ], approx)
 
 
 def product_defects(tickets: DataFrame, approx: bool = False) -> DataFrame:
     """One row per product family / code / component / fault code / fault mode, by volume."""
     n = _counts()
-    return tickets.groupBy(*PRODUCT_KEYS).agg(
-        n["total"].alias("total_tickets"),
-        n["closed"].alias("closed_tickets"),
-        n["critical"].alias("critical_tickets"),
-        n["warranty"].alias("warranty_claims"),
-        n["breached"].alias("sla_breached_tickets"),
-        _distinct("vehicle_chassis_id", approx).alias("affected_vehicles"),
-        _distinct("dealer_code", approx).alias("affected_dealers"),
-        pct(n["critical"], n["total"]).alias("critical_rate_pct"),
-        pct(n["warranty"], n["total"]).alias("warranty_rate_pct"),
-        pct(n["breached"], n["closed"]).alias("sla_breach_rate_pct"),
-        round_half_up(F.avg(_closed("resolution_hours")), 2).alias("avg_resolution_hours"),
-        round_half_up(_median(_closed("resolution_hours"), approx), 2).alias("median_resolution_hours"),
-    ).orderBy(F.desc("total_tickets"))
+    return _rollup(tickets, PRODUCT_KEYS, [
+        ("total_tickets", n["total"]),
+        ("closed_tickets", n["closed"]),
+        ("critical_tickets", n["critical"]),
+        ("warranty_claims", n["warranty"]),
+        ("sla_breached_tickets", n["breached"]),
+        ("affected_vehicles", _distinct("vehicle_chassis_id", approx)),
+        ("affected_dealers", _distinct("dealer_code", approx)),
+        ("critical_rate_pct", pct(n["critical"], n["total"])),
+        ("warranty_rate_pct", pct(n["warranty"], n["total"])),
+        ("sla_breach_rate_pct", pct(n["breached"], n["closed"])),
+        ("avg_resolution_hours", round_half_up(F.avg(_closed("resolution_hours")), 2)),
+        ("median_resolution_hours", MEDIAN),
+    ], approx).orderBy(F.desc("total_tickets"))

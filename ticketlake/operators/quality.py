@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_half_up
+from .quantiles import exact_quantiles
 
 
 def _q(name: str) -> Column:
@@ -91,11 +92,13 @@ def resolution_stats(df: DataFrame, seconds_col: str = "time_to_close_seconds")
     """n, median and p95 hours (linear interpolation), quartiles and IQR outliers
     (strictly outside q1 - 1.5 iqr .. q3 + 1.5 iqr).
 
-    The quartiles are two scalars: they are computed first (one aggregate,
-    one row to the driver), then the outlier count is a filtered aggregate.
+    The quartiles are exact and skew-safe (:func:`exact_quantiles`, no task
+    holds the column); these four scalars come to the driver (one row), then
+    the outlier count is a filtered aggregate.
     """
     h = hours_column(df, seconds_col)
-    q = h.agg(F.percentile("h", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95)])).alias("q")).first()["q"]
+    r = exact_quantiles(h, [], "h", [0.25, 0.5, 0.75, 0.95], ["q1", "med", "q3", "p95"]).first()
+    q = None if r is None else (r["q1"], r["med"], r["q3"], r["p95"])
     if q is None:
         return h.agg(F.count(F.lit(1)).alias("n")).select(
             "n", *[F.lit(None).cast("double").alias(c) for c in
@@ -122,8 +125,8 @@ def histogram(df: DataFrame, seconds_col: str = "time_to_close_seconds", bins: i
     """Equal-width histogram of hours clipped at the ``clip_quantile`` value:
     (bin, bin_start, bin_end, count), non-empty bins only."""
     h = hours_column(df, seconds_col)
-    r = h.agg(F.min("h").alias("lo"), F.percentile("h", F.lit(clip_quantile)).alias("hi")).first()
-    if r["lo"] is None:
+    r = exact_quantiles(h, [], "h", [0.0, clip_quantile], ["lo", "hi"]).first()
+    if r is None or r["lo"] is None:
         return h.select(F.lit(0).alias("bin"), F.lit(0.0).alias("bin_start"), F.lit(0.0).alias("bin_end"),
                         F.lit(0).cast("bigint").alias("count")).limit(0)
     lo, hi = float(r["lo"]), float(max(r["hi"], r["lo"]))
