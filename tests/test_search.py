@@ -42,10 +42,19 @@ def small(spark):
     return corpus, queries, cdf, qdf
 
 
-@pytest.mark.parametrize("path", ["broadcast", "blocked"])
+PATHS = {
+    "broadcast": {},
+    "blocked": {"max_broadcast_queries": 5, "corpus_block_rows": 50},
+    # Tiny score budget: every task scores its corpus rows in slices of 1-3 rows.
+    "broadcast_sliced": {"max_score_cells": 40},
+    "blocked_sliced": {"max_broadcast_queries": 5, "corpus_block_rows": 50, "max_score_cells": 7},
+}
+
+
+@pytest.mark.parametrize("path", list(PATHS))
 def test_top_k_exact(small, path):
     corpus, queries, cdf, qdf = small
-    kw = {} if path == "broadcast" else {"max_broadcast_queries": 5, "corpus_block_rows": 50}
+    kw = PATHS[path]
     res = search.top_k_similar(cdf, qdf, k=4, **kw).collect()
     got = {}
     for r in sorted(res, key=lambda r: (r["query_id"], r["rank"])):

@@ -31,6 +31,8 @@ from ..functions.vectors import l2_norm, l2_normalize
 
 MAX_BROADCAST_QUERIES = 4096
 CORPUS_BLOCK_ROWS = 200_000
+# Most query x corpus scores held at once in one task (128 MB of float64).
+MAX_SCORE_CELLS = 1 << 24
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 
 
@@ -108,9 +110,32 @@ def _top_k_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int,
     return out
 
 
-def _score_frame(qids, qmat, pdf, k, id_col, vec_col, carry, qid_col):
+def _score_frame(qids, qmat, pdf, k, id_col, vec_col, carry, qid_col, cells=MAX_SCORE_CELLS):
+    """Exact local top-k of every query over the corpus rows in ``pdf``.
+
+    The corpus rows are scored in slices so that at most ``MAX_SCORE_CELLS``
+    scores exist at once (a 4 096-query chunk against a 200 000-row block would
+    otherwise be a 6.5 GB matrix); the slices' lists are merged exactly.
+    """
     if len(pdf) == 0 or len(qids) == 0:
         return None
+    step = max(1, cells // len(qids))
+    parts = [r for lo in range(0, len(pdf), step)
+             if (r := _score_slice(qids, qmat, pdf.iloc[lo:lo + step], k, id_col, vec_col, carry, qid_col))
+             is not None]
+    if len(parts) <= 1:
+        return parts[0] if parts else None
+    res = pd.concat(parts, ignore_index=True)
+    if res[id_col].dtype == object:
+        res = res.assign(_sid=res[id_col].astype(str))
+        order = ["_sid"]
+    else:
+        order = [id_col]
+    res = res.sort_values([qid_col, "score", *order], ascending=[True, False, True], kind="mergesort")
+    return res.groupby(qid_col, sort=False).head(k).drop(columns=["_sid"], errors="ignore")
+
+
+def _score_slice(qids, qmat, pdf, k, id_col, vec_col, carry, qid_col):
     cmat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
     # Scores are rounded at 1e-10 so equal vectors tie exactly whatever the
     # summation order of the matrix product; ties then go to the smaller id.
@@ -131,7 +156,7 @@ def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str
                   vec_col: str = "embedding", query_id_col: str = "query_id", query_vec_col: str = "embedding",
                   carry: list[str] | None = None, normalize: bool = True, score_digits: int | None = 4,
                   max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-                  corpus_block_rows: int = CORPUS_BLOCK_ROWS) -> DataFrame:
+                  corpus_block_rows: int = CORPUS_BLOCK_ROWS, max_score_cells: int = MAX_SCORE_CELLS) -> DataFrame:
     """Exact top-k corpus rows per query by cosine similarity.
 
     Returns (query_id, rank, id, score, *carry); ``k`` is effectively capped by
@@ -158,7 +183,7 @@ def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str
         def score_partition(batches):
             ids, mat = bq.value
             for pdf in batches:
-                res = _score_frame(ids, mat, pdf, k, id_col, "_cv", carry, "_qid")
+                res = _score_frame(ids, mat, pdf, k, id_col, "_cv", carry, "_qid", max_score_cells)
                 if res is not None:
                     yield res
 
@@ -175,7 +200,8 @@ def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str
             if len(qpdf) == 0 or len(cpdf) == 0:
                 return pd.DataFrame({f.name: [] for f in schema.fields})
             mat = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
-            res = _score_frame(qpdf["_qid"].to_numpy(), mat, cpdf, k, id_col, "_cv", carry, "_qid")
+            res = _score_frame(qpdf["_qid"].to_numpy(), mat, cpdf, k, id_col, "_cv", carry, "_qid",
+                               max_score_cells)
             return res if res is not None else pd.DataFrame({f.name: [] for f in schema.fields})
 
         partial = (qs.groupBy("_chunk", "_blk").cogroup(cs.groupBy("_chunk", "_blk"))
