@@ -86,14 +86,25 @@ def unique_failures(df: DataFrame, column: str) -> DataFrame:
             .filter(F.col("n") > 1))
 
 
+def _result(seq, model: str, test: str, column, failures):
+    return F.struct(F.lit(seq).alias("seq"), F.lit(model).alias("model"), F.lit(test).alias("test"),
+                    F.lit(column).cast("string").alias("column"), failures.cast("bigint").alias("failures"))
+
+
 def run_suite(models: dict[str, DataFrame], suite: list[Check] | None = None,
-              columns: dict[str, dict[str, str]] | None = None) -> DataFrame:
+              columns: dict[str, dict[str, str]] | None = None,
+              singular: dict[str, tuple[str, object]] | None = None) -> DataFrame:
     """Evaluate the suite on the given models (missing models are skipped).
 
     Models given as the same DataFrame object (row-aligned layers carried in
     one frame) are tested in one aggregate, and a uniqueness test on the same
     frame and column runs once.  ``columns`` maps a model's column name to the
-    frame's column name where they differ.
+    frame's column name where they differ.  ``singular`` adds row tests
+    (name -> (model, condition factory)) counted in the first model's aggregate.
+
+    Per frame: one global aggregate (map-side partial counts, no shuffle of
+    rows) for all column and singular tests, and one narrow grouped count per
+    unique column (shuffle of the key only).
     """
     suite = suite or SUITE
     columns = columns or {}
@@ -105,17 +116,24 @@ def run_suite(models: dict[str, DataFrame], suite: list[Check] | None = None,
             frames[id(df)] = df
             col = columns.get(k.model, {}).get(k.column, k.column)
             by_frame.setdefault(id(df), []).append((i, k, col))
+    first = next(iter(models.values()))
+    if singular:
+        frames.setdefault(id(first), first)
+        by_frame.setdefault(id(first), [])
     parts = []
     for fid, items in by_frame.items():
         df = frames[fid]
-        cols = [(i, k, c) for i, k, c in items if k.kind != "unique"]
-        if cols:
-            agg = df.agg(*[_failure_expr(Check(k.model, c, k.kind, k.values, k.minimum)).alias(f"f{j}")
-                           for j, (_, k, c) in enumerate(cols)])
+        # (seq, model, test, column, failure count expression)
+        rows = [(i, k.model, k.name, k.column, _failure_expr(Check(k.model, c, k.kind, k.values, k.minimum)))
+                for i, k, c in items if k.kind != "unique"]
+        if singular and fid == id(first):
+            rows += [(len(suite) + j, model, name, None, F.count_if(F.coalesce(cond(), F.lit(False))))
+                     for j, (name, (model, cond)) in enumerate(singular.items())]
+        if rows:
+            agg = df.agg(*[e.alias(f"f{j}") for j, (*_, e) in enumerate(rows)])
             parts.append(agg.select(F.inline(F.array(*[
-                F.struct(F.lit(i).alias("seq"), F.lit(k.model).alias("model"), F.lit(k.name).alias("test"),
-                         F.lit(k.column).alias("column"), F.col(f"f{j}").alias("failures"))
-                for j, (i, k, c) in enumerate(cols)]))))
+                _result(seq, model, test, column, F.col(f"f{j}"))
+                for j, (seq, model, test, column, _) in enumerate(rows)]))))
         uniq: dict[str, list[tuple[int, Check]]] = {}
         for i, k, c in items:
             if k.kind == "unique":
@@ -123,9 +141,7 @@ def run_suite(models: dict[str, DataFrame], suite: list[Check] | None = None,
         for c, checks in uniq.items():
             n = unique_failures(df, c).agg(F.count(F.lit(1)).alias("failures"))
             parts.append(n.select(F.inline(F.array(*[
-                F.struct(F.lit(i).alias("seq"), F.lit(k.model).alias("model"), F.lit("unique").alias("test"),
-                         F.lit(k.column).alias("column"), F.col("failures").alias("failures"))
-                for i, k in checks]))))
+                _result(i, k.model, "unique", k.column, F.col("failures")) for i, k in checks]))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -142,8 +158,11 @@ def upstream_suite(raw: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
     from ..operators.staging import stage_tickets
     wide_stg = stage_tickets(raw, keep_raw=list(RAW_ONLY))
     wide = enrich_tickets(wide_stg, as_of) if as_of else enrich_tickets(wide_stg)
-    res = run_suite({"raw": wide, "staging": wide, "enriched": wide}, columns={"raw": RAW_ONLY})
-    return res.unionByName(run_singular(wide)), wide
+    # Declared and singular tests of the three layers: one aggregate and one
+    # narrow uniqueness count over the same row-aligned frame.
+    res = run_suite({"raw": wide, "staging": wide, "enriched": wide}, columns={"raw": RAW_ONLY},
+                    singular={name: ("staging", cond) for name, cond in SINGULAR_ROWS.items()})
+    return res, wide
 
 
 def _negative_resolution_rows():

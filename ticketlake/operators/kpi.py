@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_rank, count_where, pct, round_half_up
-from .quantiles import exact_quantiles, join_on_keys
+from .quantiles import attach_quantiles
 
 ALL = "All"
 
@@ -290,8 +290,8 @@ def resolution_spread_by_severity(fact: DataFrame, approx: bool = False) -> Data
         out = fact.groupBy("severity_level").agg(closed, F.percentile_approx(h, qs, 10000).alias("_q")).select(
             "severity_level", "closed_tickets", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     else:
-        spread = exact_quantiles(fact.filter(F.col("is_closed")), ["severity_level"], "resolution_hours", qs, names)
-        out = join_on_keys(fact.groupBy("severity_level").agg(closed), spread, ["severity_level"])
+        out = attach_quantiles(fact.groupBy("severity_level").agg(closed), fact.filter(F.col("is_closed")),
+                               ["severity_level"], "resolution_hours", qs, names)
     return out.select("severity_level", "closed_tickets",
                       *[round_half_up(n, 2).alias(n) for n in names]).orderBy("severity_level")
 

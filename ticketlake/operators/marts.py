@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, pct, round_half_up
-from .quantiles import exact_quantiles, join_on_keys
+from .quantiles import attach_quantiles
 
 FACT_COLUMNS = [
     "ticket_id", "vehicle_chassis_id", "vehicle_vin", "chassis_series",
@@ -63,9 +63,9 @@ def _rollup(tickets: DataFrame, keys: list[str], measures: list[tuple[str, Colum
     if not names:
         return base
     closed = tickets.filter(F.col("is_closed"))
-    med = exact_quantiles(closed, keys, "resolution_hours", [0.5], ["_m"])
-    med = med.select(*keys, round_half_up("_m", 2).alias(names[0]))
-    return join_on_keys(base, med, keys).select(*keys, *[n for n, _ in measures])
+    joined = attach_quantiles(base, closed, keys, "resolution_hours", [0.5], ["_m"])
+    return joined.select(*[F.col(k) for k in keys],
+                         *[round_half_up("_m", 2).alias(n) if e is MEDIAN else F.col(n) for n, e in measures])
 
 
 def _distinct(x: str, approx: bool) -> Column:

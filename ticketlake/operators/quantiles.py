@@ -45,9 +45,11 @@ def value_bucket(v: Column, scale: int = DEFAULT_SCALE) -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: list[float],
-                    names: list[str], scale: int = DEFAULT_SCALE) -> DataFrame:
+                    names: list[str], scale: int = DEFAULT_SCALE, keep_key: bool = False) -> DataFrame:
     """One row per group (``keys``; none = the whole table) that has a
     non-null value: the keys, then one double column per probability.
+    ``keep_key`` returns the struct group key ``_g`` instead of the key
+    columns (see :func:`attach_quantiles`).
 
     Matches ``percentile(value, p)``: position ``p * (n - 1)`` over the sorted
     non-null values, linear interpolation between its floor and ceil ranks.
@@ -97,10 +99,25 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
         vlo, vhi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         outs.append(F.when((lo == hi) | (vlo == vhi), vlo)
                     .otherwise((hi - pos) * vlo + (pos - lo) * vhi).alias(name))
+    if keep_key:
+        return picked.select("_g", *outs)
     key_cols = [F.col("_g").getField(k).alias(k) for k in keys]
     return picked.select(*key_cols, *outs)
 
 
+def attach_quantiles(base: DataFrame, df: DataFrame, keys: list[str], value: str | Column,
+                     probs: list[float], names: list[str]) -> DataFrame:
+    """``base`` (one row per group of ``keys``) left-joined with the exact
+    quantiles of ``value`` over ``df`` per group (NULL when a group has no
+    value).  The join is on the quantile aggregation's own group key, so
+    Catalyst knows that side is unique per key and drops the whole quantile
+    plan when a query reads none of its columns."""
+    q = exact_quantiles(df, keys, value, probs, names, keep_key=True)
+    g = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    return (base.select(g.alias("_g"), *[F.col(f"`{c}`") for c in base.columns])
+            .join(q, "_g", "left").drop("_g"))
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join two frames grouped by the same keys, NULL keys matching NULL keys
     (one struct key; both sides hold one row per group)."""
