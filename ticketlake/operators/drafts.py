@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.session import sized_broadcast
+from ..plans.session import reliable_checkpoint, sized_broadcast
 from . import routing, search
 
 CONTEXT_K = 3
@@ -79,10 +79,16 @@ def retrieve_context(queries: DataFrame, corpus: DataFrame, k: int = CONTEXT_K)
     assigned_team, similarity_score, description>> sorted by rank.  Blank
     query texts are rejected (no row).
     """
-    q = (queries.select("ticket_id", F.coalesce(F.col("description"), F.lit("")).alias("description"))
-         .filter(F.length(F.trim("description")) > 0))
-    c = corpus.select("ticket_id", F.coalesce(F.col("description"), F.lit("")).alias("description"),
-                      F.coalesce(F.col("assigned_team"), F.lit("")).alias("assigned_team"))
+    # Retrieval runs several jobs over these narrow text tables (term
+    # statistics, document count, size checks, scoring, the final join); a
+    # reliable checkpoint of each cuts lineage so the upstream ticket pipeline
+    # (joins, enrichment) runs once, and a lost executor re-reads files.
+    q = reliable_checkpoint(
+        queries.select("ticket_id", F.coalesce(F.col("description"), F.lit("")).alias("description"))
+        .filter(F.length(F.trim("description")) > 0))
+    c = reliable_checkpoint(
+        corpus.select("ticket_id", F.coalesce(F.col("description"), F.lit("")).alias("description"),
+                      F.coalesce(F.col("assigned_team"), F.lit("")).alias("assigned_team")))
     embed = text_vectors(c)
     w = Window.partitionBy("description").orderBy("ticket_id")
     reps = c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
@@ -91,9 +97,12 @@ def retrieve_context(queries: DataFrame, corpus: DataFrame, k: int = CONTEXT_K)
     cv = embed(reps)
     hits = search.top_k_similar(cv, qv, k=k, id_col="ticket_id", query_id_col="query_text",
                                 carry=["assigned_team", "description"])
-    ctx = hits.groupBy("query_text").agg(F.array_sort(F.collect_list(F.struct(
+    # One row per distinct query text with its k hits (k is small, so the
+    # collected list is bounded); checkpointed so the size check below and
+    # the join do not both re-run the scoring.
+    ctx = reliable_checkpoint(hits.groupBy("query_text").agg(F.array_sort(F.collect_list(F.struct(
         F.col("rank"), F.col("ticket_id"), F.col("assigned_team"), F.col("score").alias("similarity_score"),
-        F.col("description")))).alias("context"))
+        F.col("description")))).alias("context")))
     return (q.withColumn("query_text", F.trim("description"))
             .join(sized_broadcast(ctx, MAX_TEXTS_BROADCAST), "query_text", "left")
             .select("ticket_id", "description",
