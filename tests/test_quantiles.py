@@ -74,3 +74,17 @@ def test_bucket_is_monotone(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r["b"] for r in df.select("v", value_bucket(F.col("v")).alias("b")).orderBy("v").collect()]
     assert all(a <= b for a, b in zip(got, got[1:]))
+
+
+def test_unused_median_is_pruned_from_the_plan(spark):
+    """A query that reads no median column plans no quantile branch; one that
+    does keeps the left join (the mart tests and KPI sums rely on this)."""
+    from ticketlake.operators import marts
+    from ticketlake.registry import enriched
+
+    from .conftest import SF001
+    mart = marts.team_workload(enriched(spark, SF001))
+    lean = mart.select("assigned_team", "total_tickets")._jdf.queryExecution().optimizedPlan().toString()
+    full = mart._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in lean and "Window" not in lean
+    assert "LeftOuter" in full and "Window" in full
