@@ -37,3 +37,10 @@ def test_stats_and_histogram(spark):
     assert r["outliers"] == int(((h < q1 - 1.5 * (q3 - q1)) | (h > q3 + 1.5 * (q3 - q1))).sum())
     hist = quality.histogram(df).collect()
     assert sum(x["count"] for x in hist) == 2000 and max(x["bin"] for x in hist) == 59
+
+
+def test_stats_and_histogram_on_no_numeric_rows(spark):
+    df = spark.createDataFrame([(None,), ("bad",)], "time_to_close_seconds string")
+    r = quality.resolution_stats(df).first()
+    assert r["n"] == 0 and r["median_hours"] is None and r["outliers"] == 0
+    assert quality.histogram(df).collect() == []
