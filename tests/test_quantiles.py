@@ -88,3 +88,23 @@ def test_unused_median_is_pruned_from_the_plan(spark):
     full = mart._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" not in lean and "Window" not in lean
     assert "LeftOuter" in full and "Window" in full
+
+
+def test_approx_marts_keep_schema_and_groups(spark):
+    from ticketlake.operators import marts
+    from ticketlake.registry import enriched
+
+    from .conftest import SF001
+    enr = enriched(spark, SF001)
+    for fn, keys in [(marts.team_workload, marts.TEAM_KEYS), (marts.product_defects, marts.PRODUCT_KEYS)]:
+        exact, approx = fn(enr), fn(enr, approx=True)
+        assert exact.columns == approx.columns
+        e = {tuple(r[k] for k in keys): r["median_resolution_hours"] for r in exact.collect()}
+        a = {tuple(r[k] for k in keys): r["median_resolution_hours"] for r in approx.collect()}
+        assert e.keys() == a.keys()
+        assert all((v is None) == (a[k] is None) for k, v in e.items())
+    # percentile_approx returns one of the group's values (no interpolation),
+    # so it lies within the group's closed-ticket range.
+    for r in marts.team_workload(enr, approx=True).collect():
+        if r["median_resolution_hours"] is not None:
+            assert r["min_resolution_hours"] <= r["median_resolution_hours"] <= r["max_resolution_hours"]
