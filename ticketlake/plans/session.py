@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +72,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _SIZE_CHECKS: dict[tuple[int, int], bool] = {}
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application).
+
+    Functions handed to pandas UDFs and ``mapInArrow`` are pickled by module
+    name, so workers on other machines need the package itself.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_ticketlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    path = Path(tempfile.mkdtemp(prefix="ticketlake-pkg-")) / f"{root.name}.zip"
+    path.write_bytes(buf.getvalue())
+    sc.addPyFile(str(path))
+    sc._ticketlake_shipped = True
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Eager checkpoint to the session's reliable checkpoint folder (never a
     local checkpoint): cuts lineage so lost executors recompute from files."""
