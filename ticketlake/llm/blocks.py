@@ -16,19 +16,18 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import reliable_checkpoint, ship_package
 
-BLOCK_DOCS = 4096
-BLOCK_CHARS = 8_000_000
+BLOCK_DOCS = 16_384
+BLOCK_CHARS = 24_000_000
 # Rows of a block handed to the JVM at once.
 ROWS_OUT = 20_000
 
-DOC_FIELDS = "doc_id long"
-
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """The columns an operator reads: integer id, text (null: empty) and ``more``."""
@@ -57,9 +56,7 @@ def blocks(batches: Iterable[pa.RecordBatch], docs: int = BLOCK_DOCS, chars: int
            text: str = "text") -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into slices of bounded rows and characters (a longer text stands alone)."""
     for batch in batches:
-        sizes = np.diff(np.frombuffer(batch.column(text).cast(pa.large_string()).buffers()[1], np.int64,
-                                      count=len(batch) + 1 + batch.column(text).offset)[-(len(batch) + 1):]) \
-            if len(batch) else np.zeros(0, np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start, room = 0, 0
         for i, n in enumerate(sizes):
             if i > start and (room + n > chars or i - start >= docs):
@@ -78,8 +75,8 @@ class Numbered(dict):
         return n
 
 
-def pairs_by_key(ids: np.ndarray, doc_of: np.ndarray, n_keys: int) -> pa.Array:
-    """Per key 0..n_keys-1 the (document index, count) pairs as binary uint16s."""
+def counted_pairs(ids: np.ndarray, doc_of: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document indexes and counts (uint16) by key 0..n_keys-1, and where each key's pairs start."""
     codes, counts = np.unique((ids.astype(np.int64) << 16) | doc_of, return_counts=True)
     big = 0xFFFF  # a count beyond 16 bits becomes several pairs
     times = (counts - 1) // big + 1
@@ -88,21 +85,30 @@ def pairs_by_key(ids: np.ndarray, doc_of: np.ndarray, n_keys: int) -> pa.Array:
         counts = np.full(times.sum(), big)
         counts[np.cumsum(times) - 1] = last
         codes = np.repeat(codes, times)
-    pairs = np.empty((len(codes), 2), "<u2")
-    pairs[:, 0] = codes & 0xFFFF
-    pairs[:, 1] = counts
-    ends = np.zeros(n_keys + 1, np.int32)
-    np.cumsum(np.bincount(codes >> 16, minlength=n_keys) * 4, out=ends[1:])
-    return pa.Array.from_buffers(pa.binary(), n_keys, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())])
+    starts = np.zeros(n_keys + 1, np.int32)
+    np.cumsum(np.bincount(codes >> 16, minlength=n_keys), out=starts[1:])
+    return (codes & 0xFFFF).astype("<u2"), counts.astype("<u2"), starts
+
+
+def pairs_by_key(ids: np.ndarray, doc_of: np.ndarray, n_keys: int) -> pa.Array:
+    """Per key 0..n_keys-1 the (document index, count) pairs as binary uint16s."""
+    docs, counts, starts = counted_pairs(ids, doc_of, n_keys)
+    pairs = np.column_stack([docs, counts])
+    return pa.Array.from_buffers(pa.binary(), n_keys,
+                                 [None, pa.py_buffer((starts * 4).tobytes()), pa.py_buffer(pairs.tobytes())])
 
 
 def to_bytes(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
+def from_bytes(data: bytes) -> pa.RecordBatch | pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
 def postings(texts: DataFrame, describe: Callable[[pa.RecordBatch], tuple], key_type: str = "string") -> DataFrame:
     """Rows (block, head, key, pairs); ``describe(slice)`` gives (head batch, keys, pairs).
 
@@ -147,9 +153,9 @@ def sum_blocks(weighed: DataFrame, names: list[str], fields: str, finish: Callab
     def add_up(table: pa.Table) -> pa.Table:
         head_col = table.column("head").combine_chunks()
         heads = [h.as_py() for h in head_col.drop_null()]
-        head = pa.ipc.open_stream(heads[0]).read_all().combine_chunks()
+        head = from_bytes(heads[0])
         n = head.num_rows
-        body = table.filter(pa.compute.is_valid(table.column(names[0])))
+        body = table.filter(pc.is_valid(table.column(names[0])))
         sums = {k: np.zeros(n) for k in names}
         found = np.zeros(n)
         if body.num_rows:

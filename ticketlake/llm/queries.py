@@ -8,7 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.fixtures import read_table
+from . import linededup
+from .decontam import find_contamination
+from .htmltext import extract_pages
+from .nearup import near_duplicates
+from .packing import pack_documents
+from .secretscan import scan_secrets
 from .tokencount import token_counts
+from .toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +33,39 @@ def register(name: str, oracle: str | None = None):
 @register("op6_token_counts")
 def op6(spark, sf_dir):
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op1_packing")
+def op1(spark, sf_dir):
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op4_secrets")
+def op4(spark, sf_dir):
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+@register("op10_near_duplicates")
+def op10(spark, sf_dir):
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@register("op2_toxicity")
+def op2(spark, sf_dir):
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register("op3_decontamination")
+def op3(spark, sf_dir):
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op8_line_dedup", linededup.oracle())
+def op8(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_recurring_lines(docs)
+
+
+@register("op9_html_extraction")
+def op9(spark, sf_dir):
+    return extract_pages(read_table(spark, sf_dir, "pages"))
