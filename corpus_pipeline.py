@@ -1,17 +1,92 @@
-"""The corpus pipeline: stages over ``documents``, each by one of the operators."""
+"""The corpus pipeline: stages over ``documents``, each by one of the operators.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``documents``.  In order: documents predicted toxic
+go; lines that recur across documents go; of each group of near duplicates the
+least doc_id stays; documents that hold a benchmark item go; the rest is packed.
+
+Rows without doc_id are kept by all stages (nothing can name them); rows that
+repeat a doc_id become one in the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ticketlake.llm.blocks import cut, fresh
+from ticketlake.llm.decontam import drop_contaminated
+from ticketlake.llm.linededup import drop_recurring_lines
+from ticketlake.llm.nearup import near_duplicates
+from ticketlake.llm.packing import pack_documents
+from ticketlake.llm.toxicity import score_toxicity
+from ticketlake.plans.session import sized_broadcast
 from ticketlake.sources.fixtures import read_table
 
-STAGES: list = []
+# Ids a stage removes are broadcast up to this many rows, beyond it joined by shuffle.
+REMOVED_BROADCAST_ROWS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` whose doc_id is not among ``ids`` (one column)."""
+    name = fresh(docs.columns, "_removed")
+    gone = sized_broadcast(ids.toDF(name).distinct(), REMOVED_BROADCAST_ROWS)
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scores = score_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return without(docs, cut(scores.where("predicted = 1 and doc_id is not null").select("doc_id")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = drop_recurring_lines(docs)
+    return cleaned.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
+                            for c in docs.columns])
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """One row per doc_id (the least text); rows without doc_id all stay."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not again.limit(1).count():
+        return docs
+    nth = fresh(docs.columns, "_nth")
+    repeated = docs.join(again, "doc_id", "left_semi").withColumn(
+        nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1).drop(nth)
+    return without(docs, again).unionByName(repeated)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = near_duplicates(docs)
+    return one_row_each(without(docs, cut(classes.where("doc_id <> class_id").select("doc_id"))))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+# A trained model and signatures: SQL cannot express the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; between stages the rows go through the checkpoint folder."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs

@@ -125,8 +125,8 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY)
 
 # --- the cutting-stock program (bounded by the number of length classes) -------
 
-def best_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the multiset of sizes within ``room`` of most price."""
+def best_patterns(prices: np.ndarray, sizes: np.ndarray, room: int, several: int = 12) -> tuple[float, list[np.ndarray]]:
+    """Unbounded knapsack: the most price within ``room``, and patterns of most price, each led by another size."""
     order = np.argsort(sizes)
     s, p = sizes[order], prices[order]
     fits = np.searchsorted(s, np.arange(room + 1), side="right")
@@ -138,38 +138,44 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
             k = int(got.argmax())
             if got[k] > best[r] + 1e-12:
                 best[r], last[r] = got[k], k
-    pattern, r = np.zeros(len(sizes)), room
-    while r > 0:
-        if last[r] < 0:
-            r -= 1
-        else:
-            pattern[order[last[r]]] += 1
-            r -= int(s[last[r]])
-    return float(best[room]), pattern
+    patterns = []
+    for lead in np.argsort(-(best[room - s] + p), kind="stable")[:several]:
+        pattern, r = np.zeros(len(sizes)), room - int(s[lead])
+        pattern[order[lead]] = 1
+        while r > 0:
+            if last[r] < 0:
+                r -= 1
+            else:
+                pattern[order[last[r]]] += 1
+                r -= int(s[last[r]])
+        patterns.append(pattern)
+    return float(best[room]), patterns
 
 
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = LP_GAP):
     """Patterns (rows) and amounts of a near-optimal LP solution; min sum x, A x = demand."""
-    m = len(sizes)
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     amounts = inverse @ demand
-    low = 0.0
+    low = sizes @ demand / room  # no packing is tighter than its material
     while True:
-        value, col = best_pattern(inverse.sum(axis=0), sizes, room)
+        value, columns = best_patterns(inverse.sum(axis=0), sizes, room)
         total = amounts.sum()
         low = max(low, total / max(value, 1.0))  # no solution is below total / value
         if value <= 1 + 1e-9 or total - low <= gap * total:
             return basis.T, np.maximum(amounts, 0)
-        step = inverse @ col
-        ratio = np.where(step > 1e-9, amounts / np.where(step > 1e-9, step, 1), np.inf)
-        out = int(ratio.argmin())
-        amounts = amounts - ratio[out] * step
-        amounts[out] = ratio[out]
-        basis[:, out] = col
-        row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
+        for col in columns:
+            if inverse.sum(axis=0) @ col <= 1 + 1e-9:
+                continue  # an earlier column of this round already took its gain
+            step = inverse @ col
+            ratio = np.where(step > 1e-9, amounts / np.where(step > 1e-9, step, 1), np.inf)
+            out = int(ratio.argmin())
+            amounts = amounts - ratio[out] * step
+            amounts[out] = ratio[out]
+            basis[:, out] = col
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
 
 
 def plan(sizes: list[int], demand: list[int], room: int) -> list[tuple[dict[int, int], int]]:

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.fixtures import read_table
 from . import linededup
+from .annforest import nearest
 from .decontam import find_contamination
 from .htmltext import extract_pages
+from .licenses import scan_licenses
 from .nearup import near_duplicates
 from .packing import pack_documents
 from .secretscan import scan_secrets
@@ -69,3 +72,14 @@ def op8(spark, sf_dir):
 @register("op9_html_extraction")
 def op9(spark, sf_dir):
     return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+@register("op5_nearest_neighbours")
+def op5(spark, sf_dir):
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return nearest(vectors, vectors.where(F.col("id") % 20 == 0), k=20)
+
+
+@register("op7_licenses")
+def op7(spark, sf_dir):
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
