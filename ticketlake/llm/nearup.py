@@ -12,10 +12,14 @@ Jaccard similarity.  Weights go in power-of-two slices [0,1), [1,2), [2,4)...
 
 Bands of ``ROWS`` coordinates are join keys.  At similarity 0.8 a pair shares
 one of the 24 bands with probability 1 - 3e-6.  Within a bucket nothing is
-paired with everything: each member is compared with the bucket's least member
-(its leader), and after components are known only members of *different*
-components of a bucket are compared.  Candidates are verified by the exact
-Jaccard similarity of their shingle sets, at least ``SIMILARITY``.
+paired with everything: each member is compared with the bucket's leader, the
+member that meets most others over all its buckets (the text that a group of
+near copies was made from, if it is there), and once components are known only
+members of *different* components of a bucket are compared.  Four bits of every
+coordinate ride along as a sketch: a pair whose sketches agree less than a pair
+at the required similarity does (by ``SIGMAS`` standard deviations, 1e-6) is no
+candidate.  Candidates are verified by the exact Jaccard similarity of their
+shingle sets, at least ``SIMILARITY``.
 
 Exact copies (the same words) collapse to one representative before that.
 
@@ -32,7 +36,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, cut, texts_of
@@ -42,6 +46,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
+SIGMAS = 4.75
+SKETCH_BITS = 4
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 400_000
 
@@ -154,24 +160,53 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(key + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """The low ``SKETCH_BITS`` of every coordinate, packed to 64-bit words (n x words)."""
+    per = 64 // SKETCH_BITS
+    n, k = sig.shape
+    low = np.zeros((n, -(-k // per) * per), np.uint64)
+    low[:, :k] = sig & np.uint64(2 ** SKETCH_BITS - 1)
+    shifts = (np.arange(per) * SKETCH_BITS).astype(np.uint64)
+    return np.bitwise_or.reduce(low.reshape(n, -1, per) << shifts, axis=2).view(np.int64)
+
+
+def least_agreement(k: int, at_least: float) -> int:
+    """Sketch coordinates that a pair of the similarity agrees on, but for ``SIGMAS`` deviations."""
+    p = at_least + (1 - at_least) / 2 ** SKETCH_BITS
+    return int(np.floor(k * p - SIGMAS * np.sqrt(k * p * (1 - p))))
+
+
+def disagreeing(a: str, b: str, words: int) -> Column:
+    """Number of coordinates in which two sketches (arrays of words) differ."""
+    mask = F.lit(sum(1 << i for i in range(0, 64, SKETCH_BITS)))  # the low bit of each coordinate
+    out = F.lit(0)
+    for w in range(words):
+        x = F.col(a)[w].bitwiseXOR(F.col(b)[w])
+        for step in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        out = out + F.bit_count(x.bitwiseAND(mask))
+    return out
+
+
 # --- distributed part -----------------------------------------------------------
 
 def signatures(docs: DataFrame, bands: int, rows: int, by_count: bool) -> DataFrame:
-    """(doc_id, h1, h2, n, bands): content hash, number of shingles and band keys of every text."""
-    fields = "doc_id long, h1 long, h2 long, n int, bands array<long>"
+    """(doc_id, h1, h2, n, bands, sketch): content hash, number of shingles, band keys and sketch of every text."""
+    fields = "doc_id long, h1 long, h2 long, n int, bands array<long>, sketch array<long>"
 
     def sign(batches):
         for part in blocks(batches, docs=2048, chars=6_000_000):
             texts = part.column("text").to_pylist()
             e, owner, count = element_sets(texts)
             weight = count.astype(float) if by_count else np.ones(len(e))
-            keys = band_keys(dart_minhash(e, owner, weight, len(texts), bands * rows), bands, rows)
+            sig = dart_minhash(e, owner, weight, len(texts), bands * rows)
+            keys, low = band_keys(sig, bands, rows), sketch(sig)
             n = np.bincount(owner, minlength=len(texts))
             ids = [xxhash.xxh3_128_digest(" ".join(WORD.findall(t.lower()))) for t in texts]
             both = np.frombuffer(b"".join(ids), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n, pa.int32()),
-                 pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))],
+                 *[pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys, low)]],
                 [f.split()[0] for f in fields.split(", ")])
 
     return texts_of(docs).mapInArrow(sign, fields)
@@ -215,31 +250,44 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, bands: int =
     verified on shingle sets.
     """
     signed = cut(signatures(docs, bands, rows, by_count))
-    near = F.lit(at_least - 1e-9)
+    k = bands * rows
+    words = -(-k * SKETCH_BITS // 64)
     reps = (signed.where("doc_id is not null and n > 0").groupBy("h1", "h2")
-            .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    buckets = cut(reps.select("rep", "n", F.explode("bands").alias("key")))
-
-    # Round 1: every member of a bucket against the bucket's least member.
-    leader = (buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("members"))
-              .where("members > 1").select("key", F.col("first.rep").alias("a"), F.col("first.n").alias("na"), "members"))
-    led = buckets.join(leader, "key").where("rep <> a")
-    similar_size = (F.least("n", "na") >= near * F.greatest("n", "na"))
-    links = cut(verified(led.where(similar_size).select("a", F.col("rep").alias("b")).distinct(), docs, at_least))
+            .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+                 F.first("sketch").alias("sketch")))
+    alike = ((F.least("n", "na") >= F.lit(at_least - 1e-9) * F.greatest("n", "na"))
+             & (disagreeing("sketch", "sa", words) <= k - least_agreement(k, at_least)))
+
+    # Members of the buckets that hold more than one text.
+    keyed = reps.select("rep", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = cut(keyed.join(shared, "key"))
+    met = buckets.groupBy("rep").agg(F.sum("members").alias("met"))
+    about = cut(reps.select("rep", "n", "sketch").join(met, "rep"))
+
+    # Round 1: every member of a bucket against the bucket's leader.
+    leader = (buckets.join(about.select("rep", "met"), "rep").groupBy("key")
+              .agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("first"))
+              .select("key", (-F.col("first.back")).alias("a")))
+    led = buckets.select("key", "rep").join(leader, "key").where("rep <> a").select("a", "rep").distinct()
+    as_a = about.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    first = (led.join(about, "rep").join(as_a, "a").where(alike)
+             .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
+    links = cut(verified(first, docs, at_least))
     roots = components(links)
 
     # Round 2: members of one bucket that are still in different components.
-    placed = buckets.join(roots, buckets["rep"] == roots["id"], "left").select(
-        "key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    mixed = (placed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"),
-                                       F.min("rep").alias("leader"))
-             .where("members > 2 and r0 <> r1").select("key", "leader"))
-    left = placed.join(mixed, "key").where("rep <> leader").drop("leader")
-    right = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("na"), F.col("root").alias("root2"))
-    rest = (left.join(right, "key").where((F.col("root") < F.col("root2")) & similar_size)
-            .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct())
-    more = cut(verified(rest, docs, at_least))
-    roots = components(links.unionByName(more)) if more.limit(1).count() else roots
+    placed = (buckets.select("key", "rep").join(about.select("rep", "n", "sketch"), "rep")
+              .join(roots, F.col("rep") == F.col("id"), "left")
+              .select("key", "rep", "n", "sketch", F.coalesce("root", "rep").alias("root")))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    left = placed.join(mixed.join(leader, "key"), "key").where("rep <> a").drop("a")
+    right = left.select("key", F.col("rep").alias("b"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("root").alias("rb"))
+    rest = cut(left.join(right, (left["key"] == right["key"]) & (F.col("root") < F.col("rb")) & alike)
+               .select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct())
+    if rest.limit(1).count():
+        more = cut(verified(rest, docs, at_least))
+        roots = components(links.unionByName(more))
 
     of_text = (reps.select("h1", "h2", "rep").join(roots, F.col("rep") == F.col("id"), "left")
                .select("h1", "h2", F.coalesce("root", "rep").alias("class_id")))
