@@ -15,9 +15,11 @@ from .conftest import SF001, documents
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def ids(text):
-    t = Tokenizer.from_file(PATH)
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def check(rows, texts, capacity=4096):

@@ -1,13 +1,14 @@
-"""Shared pieces of the operators: texts in Arrow tasks, and block postings.
-
-*Block postings* carry "how often does each document hold each key" through a
-shuffle without a row per (document, key).  A task cuts its documents into
-blocks (at most ``BLOCK_DOCS`` documents and about ``BLOCK_CHARS`` characters)
-and emits one row per distinct key of a block: the key and a binary of
-(document index, count) pairs.  After a join that gives each key its weight,
-``sum_blocks`` adds up ``count * weight`` per document, one block per group.
-A key in every document is one small row per block, so no key is hot enough to
-need its own path; the join's larger partitions are split by AQE.
+"""Shared pieces of the operators: texts in Arrow tasks, and packed frequencies.
+
+*Packed frequencies* carry "how often does each document hold each key" through
+a shuffle without a row per (document, key), which would be more bytes than the
+texts.  A task cuts its documents into blocks and emits, per block and bucket of
+keys (by hash), one row that holds the bucket's keys with their (document,
+count) lists by column.  A group per bucket then sees every occurrence of its
+keys, weighs each distinct key once, and sums ``count * weight`` per document; a
+last group per block adds up the buckets.  Buckets follow the number of shuffle
+partitions, so a group is a task's share of the data; a key in every document is
+one entry per block in one bucket.
 """
 
 from __future__ import annotations
@@ -90,14 +91,6 @@ def counted_pairs(ids: np.ndarray, doc_of: np.ndarray, n_keys: int) -> tuple[np.
     return (codes & 0xFFFF).astype("<u2"), counts.astype("<u2"), starts
 
 
-def pairs_by_key(ids: np.ndarray, doc_of: np.ndarray, n_keys: int) -> pa.Array:
-    """Per key 0..n_keys-1 the (document index, count) pairs as binary uint16s."""
-    docs, counts, starts = counted_pairs(ids, doc_of, n_keys)
-    pairs = np.column_stack([docs, counts])
-    return pa.Array.from_buffers(pa.binary(), n_keys,
-                                 [None, pa.py_buffer((starts * 4).tobytes()), pa.py_buffer(pairs.tobytes())])
-
-
 def to_bytes(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -109,69 +102,77 @@ def from_bytes(data: bytes) -> pa.RecordBatch | pa.Table:
     return pa.ipc.open_stream(data).read_all().combine_chunks()
 
 
-def postings(texts: DataFrame, describe: Callable[[pa.RecordBatch], tuple], key_type: str = "string") -> DataFrame:
-    """Rows (block, head, key, pairs); ``describe(slice)`` gives (head batch, keys, pairs).
+PACKED = "block long, bucket int, head binary, part binary"
+SUMS = "block long, head binary, docs binary, sums binary"
 
-    The head row of a block holds what the documents carry of their own, under
-    a null key.  ``texts`` must give the same rows in the same order when a
-    lost task runs again, as a table scan or a checkpoint does.
-    """
-    arrow_key = {"string": pa.string(), "long": pa.int64()}[key_type]
-    schema = pa.schema([("block", pa.int64()), ("head", pa.binary()), ("key", arrow_key), ("pairs", pa.binary())])
-
-    def emit(batches):
-        base = TaskContext.get().partitionId() << 32
-        for n, part in enumerate(blocks(batches)):
-            head, keys, pairs = describe(part)
-            block = base + n
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([to_bytes(head)], pa.binary()),
-                                              pa.nulls(1, arrow_key), pa.nulls(1, pa.binary())], schema=schema)
-            for a in range(0, len(keys), ROWS_OUT):
-                k = keys.slice(a, ROWS_OUT)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block), pa.int64()),
-                                                  pa.nulls(len(k), pa.binary()), k, pairs.slice(a, ROWS_OUT)], schema=schema)
 
-    return texts.mapInArrow(emit, f"block long, head binary, key {key_type}, pairs binary")
+def bucket_count(spark: SparkSession) -> int:
+    return max(16, spark_conf_int(spark, "spark.sql.shuffle.partitions", 200))
 
 
-def weigh(rows: DataFrame, weights: DataFrame, names: list[str]) -> DataFrame:
-    """Left join of postings with ``weights`` (key, names); heads spread over all tasks."""
-    salted = F.when(F.col("head").isNotNull(), F.struct(F.col("block").alias("b"), F.lit(None).cast(
-        rows.schema["key"].dataType).alias("k"))).otherwise(F.struct(F.lit(-1).cast("long").alias("b"), F.col("key").alias("k")))
-    left = rows.withColumn("_b", salted["b"]).withColumn("_k", salted["k"])
-    right = weights.select(F.lit(-1).cast("long").alias("_rb"), F.col("key").alias("_rk"), *names)
-    on = (F.col("_b") == F.col("_rb")) & (F.col("_k").eqNullSafe(F.col("_rk")))
-    return left.join(right, on, "left").select("block", "head", "pairs", *names)
+def packed_frequencies(texts: DataFrame, describe: Callable[[pa.RecordBatch], tuple], buckets: int) -> DataFrame:
+    """Rows (block, bucket, head, part) of all blocks.
 
+    ``describe(slice)`` gives the head batch (what the documents carry of their
+    own, a row each), the distinct keys, their buckets, and per occurrence the
+    key's number and the document's.  ``texts`` must give the same rows in the
+    same order when a lost task runs again, as a table scan or a checkpoint does.
+    """
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("head", pa.binary()), ("part", pa.binary())])
 
-def sum_blocks(weighed: DataFrame, names: list[str], fields: str, finish: Callable) -> DataFrame:
-    """One group per block: ``finish(head batch, sums by name, counts)`` gives the rows out.
+    def row(block, bucket, head, part):
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([head], pa.binary()),
+                                           pa.array([part], pa.binary())], schema=schema)
 
-    ``counts`` is the number of occurrences that found a weight.  The group is
-    bounded by the block's limits.
-    """
+    def pack(batches):
+        base = TaskContext.get().partitionId() << 32
+        for n, part in enumerate(blocks(batches)):
+            head, keys, bucket_of, ids, doc_of = describe(part)
+            yield row(base + n, n % buckets, to_bytes(head), None)
+            docs, counts, starts = counted_pairs(ids, doc_of, len(keys))
+            offsets = pa.array(starts, pa.int32())
+            rows = pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(docs)),
+                                               pa.ListArray.from_arrays(offsets, pa.array(counts))], ["key", "docs", "counts"])
+            order = np.argsort(bucket_of, kind="stable")
+            ends = np.searchsorted(bucket_of[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(ends)):
+                yield row(base + n, b, None, to_bytes(rows.take(pa.array(order[ends[b]:ends[b + 1]]))))
+
+    return texts.mapInArrow(pack, PACKED)
+
+
+def bucket_sums(table: pa.Table, weigh: Callable[[pa.Array], np.ndarray], kind: str) -> pa.Table:
+    """Weighted sums per block and document of one bucket; ``weigh`` gets its distinct keys.  ``kind``: numpy type of the sums."""
+    rows = table.select(["block", "head", "part"]).to_pylist()
+    out = [(r["block"], r["head"], None, None) for r in rows if r["head"] is not None]
+    parts = [(r["block"], from_bytes(r["part"])) for r in rows if r["part"] is not None]
+    if parts:
+        coded = pa.concat_arrays([c for _, p in parts for c in p.column("key").chunks]).dictionary_encode()
+        weights, at = weigh(coded.dictionary)[coded.indices.to_numpy()], 0
+        for block, p in parts:
+            mine = weights[at:at + p.num_rows]
+            at += p.num_rows
+            lists = pa.concat_arrays(p.column("docs").chunks)
+            counts = pa.concat_arrays(p.column("counts").chunks).flatten().to_numpy()
+            sums = np.bincount(lists.flatten().to_numpy(), weights=counts * np.repeat(mine, lists.value_lengths().to_numpy()))
+            held = np.flatnonzero(sums)
+            out.append((block, None, held.astype("<u2").tobytes(), sums[held].astype(kind).tobytes()))
+    cols = list(zip(*out, strict=True)) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64()] + [pa.binary()] * 3, strict=True)],
+                    names=["block", "head", "docs", "sums"])
+
+
+def add_blocks(sums: DataFrame, kind: str, fields: str, finish: Callable) -> DataFrame:
+    """One group per block: ``finish(head, totals per document)`` gives the rows out."""
     def add_up(table: pa.Table) -> pa.Table:
-        head_col = table.column("head").combine_chunks()
-        heads = [h.as_py() for h in head_col.drop_null()]
-        head = from_bytes(heads[0])
-        n = head.num_rows
-        body = table.filter(pc.is_valid(table.column(names[0])))
-        sums = {k: np.zeros(n) for k in names}
-        found = np.zeros(n)
-        if body.num_rows:
-            col = body.column("pairs").combine_chunks()
-            if isinstance(col, pa.ChunkedArray):
-                col = pa.concat_arrays(col.chunks)
-            offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
-            data = np.frombuffer(col.buffers()[2], "<u2")[offs[0] // 2:offs[-1] // 2].reshape(-1, 2)
-            per_row = np.diff(offs) // 4
-            found = np.bincount(data[:, 0], weights=data[:, 1], minlength=n)
-            for k in names:
-                w = np.repeat(body.column(k).to_numpy().astype(np.float64), per_row)
-                sums[k] = np.bincount(data[:, 0], weights=data[:, 1] * w, minlength=n)
-        return finish(head, sums, found)
-
-    return weighed.groupBy("block").applyInArrow(add_up, fields)
+        rows = table.to_pylist()
+        head = from_bytes(next(r["head"] for r in rows if r["head"] is not None))
+        total = np.zeros(head.num_rows)
+        for r in sorted((r for r in rows if r["docs"] is not None), key=lambda r: r["sums"]):
+            total[np.frombuffer(r["docs"], "<u2")] += np.frombuffer(r["sums"], kind)
+        return finish(head, total)
+
+    return sums.groupBy("block").applyInArrow(add_up, fields)
 
 
 def spark_conf_int(spark: SparkSession, key: str, default: int) -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import cut, spark_conf_int, texts_of
-from .tokencount import PLAIN_BELOW, tokenizer
+from .tokencount import tokenizer
 
 CAPACITY = 4096
 GRID = 8
@@ -39,6 +39,8 @@ GRID = 8
 LP_GAP = 1e-4
 # Cached encodings of a Python worker; the cache starts anew beyond it.
 CACHE_ENTRIES = 400_000
+# Characters below this code point stay below it in lower case.
+PLAIN_BELOW = 0x180
 # Sub-groups of a class while ranking, so that a hot length is many groups.
 RANK_BUCKETS = 64
 

@@ -28,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .blocks import Numbered, blocks, counted_pairs, from_bytes, spark_conf_int, texts_of, to_bytes
+from .blocks import SUMS, Numbered, add_blocks, bucket_count, bucket_sums, packed_frequencies, texts_of
 
 OVER = 1024
 # Texts below this code point take the pattern with spelled-out classes; for
@@ -85,86 +84,37 @@ def pretokens(text: str, path: str) -> tuple[list[str], int]:
     return out, len(parts) - 1
 
 
-def packed_frequencies(texts: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Rows (block, bucket, head, part): a block's own columns, and its frequencies per bucket."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("head", pa.binary()), ("part", pa.binary())])
-
-    def pack(batches):
-        base = TaskContext.get().partitionId() << 32
-        for n, part in enumerate(blocks(batches)):
-            block = base + n
-            number, ids, lens, special, size = Numbered(), [], [], [], []
-            for t in part.column("text").to_pylist():
-                toks, extra = pretokens(t, path)
-                ids.append(np.fromiter(map(number.__getitem__, toks), np.int32, len(toks)))
-                lens.append(len(toks))
-                special.append(extra)
-                size.append(len(t.encode("utf-8", "surrogatepass")))
-            head = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(special, pa.int64())],
-                                              ["doc_id", "n_bytes", "special"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([n % buckets], pa.int32()), pa.array([to_bytes(head)]), pa.nulls(1, pa.binary())],
-                schema=schema)
-            docs, counts, starts = counted_pairs(np.concatenate(ids), np.repeat(np.arange(len(lens)), lens), len(number))
-            of = np.fromiter((xxhash.xxh3_64_intdigest(k) % buckets for k in number), np.int32, len(number))
-            keys = pa.array(list(number), pa.string())
-            offsets = pa.array(starts, pa.int32())
-            rows = pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(docs)),
-                                               pa.ListArray.from_arrays(offsets, pa.array(counts))], ["key", "docs", "counts"])
-            order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(ends)):
-                packed = to_bytes(rows.take(pa.array(order[ends[b]:ends[b + 1]])))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([b], pa.int32()), pa.nulls(1, pa.binary()),
-                                                  pa.array([packed])], schema=schema)
-
-    return texts.mapInArrow(pack, "block long, bucket int, head binary, part binary")
-
-
 def token_counts(docs: DataFrame, path: str, over: int = OVER) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > ``over``) of every text.
 
     ``path`` names a byte-level BPE file of the tokenizers library.
     """
-    buckets = 2 * max(16, spark_conf_int(docs.sparkSession, "spark.sql.shuffle.partitions", 200))
-    schema = pa.schema([("block", pa.int64()), ("head", pa.binary()), ("docs", pa.binary()), ("sums", pa.binary())])
-
-    def count(table: pa.Table) -> pa.Table:
-        """All frequencies of a bucket's pre-tokens -> sums per block and document."""
-        rows = table.select(["block", "head", "part"]).to_pylist()
-        heads = [(r["block"], r["head"], None, None) for r in rows if r["head"] is not None]
-        parts = [(r["block"], from_bytes(r["part"])) for r in rows if r["part"] is not None]
-        out = list(heads)
-        if parts:
-            coded = pa.chunked_array([p.column("key").combine_chunks() for _, p in parts]).combine_chunks()
-            coded = (coded if isinstance(coded, pa.Array) else pa.concat_arrays(coded.chunks)).dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            each = []
-            for a in range(0, len(distinct), 50_000):
-                each += [len(e) for e in tokenizer(path).encode_batch_fast(distinct[a:a + 50_000], add_special_tokens=False)]
-            pieces, at = np.array(each, np.int64)[coded.indices.to_numpy()], 0
-            for block, p in parts:
-                mine = pieces[at:at + p.num_rows]
-                at += p.num_rows
-                lists = p.column("docs").combine_chunks()
-                doc = lists.flatten().to_numpy()
-                n = p.column("counts").combine_chunks().flatten().to_numpy()
-                sums = np.bincount(doc, weights=n * np.repeat(mine, lists.value_lengths().to_numpy()))
-                held = np.flatnonzero(sums)
-                out.append((block, None, held.astype("<u2").tobytes(), sums[held].astype("<u4").tobytes()))
-        cols = list(zip(*out, strict=True))
-        return pa.table([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
-
-    def add_up(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        head = from_bytes(next(r["head"] for r in rows if r["head"] is not None))
-        total = head.column("special").to_numpy().copy()
-        for r in rows:
-            if r["docs"] is not None:
-                total[np.frombuffer(r["docs"], "<u2")] += np.frombuffer(r["sums"], "<u4")
+    buckets = bucket_count(docs.sparkSession)
+
+    def describe(part):
+        number, ids, lens, special, size = Numbered(), [], [], [], []
+        for t in part.column("text").to_pylist():
+            toks, extra = pretokens(t, path)
+            ids.append(np.fromiter(map(number.__getitem__, toks), np.int32, len(toks)))
+            lens.append(len(toks))
+            special.append(extra)
+            size.append(len(t.encode("utf-8", "surrogatepass")))
+        head = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(special, pa.int64())],
+                                          ["doc_id", "n_bytes", "special"])
+        of = np.fromiter((xxhash.xxh3_64_intdigest(k) % buckets for k in number), np.int32, len(number))
+        return head, pa.array(list(number), pa.string()), of, np.concatenate(ids), np.repeat(np.arange(len(lens)), lens)
+
+    def pieces(keys: pa.Array) -> np.ndarray:
+        texts, out = keys.to_pylist(), []
+        for a in range(0, len(texts), 50_000):
+            out += [len(e) for e in tokenizer(path).encode_batch_fast(texts[a:a + 50_000], add_special_tokens=False)]
+        return np.array(out, np.int64)
+
+    def finish(head, total):
+        total = total.astype(np.int64) + head.column("special").to_numpy()
         return pa.table({"doc_id": head.column("doc_id"), "n_bytes": head.column("n_bytes"),
                          "n_tokens": pa.array(total, pa.int64()), "over_limit": pa.array(total > over)})
 
-    return (packed_frequencies(texts_of(docs), path, buckets)
-            .groupBy("bucket").applyInArrow(count, "block long, head binary, docs binary, sums binary")
-            .groupBy("block").applyInArrow(add_up, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"))
+    sums = packed_frequencies(texts_of(docs), describe, buckets).groupBy("bucket").applyInArrow(
+        lambda table: bucket_sums(table, pieces, "<u4"), SUMS)
+    return add_blocks(sums, "<u4", "doc_id long, n_bytes long, n_tokens long, over_limit boolean", finish)

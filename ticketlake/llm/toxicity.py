@@ -23,10 +23,10 @@ without the mixture).  The evidence is normalised by the length in words (and by
 its root); a logistic curve, fitted on labelled rows the counts did not see,
 turns it into a probability.
 
-The counts come from every labelled training row.  Two scans: word counts
-(combined per block and per task before the shuffle), then block postings
-joined with the word weights.  Stems no training row holds have one constant
-weight, so they need no partner in the join.
+The counts come from every labelled training row.  Two scans: stem counts
+(combined per block and per task before the shuffle), then packed
+frequencies grouped with the stem weights.  Stems no training row holds have one
+constant weight.
 
 Folds by crc32 of doc_id as text, modulo 5: 0 is held out, 1 to 3 are counted,
 4 fits the curve.  Edge rows: null and empty texts have no evidence and get the
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import sized_broadcast
-from .blocks import ROWS_OUT, Numbered, blocks, cut, pairs_by_key, postings, sum_blocks, texts_of, weigh
+from .blocks import ROWS_OUT, SUMS, Numbered, add_blocks, blocks, bucket_count, bucket_sums, cut, packed_frequencies, texts_of
 from .nearup import WordHash
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -122,19 +122,33 @@ def word_weights(counts: DataFrame) -> tuple[DataFrame, float]:
 
 def evidence(texts: DataFrame, weights: DataFrame, other: float) -> DataFrame:
     """(doc_id, n_words, per_word): the length-normalised log-likelihood difference of every text."""
+    buckets = bucket_count(texts.sparkSession)
+
     def describe(part):
         ids, doc_of, keys, lens = words_of(part)
         head = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lens, pa.int64())], ["doc_id", "n_words"])
-        return head, pa.array(keys, pa.int64()), pairs_by_key(ids, doc_of, len(keys))
+        return head, pa.array(keys, pa.int64()), np.mod(keys, buckets), ids, doc_of
+
+    def weighed(parts: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(known.column("key").to_numpy())
+        key, weight = known.column("key").to_numpy()[order], known.column("weight").to_numpy()[order]
+
+        def weigh(keys: pa.Array) -> np.ndarray:
+            asked = keys.to_numpy()
+            at = np.minimum(np.searchsorted(key, asked), max(len(key) - 1, 0))
+            return np.where(key[at] == asked, weight[at], other) if len(key) else np.full(len(asked), other)
+
+        return bucket_sums(parts, weigh, "<f4")
 
-    def finish(head, sums, found):
+    def finish(head, total):
         n = head.column("n_words").to_numpy()
-        total = sums["weight"] + (n - found) * other
         return pa.table({"doc_id": head.column("doc_id"), "n_words": head.column("n_words"),
                          "per_word": pa.array(total / np.maximum(n, 1), pa.float64())})
 
-    weighed = weigh(postings(texts, describe, "long"), weights, ["weight"])
-    return sum_blocks(weighed, ["weight"], "doc_id long, n_words long, per_word double", finish)
+    by_bucket = weights.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    sums = (packed_frequencies(texts, describe, buckets).groupBy("bucket")
+            .cogroup(by_bucket.groupBy("bucket")).applyInArrow(weighed, SUMS))
+    return add_blocks(sums, "<f4", "doc_id long, n_words long, per_word double", finish)
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
