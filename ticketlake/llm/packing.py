@@ -1,17 +1,18 @@
 """Packing documents into training sequences by cutting-stock column generation.
 
 A document of n ids is cut into pieces of the full capacity and one rest.  The
-rests are packed by lengths, not by documents: their histogram (one row per
-length class, so bounded by the capacity) is the demand of a cutting-stock
+rests are packed by lengths, not by documents: their histogram (at most a row
+per length up to the capacity) is the demand of a cutting-stock
 linear program.  Its columns are patterns (multisets of classes that fit a
 sequence), priced by a knapsack dynamic program over the duals; the LP optimum
 is rounded down, the little that is left is filled largest-first.  Each pattern
 then serves *ranks*: the k-th document of a class gets the k-th slot of that
 class, so documents are assigned by one distributed rank and one small join.
 
-A class holds ``GRID`` neighbouring lengths and is planned at its upper bound,
-so every document of the class fits the slot; the padding this costs is under
-``GRID`` ids per piece.
+``GRID`` neighbouring lengths form a class, planned at its upper bound in units
+of ``GRID``, which keeps the program small; the room this leaves in a pattern,
+counted by the longest length that the class really holds, is filled with more
+documents where one fits.
 
 Edge rows: null and empty texts are one id (the end id); repeated rows are
 packed each; an empty table gives no rows; further columns are not read; a text
@@ -127,6 +128,14 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY)
 
 # --- the cutting-stock program (bounded by the number of length classes) -------
 
+def length_classes(histogram: dict[int, int], grid: int = GRID) -> dict[int, int]:
+    """Length -> longest held length of its class of ``grid`` neighbouring lengths."""
+    top: dict[int, int] = {}
+    for n in histogram:
+        top[-(-n // grid)] = max(n, top.get(-(-n // grid), 0))
+    return {n: top[-(-n // grid)] for n in histogram}
+
+
 def best_patterns(prices: np.ndarray, sizes: np.ndarray, room: int, several: int = 12) -> tuple[float, list[np.ndarray]]:
     """Unbounded knapsack: the most price within ``room``, and patterns of most price, each led by another size."""
     order = np.argsort(sizes)
@@ -180,27 +189,40 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
             inverse[out] = row
 
 
-def plan(sizes: list[int], demand: list[int], room: int) -> list[tuple[dict[int, int], int]]:
+def filled(pattern: dict[int, int], left: dict[int, int], room: int) -> dict[int, int]:
+    """The pattern with further sizes of ``left`` while they fit, largest first."""
+    free = room - sum(s * a for s, a in pattern.items())
+    for s in sorted(left, reverse=True):
+        if s <= free and (more := min(free // s, left[s] - pattern.get(s, 0))) > 0:
+            pattern = pattern | {s: pattern.get(s, 0) + more}
+            free -= more * s
+    return pattern
+
+
+def plan(sizes: list[int], demand: list[int], room: int, grid: int = 1) -> list[tuple[dict[int, int], int]]:
     """(pattern as size -> copies, times used) covering the demand exactly."""
-    sizes_a, left = np.array(sizes), np.array(demand, dtype=np.int64)
+    left = dict(zip(sizes, map(int, demand), strict=True))
     out = []
-    if len(sizes):
-        patterns, amounts = column_generation(sizes_a, left.astype(float), room)
-        for pattern, x in zip(patterns.astype(np.int64), amounts, strict=True):
-            held = pattern > 0
-            times = min(int(np.floor(x + 1e-9)), int((left[held] // pattern[held]).min()))
-            if times:
-                left = left - times * pattern
-                out.append(({int(s): int(a) for s, a in zip(sizes_a[held], pattern[held], strict=True)}, times))
-    rest = {s: int(n) for s, n in sorted(zip(sizes, left, strict=True), reverse=True) if n}
-    while rest:  # a few per pattern at most: largest first, as often as it fits whole runs
-        pattern, free = {}, room
-        for s, n in rest.items():
-            if take := min(n, free // s):
-                pattern[s], free = take, free - take * s
-        times = min(rest[s] // a for s, a in pattern.items())
-        out.append((pattern, times))
-        rest = {s: r for s, n in rest.items() if (r := n - times * pattern.get(s, 0))}
+
+    def use(pattern: dict[int, int], most: int) -> int:
+        times = min([most, *(left[s] // a for s, a in pattern.items())])
+        if times > 0:
+            out.append((pattern, times))
+            for s, a in pattern.items():
+                left[s] -= a * times
+                if not left[s]:
+                    del left[s]
+        return times
+
+    if sizes:
+        units = np.array([-(-s // grid) for s in sizes])
+        patterns, amounts = column_generation(units, np.array(demand, float), room // grid)
+        for i in np.argsort(-amounts, kind="stable"):
+            pattern, most = {s: int(a) for s, a in zip(sizes, patterns[i], strict=True) if a}, int(amounts[i] + 1e-9)
+            while most > 0 and all(left.get(s, 0) >= a for s, a in pattern.items()):
+                most -= use(filled(pattern, left, room), most)
+    while left:  # a few per pattern at most
+        use(filled({}, left, room), max(left.values()))
     return out
 
 
@@ -229,14 +251,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataF
     """
     spark = pieces.sparkSession
     buckets = max(RANK_BUCKETS, spark_conf_int(spark, "spark.sql.shuffle.partitions", 200))
-    held = pieces.withColumns({
-        "class": F.ceil(F.col("length") / grid).cast("int"),
-        "bucket": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int")})
+    # At most a row per length up to the capacity.
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    class_of = length_classes(histogram, grid)
+    demand: dict[int, int] = {}
+    for length, n in histogram.items():
+        demand[class_of[length]] = demand.get(class_of[length], 0) + n
+    tops = sorted(demand)
+    runs = slot_runs(plan(tops, [demand[c] for c in tops], capacity, grid))
+    lookup = spark.createDataFrame(list(class_of.items()), "length long, class int")
+    held = pieces.join(F.broadcast(lookup), "length").withColumn(
+        "bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     sizes = held.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r["class"]: r["n"] for r in sizes.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    room = capacity // grid
-    classes = sorted(histogram)
-    runs = slot_runs(plan(classes, [histogram[c] for c in classes], room))
 
     # The rank of a piece in its class: rank in its bucket plus the buckets before.
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
