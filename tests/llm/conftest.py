@@ -4,7 +4,7 @@ import pytest
 
 # Names that the operators use inside, as further columns of the input.
 CLASHING = ["key", "block", "head", "pairs", "bucket", "class", "rank", "offset", "score", "class_id", "root", "pos", "doc",
-            "line", "_drop", "_doc", "_removed", "_nth", "bands", "id", "vec", "toxic", "host", "ranked", "DOC", "n_lines2"]
+            "line", "_drop", "_doc", "_removed", "_nth", "bands", "id", "vec", "toxic", "host", "ranked", "n_lines2"]
 SF001 = "/root/testdata/sf0.001"
 
 

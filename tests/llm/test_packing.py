@@ -48,10 +48,10 @@ def check(rows, texts, capacity=4096):
 
 def test_id_bytes_equal_library(edge_rows):
     for _, t in edge_rows:
-        assert packing.id_bytes(t or "", PATH, 2) == struct.pack(f"<{len(ids(t))}I", *ids(t))
+        assert packing.id_bytes([t or ""], PATH, 2) == [struct.pack(f"<{len(ids(t))}I", *ids(t))]
     for c in [*range(1, 0x260), 0x300, 0x301, 0x3a3, 0x212a, 0x2028, 0x3000]:
         for text in (chr(c), f"a{chr(c)}b", f"A{chr(c)} {chr(c)}e", f"'{chr(c)}'S 1{chr(c)}2", f"{chr(c)}<|endoftext|>"):
-            assert packing.id_bytes(text, PATH, 2) == struct.pack(f"<{len(ids(text))}I", *ids(text)), hex(c)
+            assert packing.id_bytes([text], PATH, 2) == [struct.pack(f"<{len(ids(text))}I", *ids(text))], hex(c)
 
 
 def test_edge_rows(edge_rows, edge_docs, no_docs):

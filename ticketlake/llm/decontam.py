@@ -13,7 +13,7 @@ neither the driver nor a task holds more of the benchmark than that.
 
 Edge rows: null and empty items match nothing; null and empty texts hold
 nothing; repeated items and rows are each reported; an item shorter than
-1 / RATE characters must occur exactly; further columns are not read (or passed
+1 / RATE characters must occur exactly and as whole words; further columns are not read (or passed
 through by ``drop_contaminated``); empty tables give no matches.
 """
 
@@ -116,9 +116,13 @@ class Matcher:
             key, item, edits, masks = self.items[i]
             m = len(item)
             at = text.find(item)
+            while edits == 0 and at >= 0 and (text[max(at - 1, 0):at].isalnum() or text[at + m:at + m + 1].isalnum()):
+                at = text.find(item, at + 1)
             if at >= 0:
                 out.append((key, 0, at, at + m))
                 continue
+            if edits == 0:
+                continue
             best = None
             for a, b in self.windows(sorted(found), edits, m, len(text)):
                 got = best_end(masks, m, text[a:b], edits if best is None else best[0] - 1)

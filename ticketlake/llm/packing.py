@@ -22,6 +22,7 @@ of any length is cut.  Ties in rank go to smaller doc_id, start, checksum.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from functools import cache
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import cut, spark_conf_int, texts_of
+from .blocks import blocks, cut, spark_conf_int, texts_of
 from .tokencount import tokenizer
 
 CAPACITY = 4096
@@ -39,7 +40,7 @@ GRID = 8
 # Relative gap to the LP's lower bound at which column generation ends.
 LP_GAP = 1e-4
 # Cached encodings of a Python worker; the cache starts anew beyond it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 # Characters below this code point stay below it in lower case.
 PLAIN_BELOW = 0x180
 # Sub-groups of a class while ranking, so that a hot length is many groups.
@@ -49,49 +50,41 @@ RANK_BUCKETS = 64
 # --- ids --------------------------------------------------------------------
 
 def plain_words() -> re.Pattern:
-    """The tokenizer's pre-token pattern for parts of plain characters."""
+    """The tokenizer's pre-token pattern for lower-case text of plain characters."""
     kinds = [[re.escape(chr(c)) for c in range(PLAIN_BELOW) if unicodedata.category(chr(c))[0] == k] for k in "LN"]
     let, num = map("".join, kinds)
-    return re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{let}]+|[{num}]|[^{let}{num}]+")
+    return re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{let}]+|[{num}]|[^\s{let}{num}]+")
 
 
 class WordIds(dict):
-    """Text between blanks -> its ids as little-endian uint32 bytes.
+    """Pre-token -> its ids as little-endian uint32 bytes, encoded once per worker.
 
-    No pre-token of the tokenizer crosses white space and its normalizer looks
-    no further than a character and its marks, so the parts of a text between
-    blanks and line feeds are encoded apart.  ``words`` splits plain parts
-    further, so that a word with and without punctuation is encoded once.
+    A text of plain characters is cut to pre-tokens by the pattern.  In others
+    the parts between blanks and line feeds are looked at one by one: no
+    pre-token crosses white space, and the normalizer looks no further than a
+    character and its marks; a part that is not plain is encoded as it is.
     """
 
-    plain = re.compile(f"[!-~\xa1-{chr(PLAIN_BELOW - 1)}]*\\Z")
+    other = re.compile(f"[^\t\n\r -~\xa1-{chr(PLAIN_BELOW - 1)}]|<\\|")
     words = plain_words()
 
     def __init__(self, path: str):
         super().__init__()
-        self.tok, self.small = tokenizer(path), {}
-
-    def __missing__(self, part: str) -> bytes:
-        if self.plain.match(part) and "<|" not in part:
-            out = b"".join([self.word(w) for w in self.words.findall(part.lower())])
-        else:
-            out = self.encode(part)
-        if len(part) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[part] = out
-        return out
-
-    def word(self, w: str) -> bytes:
-        got = self.small.get(w)
-        if got is None:
-            if len(self.small) >= CACHE_ENTRIES:
-                self.small.clear()
-            got = self.small[w] = self.encode(w)
-        return got
-
-    def encode(self, s: str) -> bytes:
-        return np.array(self.tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        self.tok = tokenizer(path)
+
+    def split(self, text: str) -> list[str]:
+        if self.other.search(text) is None:
+            return self.words.findall(text.lower())
+        parts = text.replace("\n", " ").split(" ")
+        return [w for p in parts for w in ([p] if self.other.search(p) else self.words.findall(p.lower()))]
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes what is missing in one call; a cache over its bound starts anew."""
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        missing = list(words.difference(self))
+        for w, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
 @cache
@@ -99,11 +92,13 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def id_bytes(text: str, path: str, end_id: int) -> bytes:
-    """All ids of a text and the end id, little-endian uint32."""
+def id_bytes(texts: list[str], path: str, end_id: int) -> list[bytes]:
+    """All ids of each text and the end id, little-endian uint32."""
     known = word_ids(path)
-    parts = text.replace("\n", " ").split(" ")
-    return b"".join(map(known.__getitem__, parts)) + np.array([end_id], "<u4").tobytes()
+    words = [known.split(t) for t in texts]
+    known.learn(set().union(*words))
+    end = end_id.to_bytes(4, "little")
+    return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
 
 
 def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -112,10 +107,10 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY)
     names = [f.split()[0] for f in fields.split(", ")]
 
     def cut_up(batches):
-        for batch in batches:
+        for batch in blocks(batches, docs=2048, chars=2_000_000):
             rows: list[list] = [[] for _ in names]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = id_bytes(text.as_py(), path, end_id)
+            every = id_bytes(batch.column("text").to_pylist(), path, end_id)
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), every, strict=True):
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[4 * start:4 * (start + capacity)]
