@@ -36,12 +36,12 @@ from ..plans.session import ship_package
 from .blocks import cut
 
 TREES = 16
-LEAF = 128
+LEAF = 64
 SAMPLE = 65_536
-# Share of the index a query's leaves hold together, over all trees.  Vectors
-# spread evenly over the sphere need this much for a recall of 0.9; clustered
-# ones reach it with far less.
-SHARE = 0.9
+# Rows that a query's leaves hold together over all trees, as a share of the
+# index (a row can be in a leaf of every tree).  Vectors spread evenly over the
+# sphere need this much for a recall of 0.9; clustered ones reach it with far less.
+SHARE = 1.3
 BIN_ROWS = 32_768
 BIN_QUERIES = 4_096
 
@@ -132,15 +132,22 @@ def bins_of(sizes: list[np.ndarray], bin_rows: int) -> tuple[list[np.ndarray], l
     return first, parts, n
 
 
-def exact_best(q: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and scores of the k largest inner products (all ties of the last one stay)."""
-    score = (members * q).sum(axis=1)
+def best_in_leaves(q: np.ndarray, x: np.ndarray, spans: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and exact scores of the k largest inner products within the spans (all ties of the last one stay).
+
+    A fast product picks the rows (to more than its rounding), the same sum for
+    every row, wherever it stands, gives the scores.
+    """
+    near = np.concatenate([x[a:b] @ q for a, b in spans])
+    rows = np.concatenate([np.arange(a, b) for a, b in spans])
+    if len(near) > k:
+        least = np.partition(near, len(near) - k)[len(near) - k]
+        rows = rows[near >= least - 1e-9 * max(1.0, abs(least))]
+    score = (x[rows] * q).sum(axis=1)
     if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        rows = np.flatnonzero(score >= least)
-    else:
-        rows = np.arange(len(score))
-    return rows, score[rows]
+        held = score >= np.partition(score, len(score) - k)[len(score) - k]
+        rows, score = rows[held], score[held]
+    return rows, score
 
 
 def usable(df: DataFrame, vec: str) -> DataFrame:
@@ -253,11 +260,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
             ends = np.searchsorted(at, np.arange(n + 1))
             for i, q, leaves in zip(right.column("id").to_pylist(), vectors_in(right.combine_chunks()),
                                     right.column("leaves").to_pylist(), strict=True):
-                mine = np.concatenate([np.arange(ends[f], ends[f + 1]) for f in leaves if f < n] or [np.zeros(0, np.int64)])
-                if not len(mine):
+                spans = [(ends[f], ends[f + 1]) for f in leaves if f < n and ends[f] < ends[f + 1]]
+                if not spans:
                     continue
-                rows, score = exact_best(q, x[mine], k + 1)
-                found = sorted((-s, v) for r, s in zip(mine[rows], score, strict=True) for v in ids[r] if v != i)[:k]
+                rows, score = best_in_leaves(q, x, spans, k + 1)
+                found = sorted((-s, v) for r, s in zip(rows, score, strict=True) for v in ids[r] if v != i)[:k]
                 out_q += [i] * len(found)
                 out_v += [v for _, v in found]
                 out_s += [-s for s, _ in found]

@@ -97,6 +97,6 @@ recurring AS (SELECT key, min(doc_id) AS home FROM keyed GROUP BY key HAVING min
 gone AS (SELECT doc_id, list(DISTINCT pos) AS drops FROM keyed JOIN recurring USING (key) WHERE doc_id <> home GROUP BY doc_id)
 SELECT s.doc_id,
   CASE WHEN drops IS NULL THEN text ELSE coalesce(array_to_string(
-    list_transform(list_filter(range(len(ls)), p -> NOT list_contains(drops, p)), p -> ls[p + 1]), chr(10)), '') END AS text,
+    list_transform(list_filter(range(len(ls)), lambda p: NOT list_contains(drops, p)), lambda p: ls[p + 1]), chr(10)), '') END AS text,
   CAST(len(ls) AS INTEGER) AS n_lines, CAST(coalesce(len(drops), 0) AS INTEGER) AS n_dropped
 FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id"""
