@@ -91,5 +91,13 @@ def test_sql_guard(spark):
     with pytest.raises(ValueError):
         check_select("WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a")
     assert check_select("with a as (select 1 as x) select x from a") .startswith("with")
-    assert run_select(spark, "SELECT id FROM range(10000)", limit=999999).count() == 5000
-    assert run_select(spark, "SELECT id FROM range(100) LIMIT 50", limit=0).count() == 1
+    with pytest.raises(ValueError):
+        check_select("SELECT * FROM parquet.`/tmp/x.parquet`")
+    with pytest.raises(ValueError):
+        check_select("SELECT (SELECT max(a) FROM csv.`/tmp/x.csv`) AS m")
+    assert check_select("WITH a AS (SELECT replace('a', 'a', 'b') AS x) SELECT x FROM a")
+    assert run_select(spark, "SELECT id FROM range(10000)").count() == 10000
+    assert run_select(spark, "SELECT id FROM range(10000)", limit=7000).count() == 7000
+    assert run_select(spark, "SELECT id FROM range(100) LIMIT 50", limit=70).count() == 50
+    with pytest.raises(ValueError):
+        run_select(spark, "SELECT 1", limit=0)

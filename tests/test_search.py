@@ -95,7 +95,15 @@ def test_embed_text_and_custom_encoder(spark):
     assert len(enc.first()["embedding"]) == 2
 
 
-def test_approx_returns_k(spark, small):
-    _, _, cdf, qdf = small
-    res = search.approx_top_k_similar(cdf, qdf, k=3, min_cosine=-1.0, bucket_length=8.0, num_hash_tables=2)
-    assert res.filter(F.col("rank") > 3).count() == 0
+def test_approx_recall_and_candidates(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(40, 16))
+    x = centers[np.arange(2000) % 40] + 0.15 * rng.normal(size=(2000, 16))
+    cdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    qdf = cdf.where("vec_id < 40").withColumnRenamed("vec_id", "query_id")
+    exact = {(r["query_id"], r["vec_id"]) for r in search.top_k_similar(cdf, qdf, k=5).collect()}
+    found = search.approx_top_k_similar(cdf, qdf, k=5).collect()
+    assert len(exact & {(r["query_id"], r["vec_id"]) for r in found}) >= 0.9 * len(exact)
+    score = {(r["query_id"], r["vec_id"]): r["score"] for r in found}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(abs(s - unit[a] @ unit[b]) < 1e-4 for (a, b), s in score.items())

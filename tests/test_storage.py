@@ -32,8 +32,11 @@ def test_metadata_latest(spark, tmp_dir):
 
 def test_preview_and_fingerprint(spark):
     df = spark.createDataFrame([(f"T-{i}", "2001-01-01") for i in range(20)], "ticket_id string, created_date string")
-    p = storage.preview(df, 0)
+    p = storage.preview(df, 1)
     assert p.count() == 1 and "creation_date" in p.columns
+    for limit in (0, 5001):
+        with pytest.raises(ValueError):
+            storage.preview(df, limit)
     a = storage.fingerprint(df).first()
     b = storage.fingerprint(df.orderBy(F.desc("ticket_id"))).first()
     assert a == b
@@ -59,3 +62,26 @@ def test_export_set(spark, tmp_dir):
     assert len(paths) == 5
     summary = spark.read.option("header", True).csv(paths[0]).collect()
     assert [r["Metric"] for r in summary][0] == "Total Tickets"
+
+
+def test_snapshot_names_are_text(spark, tmp_dir):
+    root = f"{tmp_dir}/snaps"
+    assert storage.list_snapshots(spark, root).collect() == []
+    df = spark.createDataFrame([("T-1", "x")], "ticket_id string, issue_description string")
+    storage.write_snapshot(df, root, "007")
+    assert [r["name"] for r in storage.list_snapshots(spark, root).collect()] == ["007"]
+    assert storage.load_snapshot(spark, root, "007").count() == 1
+    with pytest.raises(FileNotFoundError):
+        storage.load_snapshot(spark, root, "abc")
+
+
+def test_metadata_with_null_fields(spark, tmp_dir):
+    r = storage.metadata_record(spark, dataset_name="a", snapshot_path=None, n=3, ok=True).first()
+    assert r["snapshot_path"] is None and r["n"] == 3 and r["ok"] is True
+
+
+def test_status_names_and_absence(spark):
+    df = spark.createDataFrame([("x", "y")], "issue_description string, route_team string")
+    r = storage.dataset_status(df, name="n", source="upload").first()
+    assert (r["exists"], r["dataset_name"], r["dataset_source"]) == (True, "n", "upload")
+    assert storage.dataset_status(None, spark).first()["exists"] is False

@@ -1,7 +1,8 @@
 """Batch reply drafts: retrieve similar closed tickets, format context, build
 a prompt and a local draft (or call a supplied generator per partition).
 
-Retrieval works on distinct texts: tickets with the same text get the same
+Retrieval works on distinct texts over the corpus's whole vocabulary (see
+``textsearch``): tickets with the same text get the same
 context, and since equal texts score equally, each distinct corpus text only
 needs its k smallest ticket ids (ties go to the smaller id), so the search
 runs over distinct query texts x (distinct corpus texts, <= k ids each) and
@@ -10,22 +11,19 @@ is still exact.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.session import reliable_checkpoint, sized_broadcast
-from . import routing, search
+from ..functions.columns import round_half_up
+from ..plans.session import reliable_checkpoint
+from . import textsearch
 
 CONTEXT_K = 3
-MAX_TEXTS_BROADCAST = 100_000
 SUMMARY_MAX = 220
 
 # Fallback texts, draft steps and the prompt template.
@@ -55,58 +53,53 @@ PROMPT_TEMPLATE = (
     "3. Follow-up recommendation\n"
     "[/INST]\n"
 )
+EMPTY_REPLY = "No suggestion returned by the language model."
 FALLBACK_REASON = "Using local fallback draft"
 
 
-def text_vectors(corpus: DataFrame, max_features: int = 4096):
-    """Vocabulary TF-IDF (smooth idf, L2) fitted on the corpus text; returns a
-    function DataFrame -> DataFrame adding ``embedding`` (array<double>)."""
-    tok, cv, scaling = routing.fit_tfidf(corpus, max_features)
-    ew = ElementwiseProduct(inputCol="tf", outputCol="tfidf", scalingVec=Vectors.dense(scaling.tolist()))
-    model = PipelineModel(stages=[tok, cv, ew, Normalizer(inputCol="tfidf", outputCol="_unit", p=2.0)])
-
-    def embed(df: DataFrame) -> DataFrame:
-        return (model.transform(df).withColumn("embedding", vector_to_array("_unit"))
-                .drop("tokens", "tf", "tfidf", "_unit"))
-    return embed
+def _strip(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def retrieve_context(queries: DataFrame, corpus: DataFrame, k: int = CONTEXT_K) -> DataFrame:
     """Top-k similar corpus tickets per query ticket.
 
     queries: (ticket_id, description); corpus: (ticket_id, description, assigned_team).
-    Returns (ticket_id, context) with context = array<struct<rank, ticket_id,
-    assigned_team, similarity_score, description>> sorted by rank.  Blank
-    query texts are rejected (no row).
+    Returns (ticket_id, description, context): the stripped text and an
+    array<struct<rank, ticket_id, assigned_team, similarity_score, description>>
+    sorted by rank; ties go to the smaller id, and tickets that share no word
+    with the query fill up by id.  Texts of white space only give no row.
     """
-    # Retrieval runs several jobs over these narrow text tables (term
-    # statistics, document count, size checks, scoring, the final join); a
-    # reliable checkpoint of each cuts lineage so the upstream ticket pipeline
-    # (joins, enrichment) runs once, and a lost executor re-reads files.
+    # Several jobs run over these narrow text tables; a reliable checkpoint of
+    # each cuts lineage so the upstream ticket pipeline runs once.
     q = reliable_checkpoint(
-        queries.select("ticket_id", F.coalesce(F.col("description"), F.lit("")).alias("description"))
-        .filter(F.length(F.trim("description")) > 0))
+        queries.select("ticket_id", _strip(F.coalesce(F.col("description"), F.lit(""))).alias("description"))
+        .filter(F.length("description") > 0).withColumn("query_key", F.md5("description")))
     c = reliable_checkpoint(
         corpus.select("ticket_id", F.coalesce(F.col("description"), F.lit("")).alias("description"),
-                      F.coalesce(F.col("assigned_team"), F.lit("")).alias("assigned_team")))
-    embed = text_vectors(c)
-    w = Window.partitionBy("description").orderBy("ticket_id")
+                      F.coalesce(F.col("assigned_team"), F.lit("")).alias("assigned_team"))
+        .withColumn("key", F.md5("description")))
+    texts = c.groupBy("key").agg(F.first("description").alias("text"), F.min("ticket_id").alias("first_id"))
+    asked = q.groupBy(F.col("query_key").alias("key")).agg(F.first("description").alias("text"))
+    found = textsearch.top_k_texts(asked, texts, textsearch.smooth_idf(c, "description"), k)
+    w = Window.partitionBy("key").orderBy("ticket_id")
     reps = c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
-    qtext = q.select(F.trim("description").alias("description")).distinct()
-    qv = embed(qtext.withColumn("query_text", F.col("description")))
-    cv = embed(reps)
-    hits = search.top_k_similar(cv, qv, k=k, id_col="ticket_id", query_id_col="query_text",
-                                carry=["assigned_team", "description"])
-    # One row per distinct query text with its k hits (k is small, so the
-    # collected list is bounded); checkpointed so the size check below and
-    # the join do not both re-run the scoring.
-    ctx = reliable_checkpoint(hits.groupBy("query_text").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("rank"), F.col("ticket_id"), F.col("assigned_team"), F.col("score").alias("similarity_score"),
-        F.col("description")))).alias("context")))
-    return (q.withColumn("query_text", F.trim("description"))
-            .join(sized_broadcast(ctx, MAX_TEXTS_BROADCAST), "query_text", "left")
-            .select("ticket_id", "description",
-                    F.coalesce("context", F.array().cast(ctx.schema["context"].dataType)).alias("context")))
+    positive = found.join(reps, "key").select("query_key", "ticket_id", "assigned_team", "description", "score")
+    # Of tickets without a common word only the least 2k ids can be needed: at
+    # most k of those ids score above zero.
+    fill = c.orderBy("ticket_id").limit(2 * k).select("ticket_id", "assigned_team", "description", F.lit(0.0).alias("score"))
+    zero = asked.select(F.col("key").alias("query_key")).crossJoin(F.broadcast(fill))
+    best = Window.partitionBy("query_key").orderBy(F.desc("score"), "ticket_id")
+    hits = (positive.unionByName(zero).groupBy("query_key", "ticket_id")
+            .agg(F.max("score").alias("score"), F.first("assigned_team").alias("assigned_team"), F.first("description").alias("description"))
+            .withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k))
+    ctx = hits.groupBy("query_key").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("rank"), F.col("ticket_id"), F.col("assigned_team"), round_half_up("score", 4).alias("similarity_score"),
+        F.col("description")))).alias("context"))
+    joined = q.join(ctx, "query_key", "left")
+    return joined.select("ticket_id", "description",
+                         F.coalesce("context", F.array().cast(joined.schema["context"].dataType)).alias("context"))
 
 
 def format_context(context: Column) -> Column:
@@ -119,12 +112,10 @@ def format_context(context: Column) -> Column:
 
 
 def build_prompt(description: Column, context_text: Column, template: str = PROMPT_TEMPLATE) -> Column:
-    return F.replace(F.replace(F.lit(template), F.lit("{ticket_description}"), description),
-                     F.lit("{context_tickets}"), context_text)
-
-
-def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """The template with its two placeholders filled; a placeholder inside a ticket's text stays as it is."""
+    values = {"{ticket_description}": _strip(description), "{context_tickets}": context_text}
+    parts = re.split("(" + "|".join(map(re.escape, values)) + ")", template)
+    return F.concat(*[values.get(p, F.lit(p)) for p in parts if p])
 
 
 def local_draft(description: Column, context: Column) -> Column:
@@ -158,7 +149,8 @@ def draft_table(with_context: DataFrame, generator: Callable[[list[str]], list[s
 
     ``generator`` (optional) maps a list of prompts to a list of replies; it runs
     batch-wise inside ``mapInPandas``.  Empty replies get a fixed text; a failing
-    batch falls back to the local drafts with the error recorded.
+    batch is tried prompt by prompt, and a failing prompt falls back to its
+    local draft with the error recorded.
     """
     base = with_context.select(
         "ticket_id", "description", "context",
@@ -170,22 +162,27 @@ def draft_table(with_context: DataFrame, generator: Callable[[list[str]], list[s
     schema = T.StructType([
         T.StructField("ticket_id", base.schema["ticket_id"].dataType),
         T.StructField("suggested_response", T.StringType()),
+        T.StructField("context", base.schema["context"].dataType),
         T.StructField("llm_available", T.BooleanType()),
         T.StructField("llm_error", T.StringType()),
     ])
 
+    def reply(prompts, locals_):
+        """(text, available, error) per prompt; a failing batch is tried prompt by prompt."""
+        try:
+            out = list(generator(prompts))
+            if len(out) != len(prompts):
+                raise ValueError(f"{len(out)} replies to {len(prompts)} prompts")
+            return [((str(x).strip() if x is not None else "") or EMPTY_REPLY, True, None) for x in out]
+        except Exception as exc:  # noqa: BLE001 - any generator failure falls back
+            if len(prompts) == 1:
+                return [(locals_[0], False, f"External generator unavailable, using local fallback draft. Reason: {exc}")]
+            return [r for p, x in zip(prompts, locals_, strict=True) for r in reply([p], [x])]
+
     def run(batches):
         for pdf in batches:
-            try:
-                out = [str(x).strip() if x is not None else "" for x in generator(pdf["_prompt"].tolist())]
-                out = [x or "No suggestion returned by the language model." for x in out]
-                yield pd.DataFrame({"ticket_id": pdf["ticket_id"], "suggested_response": out,
-                                    "llm_available": True, "llm_error": None})
-            except Exception as exc:  # noqa: BLE001 - any generator failure falls back
-                msg = f"External generator unavailable, using local fallback draft. Reason: {exc}"
-                yield pd.DataFrame({"ticket_id": pdf["ticket_id"], "suggested_response": pdf["_local"],
-                                    "llm_available": False, "llm_error": msg})
-
-    gen = base.select("ticket_id", "_prompt", "_local").mapInPandas(run, schema)
-    return gen.join(base.select("ticket_id", "context"), "ticket_id")
+            got = reply(pdf["_prompt"].tolist(), pdf["_local"].tolist())
+            yield pd.DataFrame({"ticket_id": pdf["ticket_id"], "suggested_response": [r[0] for r in got], "context": pdf["context"],
+                                "llm_available": [r[1] for r in got], "llm_error": [r[2] for r in got]})
 
+    return base.select("ticket_id", "_prompt", "_local", "context").mapInPandas(run, schema)

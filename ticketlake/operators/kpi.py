@@ -10,7 +10,7 @@ import datetime as _dt
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window, Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_rank, count_where, pct, round_half_up
@@ -151,6 +151,13 @@ def team_summary(team_mart: DataFrame, flt: KpiFilter | None = None, floor_month
     ).orderBy(F.desc("Total"), "Team")
 
 
+def rank_teams(team_summary_df: DataFrame, by: str, descending: bool) -> DataFrame:
+    """The team summary with each team's place by one measure (teams without it last)."""
+    order = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
+    # One row per team: a bounded, single-partition window.
+    return team_summary_df.withColumn("place", F.row_number().over(Window.orderBy(order, "Team")).cast("long")).orderBy("place")
+
+
 def dealer_summary(dealer_mart: DataFrame, flt: KpiFilter | None = None, top: int | None = 20,
                    floor_month: bool = False) -> DataFrame:
     """Dealer rollup; ``Vehicles`` sums monthly distinct vehicles (vehicle-months)."""

@@ -200,6 +200,12 @@ def predict(model: RoutingModel, df: DataFrame, text_col: str = "description") -
     )
 
 
+def ranked_scores(team_scores):
+    """The entries of a team -> score map, best score first, ties by team."""
+    entries = F.transform(F.map_entries(team_scores), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k")))
+    return F.transform(F.array_sort(entries), lambda e: F.struct(e["k"].alias("key"), (-e["s"]).alias("value")))
+
+
 def feature_importance(model: RoutingModel, spark: SparkSession, top: int = 30) -> DataFrame:
     """Sum over classes of |coefficient| per vocabulary term, top ``top``."""
     coef = model.pipeline.stages[5].coefficientMatrix.toArray()

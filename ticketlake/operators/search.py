@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import round_half_up
 from ..functions.vectors import l2_norm, l2_normalize
+from ..plans.session import ship_package
 
 MAX_BROADCAST_QUERIES = 4096
 CORPUS_BLOCK_ROWS = 200_000
@@ -162,6 +163,7 @@ def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     Returns (query_id, rank, id, score, *carry); ``k`` is effectively capped by
     the corpus size (fewer rows when the corpus is smaller).
     """
+    ship_package(corpus.sparkSession)
     carry = [c for c in (carry or []) if c != id_col]
     q = queries.select(F.col(query_id_col).alias("_qid"),
                        (l2_normalize(F.col(query_vec_col)) if normalize else F.col(query_vec_col)).alias("_qv"))
@@ -216,24 +218,41 @@ def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str
 
 def approx_top_k_similar(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                          vec_col: str = "embedding", query_id_col: str = "query_id",
-                         query_vec_col: str = "embedding", min_cosine: float = 0.0, bucket_length: float = 0.5,
-                         num_hash_tables: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate top-k with random-projection LSH on unit vectors.
-
-    Candidate pairs are those sharing a hash bucket with Euclidean distance at
-    most sqrt(2 - 2 * min_cosine); the exact cosine then ranks them.  Recall is
-    below 1 by design (use :func:`top_k_similar` for exact answers).
+                         query_vec_col: str = "embedding", tables: int = 16, bucket_rows: int = 32,
+                         flips: int = 4, seed: int = 42) -> DataFrame:
+    """Approximate top-k by random hyperplanes on unit vectors, exact cosines of the candidates.
+
+    Each of ``tables`` tables codes a vector by the sides it lies on; the number
+    of planes follows the corpus, so that a bucket holds about ``bucket_rows``
+    vectors at any size.  A query looks into its own bucket and the ``flips``
+    buckets behind its nearest planes.  Recall is below 1 by design (use
+    :func:`top_k_similar` for exact answers).
     """
-    c = corpus.select(id_col, array_to_vector(l2_normalize(F.col(vec_col))).alias("_v"))
-    q = queries.select(F.col(query_id_col).alias("_qid"), array_to_vector(l2_normalize(F.col(query_vec_col))).alias("_v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=num_hash_tables, seed=seed).fit(c)
-    thr = float(np.sqrt(max(0.0, 2.0 - 2.0 * min_cosine)))
-    pairs = lsh.approxSimilarityJoin(q, c, thr, distCol="_d").select(
-        F.col("datasetA._qid").alias("_qid"), F.col(f"datasetB.{id_col}").alias(id_col),
-        (F.lit(1.0) - F.col("_d") * F.col("_d") / 2.0).alias("score"))
+    ship_package(corpus.sparkSession)
+    c = corpus.select(id_col, l2_normalize(F.col(vec_col)).alias("_cv")).where(F.size("_cv") > 0)
+    q = queries.select(F.col(query_id_col).alias("_qid"), l2_normalize(F.col(query_vec_col)).alias("_qv"))
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_cv")).alias("dim")).first()
+    bits = max(1, min(30, round(np.log2(max(size["n"], 2) / bucket_rows))))
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, size["dim"] or 1))
+
+    def codes(n_flips: int):
+        @F.pandas_udf("array<long>")
+        def of(vectors: pd.Series) -> pd.Series:
+            side = np.stack(vectors.to_numpy()).astype(float) @ planes.T
+            side = side.reshape(len(vectors), tables, bits)
+            own = ((side >= 0) << np.arange(bits)).sum(axis=2)
+            near = np.argsort(np.abs(side), axis=2)[:, :, :min(n_flips, bits)]
+            every = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << near)], axis=2)
+            return pd.Series(list((every + (np.arange(tables) << 32)[None, :, None]).reshape(len(vectors), -1)))
+        return of
+
+    held = c.select(id_col, F.explode(codes(0)("_cv")).alias("_bucket"))
+    asked = q.select("_qid", F.explode(codes(flips)("_qv")).alias("_bucket"))
+    pairs = asked.join(held, "_bucket").select("_qid", id_col).distinct()
+    dot = F.aggregate(F.zip_with("_qv", "_cv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    scored = pairs.join(q, "_qid").join(c, id_col).select("_qid", id_col, F.round(dot, 10).alias("score"))
     w = Window.partitionBy("_qid").orderBy(F.desc("score"), F.asc(id_col))
-    return (pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    return (scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
             .select(F.col("_qid").alias(query_id_col), "rank", id_col, round_half_up("score", 4).alias("score")))
 
 

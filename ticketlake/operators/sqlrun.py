@@ -6,12 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_ROWS = 5000
-DEFAULT_ROWS = 500
-
-_WRITE_WORDS = re.compile(
-    r"\b(insert|update|delete|merge|create|drop|alter|truncate|replace|cache|uncache|refresh|load|set|reset|"
-    r"add|msck|analyze|grant|revoke|use)\b", re.IGNORECASE)
+# Reading a file by its path goes past the registered views.
+_FILE_FORMATS = {"parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "xml", "delta"}
+_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 _QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`")
 
 # The explorer's starter queries (SQL text as offered to users).
@@ -32,23 +29,39 @@ STARTER_QUERIES: dict[str, str] = {
 }
 
 
-def check_select(sql: str) -> str:
-    """Return the trimmed text if it is a single read-only query, else raise."""
+def check_select(sql: str, spark: SparkSession | None = None) -> str:
+    """The trimmed text if it is one read-only query over views, else an error.
+
+    The parsed plan decides: commands and writes are refused wherever they stand
+    (``replace()`` as a function is not one), and so are files read by path.
+    """
     clean = (sql or "").strip().rstrip(";").strip()
     if not clean:
         raise ValueError("Please enter a query.")
-    head = clean.split(None, 1)[0].upper()
-    if head not in ("SELECT", "WITH"):
+    if clean.split(None, 1)[0].upper() not in ("SELECT", "WITH") or ";" in _QUOTED.sub("''", clean):
         raise ValueError("Only SELECT queries are allowed.")
-    bare = _QUOTED.sub("''", clean)
-    if ";" in bare or (head == "WITH" and _WRITE_WORDS.search(bare)):
+    spark = spark or SparkSession.getActiveSession()
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(clean)
+    names, todo = set(), [plan]
+    while todo:
+        node = todo.pop()
+        names.add(node.nodeName())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    if any(n.startswith(("Insert", "Create", "Delete", "Update", "Merge", "Drop", "Replace", "Set")) or n.endswith("Command")
+           for n in names):
         raise ValueError("Only SELECT queries are allowed.")
+    for found in _RELATION.findall(plan.treeString()):
+        parts = [p.strip() for p in found.split(",")]
+        if len(parts) > 1 and (parts[0].lower() in _FILE_FORMATS or any("/" in p for p in parts)):
+            raise ValueError("Queries read registered views, not files.")
     return clean
 
 
-def run_select(spark: SparkSession, sql: str, limit: int = DEFAULT_ROWS, args: dict | None = None) -> DataFrame:
-    """Guard, then run with bound parameters and a row limit clamped to 1..5000
-    (applied on top of any LIMIT in the text)."""
-    clean = check_select(sql)
-    n = max(1, min(int(limit), MAX_ROWS))
-    return spark.sql(clean, args=args).limit(n) if args else spark.sql(clean).limit(n)
+def run_select(spark: SparkSession, sql: str, limit: int | None = None, args: dict | None = None) -> DataFrame:
+    """Guard, then run with bound parameters; all rows, or the first ``limit`` (a positive number) if one is given."""
+    clean = check_select(sql, spark)
+    if limit is not None and int(limit) < 1:
+        raise ValueError(f"limit must be positive, not {limit}")
+    df = spark.sql(clean, args=args) if args else spark.sql(clean)
+    return df if limit is None else df.limit(int(limit))

@@ -193,6 +193,23 @@ def q_team_sum(spark, sf_dir):
     return kpi.team_summary(team_mart(spark, sf_dir))
 
 
+def _by(column: str, desc: bool) -> str:
+    return (f"SELECT row_number() OVER (ORDER BY \"{column}\" {'DESC' if desc else 'ASC'} NULLS LAST, \"Team\") AS place, *"
+            f" FROM ({_TEAM_SUM.format(w='')}) s")
+
+
+@register("k6_resolution", _by("Avg Resolution (h)", False))
+def q_k6_resolution(spark, sf_dir):
+    """Teams from the fastest resolution to the slowest."""
+    return kpi.rank_teams(kpi.team_summary(team_mart(spark, sf_dir)), "Avg Resolution (h)", descending=False)
+
+
+@register("k6_sla", _by("SLA Breach %", True))
+def q_k6_sla(spark, sf_dir):
+    """Teams from the largest share of breached tickets to the least."""
+    return kpi.rank_teams(kpi.team_summary(team_mart(spark, sf_dir)), "SLA Breach %", descending=True)
+
+
 @register("a11_f4_month_filter", _TEAM_SUM.format(w=_MW))
 def q_team_sum_f(spark, sf_dir):
     return kpi.team_summary(team_mart(spark, sf_dir), FLT)
@@ -203,27 +220,27 @@ _DEALER_SUM = f"""SELECT dealer_label AS "Dealer", dealer_country AS "Country",
   {_opct('sum(sla_breached_tickets)', 'sum(closed_tickets)', 1)} AS "SLA Breach %",
   {_or2('sum(avg_resolution_hours * closed_tickets) / nullif(sum(closed_tickets), 0)', 1)} AS "Avg Resolution (h)",
   {_or2('avg(warranty_rate_pct)', 1)} AS "Warranty %"
-FROM dealer {{w}} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20"""
+FROM dealer {{w}} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2"""
 
 
-@register("a12", _DEALER_SUM.format(w=""))
+@register("a12", _DEALER_SUM.format(w="") + " LIMIT 20")
 def q_dealer_sum(spark, sf_dir):
     return kpi.dealer_summary(dealer_mart(spark, sf_dir))
 
 
-@register("a12_month_filter", _DEALER_SUM.format(w=_MW))
+@register("a12_month_filter", _DEALER_SUM.format(w=_MW) + " LIMIT 20")
 def q_dealer_sum_f(spark, sf_dir):
     return kpi.dealer_summary(dealer_mart(spark, sf_dir), FLT)
 
 
 @register("k5_volume", f"""SELECT * FROM ({_DEALER_SUM.format(w='')}) s ORDER BY "Total Tickets" DESC, 1, 2 LIMIT 10""")
 def q_k5v(spark, sf_dir):
-    return kpi.top_dealers(kpi.dealer_summary(dealer_mart(spark, sf_dir)), "Total Tickets")
+    return kpi.top_dealers(kpi.dealer_summary(dealer_mart(spark, sf_dir), top=None), "Total Tickets")
 
 
 @register("k5_sla", f"""SELECT * FROM ({_DEALER_SUM.format(w='')}) s ORDER BY "SLA Breach %" DESC NULLS LAST, 1, 2 LIMIT 10""")
 def q_k5s(spark, sf_dir):
-    return kpi.top_dealers(kpi.dealer_summary(dealer_mart(spark, sf_dir)), "SLA Breach %")
+    return kpi.top_dealers(kpi.dealer_summary(dealer_mart(spark, sf_dir), top=None), "SLA Breach %")
 
 
 @register("k4", """SELECT product_family AS "Product Family", component_name AS "Component", fault_mode AS "Fault Mode",
@@ -466,12 +483,13 @@ def q_sanitize(spark, sf_dir):
 
 @register("s3_p16", "SELECT *, created_date AS creation_date FROM raw ORDER BY ticket_id LIMIT 5000")
 def q_preview(spark, sf_dir):
-    return storage.preview(tickets_raw(spark, sf_dir), 10_000)
+    return storage.preview(tickets_raw(spark, sf_dir), 5_000)
 
 
-@register("s4", """SELECT true AS "exists", count(*) AS row_count, 38 AS column_count, true AS routing_capable FROM raw""")
+@register("s4", """SELECT true AS "exists", count(*) AS row_count, 38 AS column_count, true AS routing_capable,
+  'tickets' AS dataset_name, 'tables' AS dataset_source FROM raw""")
 def q_status(spark, sf_dir):
-    return storage.dataset_status(tickets_raw(spark, sf_dir))
+    return storage.dataset_status(tickets_raw(spark, sf_dir), name="tickets", source="tables")
 
 
 @register("s17")
@@ -503,17 +521,16 @@ _STARTER_KEYS = {
 def _starter(title):
     def run(spark, sf_dir):
         tickets_internal(spark, sf_dir)
-        return sqlrun.run_select(spark, sqlrun.STARTER_QUERIES[title], limit=sqlrun.DEFAULT_ROWS)
+        return sqlrun.run_select(spark, sqlrun.STARTER_QUERIES[title])
     return run
 
 
 for _key, _title in _STARTER_KEYS.items():
-    register(_key, sqlrun.STARTER_QUERIES[_title] if "LIMIT" in sqlrun.STARTER_QUERIES[_title]
-             else sqlrun.STARTER_QUERIES[_title] + " LIMIT 500")(_starter(_title))
+    register(_key, sqlrun.STARTER_QUERIES[_title])(_starter(_title))
 
 
 @register("f9_cte", """, t AS (SELECT assigned_team, status FROM tickets)
-SELECT assigned_team, count(*) AS n FROM t WHERE status = 'Escalated' GROUP BY assigned_team LIMIT 500""")
+SELECT assigned_team, count(*) AS n FROM t WHERE status = 'Escalated' GROUP BY assigned_team""")
 def q_cte(spark, sf_dir):
     tickets_internal(spark, sf_dir)
     return sqlrun.run_select(spark, """WITH t AS (SELECT assigned_team, status FROM tickets)
@@ -521,7 +538,7 @@ SELECT assigned_team, count(*) AS n FROM t WHERE status = :st GROUP BY assigned_
 
 
 @register("x8_open_by_status_line", """SELECT region, COUNT(*) AS open_tickets FROM tickets WHERE status_line = 'Open'
-GROUP BY region ORDER BY open_tickets DESC LIMIT 500""")
+GROUP BY region ORDER BY open_tickets DESC""")
 def q_x8(spark, sf_dir):
     tickets_internal(spark, sf_dir)
     return sqlrun.run_select(spark, "SELECT region, COUNT(*) AS open_tickets\nFROM tickets\nWHERE status_line = 'Open'\n"
@@ -722,8 +739,7 @@ def q_v4(spark, sf_dir):
 def q_v5(spark, sf_dir):
     emb = embeddings(spark, sf_dir)
     queries = search.label_centroids(emb).withColumnRenamed("label", "query_label")
-    return search.approx_top_k_similar(emb, queries, k=5, query_id_col="query_label", min_cosine=-1.0,
-                                       bucket_length=4.0, num_hash_tables=2)
+    return search.approx_top_k_similar(emb, queries, k=5, query_id_col="query_label")
 
 
 # --- routing (R1-R11) ------------------------------------------------------------------------
@@ -798,7 +814,7 @@ def q_r8(spark, sf_dir):
     model = routing.fit_routing(data)
     return routing.predict(model, data).select(
         "ticket_id", "assigned_team", "predicted_team", search.round_half_up("confidence", 4).alias("confidence"),
-        F.map_entries("team_scores").alias("team_scores"))
+        routing.ranked_scores(F.col("team_scores")).alias("team_scores"))
 
 
 @register("r11")
@@ -878,7 +894,7 @@ SELECT ticket_id, replace(replace({"'" + drafts.PROMPT_TEMPLATE.replace("'", "''
   '{{context_tickets}}', ctx_text) AS prompt FROM ctx""")
 def q_g3(spark, sf_dir):
     c = draft_context(spark, sf_dir)
-    return c.select("ticket_id", drafts.build_prompt(F.trim("description"),
+    return c.select("ticket_id", drafts.build_prompt(F.col("description"),
                                                      drafts.format_context(F.col("context"))).alias("prompt"))
 
 

@@ -40,23 +40,31 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
 
 def preview(df: DataFrame, limit: int = PREVIEW_MAX, order_by: str | None = "ticket_id") -> DataFrame:
-    """First ``limit`` rows (clamped to 1..5000) in key order; adds
+    """First ``limit`` rows (1 to 5000, else an error) in key order; adds
     creation_date from created_date when only the latter exists."""
-    n = max(1, min(int(limit), PREVIEW_MAX))
+    if not 1 <= int(limit) <= PREVIEW_MAX:
+        raise ValueError(f"a preview has 1 to {PREVIEW_MAX} rows, not {limit}")
     if "creation_date" not in df.columns and "created_date" in df.columns:
         df = df.withColumn("creation_date", F.col("created_date"))
     if order_by and order_by in df.columns:
         df = df.orderBy(order_by)
-    return df.limit(n)
+    return df.limit(int(limit))
 
 
-def dataset_status(df: DataFrame) -> DataFrame:
+def dataset_status(df: DataFrame | None, spark: SparkSession | None = None, name: str | None = None,
+                   source: str | None = None) -> DataFrame:
     """One row: exists, row_count, column_count, routing_capable (assigned_team
-    present after alias normalisation)."""
+    present after alias normalisation), dataset_name, dataset_source; ``df`` is
+    None where there is no dataset."""
+    label = [F.lit(name).cast("string").alias("dataset_name"), F.lit(source).cast("string").alias("dataset_source")]
+    if df is None:
+        return (spark or SparkSession.getActiveSession()).range(1).select(
+            F.lit(False).alias("exists"), F.lit(0).cast("long").alias("row_count"), F.lit(0).alias("column_count"),
+            F.lit(False).alias("routing_capable"), *label)
     cols = normalize_columns(df.limit(0)).columns
     return df.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(True).alias("exists"), "row_count", F.lit(len(df.columns)).alias("column_count"),
-        F.lit("assigned_team" in cols).alias("routing_capable"))
+        F.lit("assigned_team" in cols).alias("routing_capable"), *label)
 
 
 def save_dataset(df: DataFrame, path: str) -> DataFrame:
@@ -82,16 +90,32 @@ def write_snapshot(df: DataFrame, root: str, name: str) -> str:
     return safe
 
 
+def _snapshots(spark: SparkSession, root: str) -> DataFrame | None:
+    """All snapshots with their names as text ("007" stays "007"); None where the root does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    found = spark.read.parquet(root)
+    fields = [f for f in found.schema.fields if f.name != "snapshot_name"]
+    schema = T.StructType([*fields, T.StructField("snapshot_name", T.StringType())])
+    return spark.read.schema(schema).parquet(root)
+
+
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    return (spark.read.parquet(root).groupBy(F.col("snapshot_name").alias("name"))
+    """(name, row_count) of every snapshot; none for a missing root."""
+    held = _snapshots(spark, root)
+    if held is None:
+        return spark.createDataFrame([], "name string, row_count long")
+    return (held.groupBy(F.col("snapshot_name").alias("name"))
             .agg(F.count(F.lit(1)).alias("row_count")).orderBy("name"))
 
 
 def load_snapshot(spark: SparkSession, root: str, name: str, view: str | None = "tickets") -> DataFrame:
     """Partition-pruned read of one snapshot; raises when it does not exist."""
     safe = sanitize_name_value(name)
-    df = spark.read.parquet(root).filter(F.col("snapshot_name") == safe).drop("snapshot_name")
-    if df.limit(1).count() == 0:
+    held = _snapshots(spark, root)
+    df = None if held is None else held.filter(F.col("snapshot_name") == safe).drop("snapshot_name")
+    if df is None or df.limit(1).count() == 0:
         raise FileNotFoundError(f"No snapshot found for name '{safe}'")
     if view:
         register_tickets(df, view)
@@ -99,9 +123,11 @@ def load_snapshot(spark: SparkSession, root: str, name: str, view: str | None =
 
 
 def metadata_record(spark: SparkSession, **fields) -> DataFrame:
-    """One-row record with a UTC timestamp (``saved_at_utc``)."""
+    """One-row record with a UTC timestamp (``saved_at_utc``); a null field is a text column."""
     fields.setdefault("saved_at_utc", _dt.datetime.now(tz=_dt.timezone.utc).replace(tzinfo=None).isoformat())
-    return spark.createDataFrame([fields])
+    kinds = {bool: "boolean", int: "long", float: "double"}
+    schema = ", ".join(f"`{k}` {kinds.get(type(v), 'string')}" for k, v in fields.items())
+    return spark.createDataFrame([tuple(v if v is None or type(v) in kinds else str(v) for v in fields.values())], schema)
 
 
 def append_metadata(record: DataFrame, path: str) -> None:
