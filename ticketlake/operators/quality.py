@@ -54,6 +54,13 @@ def null_by_column(df: DataFrame, only_positive: bool = True) -> DataFrame:
     return out.orderBy(F.desc("null_pct"), "column")
 
 
+def _one_zero(df: DataFrame, c: str) -> Column:
+    """The column, with -0.0 as 0.0 (equal values, different texts)."""
+    if df.schema[c].dataType.typeName() not in ("double", "float"):
+        return _q(c)
+    return F.when(_q(c) == 0, F.lit(0.0)).otherwise(_q(c))
+
+
 def schema_profile(df: DataFrame) -> DataFrame:
     """Per column: type, null % (1 dp), distinct non-null values, sample (the
     smallest non-null value, as text, so the profile is deterministic)."""
@@ -69,14 +76,14 @@ def schema_profile(df: DataFrame) -> DataFrame:
                  .alias("null_pct"),
                  F.col(f"m{i}").alias("sample"))
         for i, c in enumerate(cols)])))
-    # Distinct counts: unpivot to (column, value-as-text); text casts are
-    # one-to-one per type, so counting distinct texts counts distinct values.
+    # Distinct counts: unpivot to (column, value-as-text).  Equal values have
+    # equal texts once the two zeros of floating point are one.
     # ``unpivot`` plans a code-generated Expand (about 30 % faster here than
     # ``inline`` of an array of structs); partial aggregation drops repeated
     # values before the shuffle on (column, value), so a constant column costs
     # one row per task.
     texts = [f"_c{i}" for i in range(len(cols))]
-    long = (df.select(*[_q(c).cast("string").alias(t) for c, t in zip(cols, texts)])
+    long = (df.select(*[_one_zero(df, c).cast("string").alias(t) for c, t in zip(cols, texts)])
             .unpivot([], texts, "_name", "value")
             .select(F.element_at(F.create_map(*[x for c, t in zip(cols, texts) for x in (F.lit(t), F.lit(c))]),
                                  F.col("_name")).alias("column"), "value"))

@@ -40,14 +40,13 @@ def training_frame(df: DataFrame, min_classes: int = 2) -> DataFrame:
     missing = sorted({"description", "assigned_team"} - set(df.columns))
     if missing:
         raise RoutingDataError(
-            f"Dataset is missing required routing columns: {missing}. Routing model training is only "
-            "possible when an 'assigned_team' column is present.")
+            f"routing needs a text and a team column; not found: {', '.join(missing)}")
     keep = [c for c in ("ticket_id",) if c in df.columns]
     out = df.select(*keep, F.coalesce(F.col("description").cast("string"), F.lit("")).alias("description"),
                     F.coalesce(F.col("assigned_team").cast("string"), F.lit("Unassigned")).alias("assigned_team"))
     n_classes = out.select("assigned_team").distinct().limit(min_classes).count()
     if n_classes < min_classes:
-        raise RoutingDataError("Dataset must contain routing training samples for at least two teams")
+        raise RoutingDataError(f"routing needs tickets of at least {min_classes} teams, found {n_classes}")
     return out
 
 
@@ -242,14 +241,17 @@ class TrainResult:
     accuracy: DataFrame | None = None
     confusion: DataFrame | None = None
     importance: DataFrame | None = None
+    recall: DataFrame | None = None
+    labels: list[str] | None = None
 
 
 def train_routing(spark: SparkSession, dataset: DataFrame, out_dir: str | None = None,
-                  fit_tfidf_on_all: bool = False) -> TrainResult:
+                  fit_tfidf_on_all: bool = False, fit_final: bool = True, trained_at: str | None = None) -> TrainResult:
     """Train job: routing model (when a team column exists) with hold-out
-    metrics, then the production model on all rows; artifacts under out_dir."""
+    metrics, then the production model on all rows; artifacts under out_dir.
+    ``fit_final=False`` stops at the metrics."""
     norm = normalize_columns(dataset)
-    trained_at = _dt.datetime.now(tz=_dt.timezone.utc).replace(tzinfo=None).isoformat()
+    trained_at = trained_at or _dt.datetime.now(tz=_dt.timezone.utc).replace(tzinfo=None).isoformat()
     if "assigned_team" not in norm.columns:
         summary = norm.agg(F.count(F.lit(1)).alias("row_count")).select(
             "row_count", F.lit(False).alias("routing_trained"), F.lit(None).cast("double").alias("accuracy"),
@@ -262,15 +264,15 @@ def train_routing(spark: SparkSession, dataset: DataFrame, out_dir: str | None =
     split = reliable_checkpoint(stratified_split(data))
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     eval_model = fit_routing(train, tfidf_on=split if fit_tfidf_on_all else None)
-    acc, cm, _ = evaluate(eval_model, test)
+    acc, cm, recall = evaluate(eval_model, test)
     imp = feature_importance(eval_model, spark)
-    final = fit_routing(split)
-    if out_dir:
+    final = fit_routing(split) if fit_final else None
+    if out_dir and final:
         save_artifacts(spark, final, out_dir, dataset, acc, cm, imp, trained_at)
     summary = acc.select(
         F.lit(split.count()).alias("row_count"), F.lit(True).alias("routing_trained"),
-        F.col("accuracy"), F.lit(len(final.labels)).alias("classes"), F.lit(trained_at).alias("trained_at_utc"))
-    return TrainResult(final, summary, acc, cm, imp)
+        F.col("accuracy"), F.lit(len(eval_model.labels)).alias("classes"), F.lit(trained_at).alias("trained_at_utc"))
+    return TrainResult(final, summary, acc, cm, imp, recall, eval_model.labels)
 
 
 def save_artifacts(spark: SparkSession, model: RoutingModel, out_dir: str, dataset: DataFrame,
@@ -280,8 +282,11 @@ def save_artifacts(spark: SparkSession, model: RoutingModel, out_dir: str, datas
     from ..sources.storage import fingerprint
     root = out_dir.rstrip("/")
     model.save(f"{root}/routing_model")
-    perf = acc.select(
-        "accuracy", F.array(*[F.lit(x) for x in model.labels]).alias("class_names"),
+    # One record: a few teams squared and the top terms, so its arrays are bounded.
+    confusion = cm.agg(F.sort_array(F.collect_list(F.struct("actual", "predicted", "n"))).alias("confusion"))
+    features = imp.agg(F.sort_array(F.collect_list(F.struct("importance", "word")), asc=False).alias("top_features"))
+    perf = acc.crossJoin(confusion).crossJoin(features).select(  # one row each
+        "accuracy", F.array(*[F.lit(x) for x in model.labels]).alias("class_names"), "confusion", "top_features",
         F.lit(trained_at).alias("trained_at_utc"))
     perf.coalesce(1).write.mode("overwrite").json(f"{root}/model_performance")
     cm.coalesce(1).write.mode("overwrite").json(f"{root}/confusion")
@@ -293,8 +298,8 @@ def save_artifacts(spark: SparkSession, model: RoutingModel, out_dir: str, datas
 
 def load_performance(spark: SparkSession, out_dir: str) -> DataFrame:
     """Performance record of the last training; raises before any training."""
-    import os
     path = f"{out_dir.rstrip('/')}/model_performance"
-    if path.startswith("/") and not os.path.exists(path):
-        raise FileNotFoundError("Model performance data not found. Train the routing models first.")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        raise FileNotFoundError(f"no trained routing model under {out_dir}")
     return spark.read.json(path)

@@ -69,9 +69,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-_SIZE_CHECKS: dict[tuple[int, int], bool] = {}
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers (once per application).
 
@@ -99,14 +96,18 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+# A side the planner itself estimates below this needs no row count; a counted
+# side may not be larger either (rows times the width of its schema).
+MAX_BROADCAST_BYTES = 32 << 20
 
-    Counts at most ``max_rows + 1`` rows (a cheap bounded job, remembered per
-    plan for the session); beyond the bound the frame is returned as is and
-    the planner / AQE picks a shuffle join.
-    """
-    key = (df.semanticHash(), max_rows)
-    if key not in _SIZE_CHECKS:
-        _SIZE_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if _SIZE_CHECKS[key] else df
+
+def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only where it is small now: by the planner's estimate in
+    bytes, else by counting at most ``max_rows + 1`` rows.  Nothing is
+    remembered, so a table that has grown is joined by shuffle next time."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) <= MAX_BROADCAST_BYTES:
+        return F.broadcast(df)
+    width = max(8, df._jdf.schema().defaultSize())
+    most = min(max_rows, 8 * MAX_BROADCAST_BYTES // width)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

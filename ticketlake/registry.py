@@ -789,8 +789,9 @@ def q_r4(spark, sf_dir):
     return weights.join(df, "term").select("term", "doc_freq", search.round_half_up("idf", 6).alias("idf"))
 
 
-def _trained(spark, sf_dir):
-    return routing.train_routing(spark, tickets_internal(spark, sf_dir))
+def _trained(spark, sf_dir, final=False):
+    """Hold-out metrics; ``final`` also fits the production model.  The clock is fixed, so results compare."""
+    return routing.train_routing(spark, tickets_internal(spark, sf_dir), fit_final=final, trained_at="2001-08-02T12:00:00")
 
 
 @register("r6_k7")
@@ -808,6 +809,19 @@ def q_r7c(spark, sf_dir):
     return _trained(spark, sf_dir).confusion
 
 
+@register("r7_recall")
+def q_r7r(spark, sf_dir):
+    """Share of each team's held-out tickets routed to it."""
+    return _trained(spark, sf_dir).recall
+
+
+@register("r7_matrix")
+def q_r7m(spark, sf_dir):
+    """The confusion matrix with a column per predicted team."""
+    got = _trained(spark, sf_dir)
+    return routing.confusion_matrix(got.confusion, got.labels)
+
+
 @register("r8_j5_k9")
 def q_r8(spark, sf_dir):
     data = routing_data(spark, sf_dir)
@@ -819,7 +833,7 @@ def q_r8(spark, sf_dir):
 
 @register("r11")
 def q_r11(spark, sf_dir):
-    return _trained(spark, sf_dir).summary
+    return _trained(spark, sf_dir, final=True).summary
 
 
 # --- reply drafts (G1-G5) ---------------------------------------------------------------------
@@ -898,22 +912,29 @@ def q_g3(spark, sf_dir):
                                                      drafts.format_context(F.col("context"))).alias("prompt"))
 
 
-@register("g4", f"""{_G_CTES}
-SELECT ticket_id, 'Thanks for reporting this issue.' || chr(10) || chr(10) || 'Summary: ' ||
+_DRAFT_SQL = f"""'Thanks for reporting this issue.' || chr(10) || chr(10) || 'Summary: ' ||
   CASE WHEN length(s) > 220 THEN rtrim(substr(s, 1, 217)) || '...' ELSE s END ||
   chr(10) || 'Recommended owner: ' || CASE WHEN trim(team1) <> '' THEN trim(team1) ELSE 'Support Team' END ||
   chr(10) || chr(10) || 'Proposed next steps:' || chr(10) ||
   '1. {drafts.NEXT_STEPS[0]}' || chr(10) || '2. {drafts.NEXT_STEPS[1]}' || chr(10) ||
-  '3. {drafts.NEXT_STEPS[2]}' || chr(10) || chr(10) || 'Related ticket signals: ' || refs || '.' AS suggested_response
+  '3. {drafts.NEXT_STEPS[2]}' || chr(10) || chr(10) || 'Related ticket signals: ' || refs || '.'"""
+
+
+@register("g4", f"""{_G_CTES}
+SELECT ticket_id, {_DRAFT_SQL} AS suggested_response
 FROM (SELECT *, replace(trim(description), chr(10), ' ') AS s FROM ctx) x""")
 def q_g4(spark, sf_dir):
     c = draft_context(spark, sf_dir)
     return c.select("ticket_id", drafts.local_draft(F.col("description"), F.col("context")).alias("suggested_response"))
 
 
-@register("g5")
+@register("g5", f"""{_G_CTES}
+SELECT ticket_id, {_DRAFT_SQL} AS suggested_response, false AS llm_available,
+  '{drafts.FALLBACK_REASON}' AS llm_error, n AS n_context
+FROM (SELECT *, replace(trim(description), chr(10), ' ') AS s FROM ctx) x""")
 def q_g5(spark, sf_dir):
-    return drafts.draft_table(draft_context(spark, sf_dir))
+    return drafts.draft_table(draft_context(spark, sf_dir)).select(
+        "ticket_id", "suggested_response", "llm_available", "llm_error", F.size("context").cast("long").alias("n_context"))
 
 
 # --- rule lookups (J1, J2) and text embedding (V1) ---------------------------------------
@@ -949,7 +970,8 @@ def q_j2(spark, sf_dir):
                  count_where(F.col("is_sla_breach") == F.lit(True)).alias("sla_breached_tickets")))
 
 
-@register("v1")
+@register("v1", """SELECT ticket_id, 4096 AS dim,
+  CASE WHEN regexp_matches(lower(coalesce(description, '')), '\\w\\w') THEN 1.0 ELSE 0.0 END AS norm FROM tickets""")
 def q_v1(spark, sf_dir):
     t = tickets_internal(spark, sf_dir).select("ticket_id", "description")
     out, _ = search.embed_text(t)
