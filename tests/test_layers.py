@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import Row
 
 from ticketlake.operators import expectations as ex
@@ -122,3 +123,40 @@ def test_upstream_one_pass_equals_separate(spark):
     sep = ex.run_suite({k: m[k] for k in ("raw", "staging", "enriched")}).unionByName(
         ex.run_singular(stage_tickets(raw)))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, sep.collect()))
+
+
+def test_failed_build_keeps_the_published_marts(spark, tmp_dir):
+    from ticketlake.operators.expectations import DataTestFailure
+    from ticketlake.plans.build import build_marts
+    from ticketlake.sources.fixtures import tickets_raw
+    raw = tickets_raw(spark, SF001).limit(200)
+    res = build_marts(spark, raw, tmp_dir, register=False)
+    assert res.tests.count() > 20
+    before = spark.read.parquet(res.paths["ticket_kpis"]).count()
+    with pytest.raises(DataTestFailure):
+        build_marts(spark, raw.unionByName(raw.limit(3)), tmp_dir, register=False)
+    assert spark.read.parquet(res.paths["ticket_kpis"]).count() == before
+
+
+def test_size_check_sees_a_grown_table(spark, tmp_dir):
+    from ticketlake.plans import session
+    path = f"{tmp_dir}/grown"
+    spark.range(5).write.parquet(path)
+    old, session.MAX_BROADCAST_BYTES = session.MAX_BROADCAST_BYTES, 200
+    try:
+        hinted = lambda: "ResolvedHint" in session.sized_broadcast(
+            spark.read.parquet(path), 10)._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in session.sized_broadcast(
+            spark.read.parquet(path), 10)._jdf.queryExecution().logical().toString()
+        assert hinted()
+        spark.range(1000).write.mode("append").parquet(path)
+        spark.catalog.refreshByPath(path)
+        assert not hinted()
+    finally:
+        session.MAX_BROADCAST_BYTES = old
+
+
+def test_several_rules_for_a_component_keep_one_row_per_ticket(spark):
+    from ticketlake.operators import rules
+    t = spark.createDataFrame([("1", "a"), ("2", "b")], "ticket_id string, component string")
+    r = spark.createDataFrame([("a", "Z"), ("a", "Y")], "component string, rule_team string")
+    assert sorted((x["ticket_id"], x["rule_team"]) for x in rules.apply_routing_rules(t, r).collect()) == [("1", "Y"), ("2", None)]

@@ -44,3 +44,8 @@ def test_stats_and_histogram_on_no_numeric_rows(spark):
     r = quality.resolution_stats(df).first()
     assert r["n"] == 0 and r["median_hours"] is None and r["outliers"] == 0
     assert quality.histogram(df).collect() == []
+
+
+def test_both_zeros_are_one_value(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.5,), (None,)], "x double")
+    assert quality.schema_profile(df).first()["unique_values"] == 2

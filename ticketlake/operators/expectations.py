@@ -209,8 +209,8 @@ class DataTestFailure(RuntimeError):
 
 
 def assert_passed(results: DataFrame) -> DataFrame:
-    """Raise when any test failed (a small result table is collected)."""
-    failed = results.filter(~F.col("passed")).collect()
-    if failed:
+    """The results (one row per declared test, run once); raises when any test failed."""
+    rows = results.collect()
+    if failed := [r for r in rows if not r["passed"]]:
         raise DataTestFailure("; ".join(f"{r['model']}.{r['column']} {r['test']}: {r['failures']}" for r in failed))
-    return results
+    return results.sparkSession.createDataFrame(rows, results.schema)

@@ -43,6 +43,15 @@ def _write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
         df.write.mode("overwrite").parquet(path)
 
 
+def _publish(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a written folder over the previous one, on any file system Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(target), True)
+    if not fs.rename(path(source), path(target)):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def build_marts(spark: SparkSession, raw: DataFrame, out_dir: str, as_of: _dt.datetime = config.DEFAULT_AS_OF,
                 approx: bool = False, run_tests: bool = True, register: bool = True) -> BuildResult:
     out = out_dir.rstrip("/")
@@ -53,18 +62,22 @@ def build_marts(spark: SparkSession, raw: DataFrame, out_dir: str, as_of: _dt.da
         upstream, _ = ex.upstream_suite(raw, as_of)
         results.append(ex.assert_passed(upstream))
 
+    # Written aside, tested, then put in place: a failed test leaves the old marts.
     paths = {name: f"{out}/{name}" for name in MART_NAMES}
-    _write(marts.ticket_fact(enr), paths["ticket_kpis"], ["created_month"])
-    fact = spark.read.parquet(paths["ticket_kpis"])
+    fresh = {name: f"{out}/_next/{name}" for name in MART_NAMES}
+    _write(marts.ticket_fact(enr), fresh["ticket_kpis"], ["created_month"])
+    fact = spark.read.parquet(fresh["ticket_kpis"])
     # The rollups read the written fact; the month number comes back from the month.
     fact_keys = fact.withColumn("created_month_num", F.month("created_month"))
-    _write(marts.team_workload(fact_keys, approx), paths["team_workload"])
-    _write(marts.dealer_performance(fact_keys, approx), paths["dealer_performance"])
-    _write(marts.product_defects(fact_keys, approx), paths["product_defects"])
+    _write(marts.team_workload(fact_keys, approx), fresh["team_workload"])
+    _write(marts.dealer_performance(fact_keys, approx), fresh["dealer_performance"])
+    _write(marts.product_defects(fact_keys, approx), fresh["product_defects"])
 
-    built = {name: spark.read.parquet(p) for name, p in paths.items()}
+    built = {name: spark.read.parquet(p) for name, p in fresh.items()}
     if run_tests:
         results.append(ex.assert_passed(ex.run_suite(built)))
+    for name in MART_NAMES:
+        _publish(spark, fresh[name], paths[name])
     if register:
         register_layers(spark, raw, as_of)
         register_marts(spark, paths)

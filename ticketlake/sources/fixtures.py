@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ROUTING_RULES
 from ..plans.session import sized_broadcast
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -42,18 +43,14 @@ def _case_mod(expr: str, values: list[str | None]) -> str:
     return f"case {expr} {parts} else {'null' if last is None else repr(last)} end"
 
 
+# The category lists below are the public vocabulary of the columns.
 def raw_column_exprs(dialect: str = "spark") -> list[tuple[str, str]]:
     """(public column name, SQL expression) in raw-table order.  ``k`` = o_orderkey."""
     fault_mode = _case_mod("k % 7", ["Leak", "Overheating", "Failure", "Noise", "Short Circuit", "Wear", None])
-    component = _case_mod("k % 12", [
-        "Fuel Injector", "Turbocharger", "Cooling Pump", "Gearbox", "Clutch", "Hydraulic Pump",
-        "Battery", "Wiring Harness", "Sensors", "Brake Pads", "Hydraulic Line", "ABS Sensor"])
+    component = _case_mod("k % 12", list(ROUTING_RULES))
     product = ("case when k % 12 < 3 then 'Engine Control Module' when k % 12 < 6 then 'Transmission System' "
                "when k % 12 < 9 then 'Electrical System' else 'Brake System' end")
-    team = _case_mod("k % 12", [
-        "Powertrain Diagnostics", "Turbo Systems Team", "Cooling Systems", "Transmission Engineering",
-        "Transmission Engineering", "Hydraulics Team", "Electrical Systems", "Electrical Systems",
-        "Electronics Diagnostics", "Brake Systems", "Brake Systems", "Electronics Diagnostics"])
+    team = _case_mod("k % 12", list(ROUTING_RULES.values()))
     created = add_seconds("o_orderdate", "(k * 37) % 86400", dialect)
     closed = ("case when o_orderstatus in ('F', 'P') then "
               + add_seconds("o_orderdate", "(k * 37) % 86400 + (k * 7919) % 864000", dialect) + " end")
