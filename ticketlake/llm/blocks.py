@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..plans.session import reliable_checkpoint, ship_package
 
 BLOCK_DOCS = 16_384
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 10_000_000
 # Rows of a block handed to the JVM at once.
 ROWS_OUT = 20_000
 

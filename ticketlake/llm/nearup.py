@@ -49,7 +49,7 @@ ROWS = 4
 SIGMAS = 4.75
 SKETCH_BITS = 4
 WORD = re.compile(r"\w+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 # --- elements -----------------------------------------------------------------
@@ -195,7 +195,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, by_count: bool) -> DataFr
     fields = "doc_id long, h1 long, h2 long, n int, bands array<long>, sketch array<long>"
 
     def sign(batches):
-        for part in blocks(batches, docs=2048, chars=6_000_000):
+        for part in blocks(batches, docs=2048, chars=3_000_000):
             texts = part.column("text").to_pylist()
             e, owner, count = element_sets(texts)
             weight = count.astype(float) if by_count else np.ones(len(e))
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, bands: int =
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = cut(keyed.join(shared, "key"))
     met = buckets.groupBy("rep").agg(F.sum("members").alias("met"))
-    about = cut(reps.select("rep", "n", "sketch").join(met, "rep"))
+    about = cut(reps.select("rep", "n", "sketch", "bands").join(met, "rep"))
 
     # Round 1: every member of a bucket against the bucket's leader.
     leader = (buckets.join(about.select("rep", "met"), "rep").groupBy("key")
@@ -271,19 +271,20 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, bands: int =
               .select("key", (-F.col("first.back")).alias("a")))
     led = buckets.select("key", "rep").join(leader, "key").where("rep <> a").select("a", "rep").distinct()
     as_a = about.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    first = (led.join(about, "rep").join(as_a, "a").where(alike)
+    first = (led.join(about.select("rep", "n", "sketch"), "rep").join(as_a, "a").where(alike)
              .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
     links = cut(verified(first, docs, at_least))
     roots = components(links)
 
     # Round 2: members of one bucket that are still in different components.
-    placed = (buckets.select("key", "rep").join(about.select("rep", "n", "sketch"), "rep")
-              .join(roots, F.col("rep") == F.col("id"), "left")
-              .select("key", "rep", "n", "sketch", F.coalesce("root", "rep").alias("root")))
+    placed = (buckets.select("key", "rep").join(roots, F.col("rep") == F.col("id"), "left")
+              .select("key", "rep", F.coalesce("root", "rep").alias("root")))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    left = placed.join(mixed.join(leader, "key"), "key").where("rep <> a").drop("a")
-    right = left.select("key", F.col("rep").alias("b"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("root").alias("rb"))
-    rest = cut(left.join(right, (left["key"] == right["key"]) & (F.col("root") < F.col("rb")) & alike)
+    left = placed.join(mixed.join(leader, "key"), "key").where("rep <> a").drop("a").join(about.drop("met"), "rep")
+    right = left.select(F.col("key").alias("kb"), F.col("rep").alias("b"), F.col("n").alias("na"), F.col("sketch").alias("sa"),
+                        F.col("root").alias("rb"), F.col("bands").alias("bb"))
+    once = F.get(F.array_intersect("bands", "bb"), F.lit(0)) == F.col("key")  # a pair counts in its first common bucket
+    rest = cut(left.join(right, (F.col("key") == F.col("kb")) & (F.col("root") < F.col("rb")) & alike & once)
                .select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct())
     if rest.limit(1).count():
         more = cut(verified(rest, docs, at_least))

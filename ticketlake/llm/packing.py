@@ -40,7 +40,7 @@ GRID = 8
 # Relative gap to the LP's lower bound at which column generation ends.
 LP_GAP = 1e-4
 # Cached encodings of a Python worker; the cache starts anew beyond it.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 800_000
 # Characters below this code point stay below it in lower case.
 PLAIN_BELOW = 0x180
 # Sub-groups of a class while ranking, so that a hot length is many groups.
