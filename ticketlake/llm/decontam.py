@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .blocks import blocks, texts_of
 from ..plans.session import ship_package
 
-RATE = 0.05
+RATE = 0.08
 BLOCK_CHARS = 16_000_000
 
 
