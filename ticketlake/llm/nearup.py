@@ -12,9 +12,10 @@ Jaccard similarity.  Weights go in power-of-two slices [0,1), [1,2), [2,4)...
 
 Bands of ``ROWS`` coordinates are join keys.  At similarity 0.8 a pair shares
 one of the 24 bands with probability 1 - 3e-6.  Within a bucket nothing is
-paired with everything: each member is compared with the bucket's leader, the
+paired with everything: each member is compared with the bucket's leaders, the
 member that meets most others over all its buckets (the text that a group of
-near copies was made from, if it is there), and once components are known only
+near copies was made from, if it is there) and ``DRAWN_LEADERS`` drawn by hash,
+so that a large group meets many leaders; once components are known only
 members of *different* components of a bucket are compared.  Four bits of every
 coordinate ride along as a sketch: a pair whose sketches agree less than a pair
 at the required similarity does (by ``SIGMAS`` standard deviations, 1e-6) is no
@@ -48,6 +49,7 @@ BANDS = 24
 ROWS = 4
 SIGMAS = 4.75
 SKETCH_BITS = 4
+DRAWN_LEADERS = 2
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 200_000
 
@@ -265,11 +267,13 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, bands: int =
     met = buckets.groupBy("rep").agg(F.sum("members").alias("met"))
     about = cut(reps.select("rep", "n", "sketch", "bands").join(met, "rep"))
 
-    # Round 1: every member of a bucket against the bucket's leader.
-    leader = (buckets.join(about.select("rep", "met"), "rep").groupBy("key")
-              .agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("first"))
-              .select("key", (-F.col("first.back")).alias("a")))
-    led = buckets.select("key", "rep").join(leader, "key").where("rep <> a").select("a", "rep").distinct()
+    # Round 1: every member of a bucket against the bucket's leaders: the member
+    # that meets most others, and two that differ from bucket to bucket.
+    drawn = [F.min_by("rep", F.xxhash64("rep", "key", F.lit(i))) for i in range(DRAWN_LEADERS)]
+    leaders = (buckets.join(about.select("rep", "met"), "rep").groupBy("key")
+               .agg(F.array_distinct(F.array(F.max_by("rep", F.struct("met", "rep")), *drawn)).alias("leaders")))
+    led = (buckets.select("key", "rep").join(leaders, "key").select("rep", F.explode("leaders").alias("a"))
+           .where("rep <> a").select("a", "rep").distinct())
     as_a = about.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     first = (led.join(about.select("rep", "n", "sketch"), "rep").join(as_a, "a").where(alike)
              .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
@@ -280,7 +284,7 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, bands: int =
     placed = (buckets.select("key", "rep").join(roots, F.col("rep") == F.col("id"), "left")
               .select("key", "rep", F.coalesce("root", "rep").alias("root")))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    left = placed.join(mixed.join(leader, "key"), "key").where("rep <> a").drop("a").join(about.drop("met"), "rep")
+    left = placed.join(mixed, "key").join(about.drop("met"), "rep")
     right = left.select(F.col("key").alias("kb"), F.col("rep").alias("b"), F.col("n").alias("na"), F.col("sketch").alias("sa"),
                         F.col("root").alias("rb"), F.col("bands").alias("bb"))
     once = F.get(F.array_intersect("bands", "bb"), F.lit(0)) == F.col("key")  # a pair counts in its first common bucket
