@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, bands: int =
     placed = (buckets.select("key", "rep").join(roots, F.col("rep") == F.col("id"), "left")
               .select("key", "rep", F.coalesce("root", "rep").alias("root")))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    left = placed.join(mixed, "key").join(about.drop("met"), "rep")
+    left = placed.join(mixed.join(leaders, "key"), "key").where(~F.array_contains("leaders", F.col("rep"))).drop("leaders").join(about.drop("met"), "rep")
     right = left.select(F.col("key").alias("kb"), F.col("rep").alias("b"), F.col("n").alias("na"), F.col("sketch").alias("sa"),
                         F.col("root").alias("rb"), F.col("bands").alias("bb"))
     once = F.get(F.array_intersect("bands", "bb"), F.lit(0)) == F.col("key")  # a pair counts in its first common bucket
