@@ -54,3 +54,25 @@ def test_query_gives_every_article(spark):
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", " ", b))).strip() for b in re.split(r"</?(?:p|h1|div)\b[^>]*>", inside)]
         assert r.text == "\n\n".join(b for b in blocks if b)
         assert r.url == rows[r.page_id].url
+
+
+def test_headings_leads_and_second_sections_stay(spark):
+    long = "<p>" + "real words of the article, and more of them. " * 30 + "</p>"
+    apart = "<article><h1>Title</h1><p>Lead</p><div class=body>{}</div></article>"
+    unequal = "<div class=first>{}</div><div class=second><p>A short second section.</p></div>"
+    for main in (apart, unequal):
+        page_ = page(long, main)
+        got = H.main_text(page_, [])
+        assert got.startswith("Title\n\nLead\n\nreal" if main is apart else "real")
+        assert main is apart or got.endswith("more of them.\n\nA short second section.")
+    # most pages of the host have the body only
+    rows = [(i, "http://a.example.org/", page(long, apart if i == 0 else "<article><div class=body>{}</div></article>")) for i in range(6)]
+    rows += [(i, "http://b.example.org/", page(long, "<div class=x><h1>Title</h1><div class=body>{}</div></div>" if i == 6
+                                               else "<div class=x><div class=body>{}</div></div>")) for i in range(6, 12)]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].startswith("Title\n\nLead\n\nreal") and got[6].startswith("Title\n\nreal") and got[7].startswith("real")
+
+
+def test_linked_lists_beside_the_body_are_left_out():
+    links = "<div class=x><p><a href=/1>Another page</a></p></div>"
+    assert H.main_text(page("<p>real words of the article</p>") + links, []) == "real words of the article"

@@ -3,12 +3,15 @@
 Scan 1 parses each page into blocks of text under container paths (tag and
 class names from the body down, digits generalised).  Every container is scored
 by the text below it that is not linked and not in a menu, advert, form or the
-like; the page votes for its deepest container that holds most of that score.
+like; from the deepest container that holds most of that score the page climbs
+while the parent adds text that is not linked (a heading or lead beside the body,
+a second section), and votes for where it ends.
 Spark counts the votes per host and path (combined before the shuffle, so a
 host with a third of all pages is a few rows per task).  Scan 2 extracts each
 page again under its host's winning path, or the next best one the page has, so
 a page whose own scores mislead follows its host; a page that has none of them
-follows its own vote.
+follows its own vote.  Under its host's path a page still climbs to text of its
+own that lies directly in the parent or in the same article.
 
 Edge rows: null and empty pages give an empty text; a null url is a host of its
 own; repeated rows give a row each; an empty table gives none; unclosed tags,
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import ship_package, sized_broadcast
 
-# Share of a page's score that its voted container must hold.
+# Share of a page's score that the container must hold from which it climbs.
 HOLDS = 0.8
 # Ranked paths kept per host; a page without any of them uses its own vote.
 RANKS = 5
@@ -132,7 +135,7 @@ class Page:
                 return
 
     def vote(self) -> str:
-        """The deepest container path that holds most of the page's score."""
+        """The container path around all unlinked text, from the deepest that holds most of the page's score."""
         score: dict[str, float] = {}
         total = 0.0
         for path, t, linked, kept, prose in self.blocks:
@@ -144,10 +147,29 @@ class Page:
                     key = ">".join(steps[:i])
                     score[key] = score.get(key, 0.0) + s
         good = [k for k, s in score.items() if s >= HOLDS * total and total > 0]
-        return max(good, key=lambda k: (k.count(">"), k), default="")
+        return self.climbed(max(good, key=lambda k: (k.count(">"), k), default=""), siblings=True)
+
+    def climbed(self, path: str, siblings: bool) -> str:
+        """``path``, or the nearest container above it that leaves no unlinked text out.
+
+        Text in other children of a container counts with ``siblings``, or
+        within an article; text directly in it always counts.
+        """
+        best = path
+        while path:
+            inner, path = path, path.rpartition(">")[0]
+            whole = siblings or any(step.split(".")[0] in ("article", "main") for step in path.split(">"))
+            if any(kept and len(t) > 2 * linked and (p == path or whole and below(p, path)) and not below(p, inner)
+                   for p, t, linked, kept, _ in self.blocks):
+                best = path
+        return best
 
     def under(self, path: str) -> list[str]:
-        return [t for p, t, _, kept, _ in self.blocks if kept and (not path or p == path or p.startswith(path + ">"))]
+        return [t for p, t, _, kept, _ in self.blocks if kept and below(p, path)]
+
+
+def below(path: str, container: str) -> bool:
+    return not container or path == container or path.startswith(container + ">")
 
 
 def parse(source: str | None) -> Page:
@@ -161,8 +183,8 @@ def main_text(source: str | None, ranked: list[str]) -> str:
     """Text under the first of the ranked paths that the page has, else under its own vote."""
     page = parse(source)
     for path in ranked:
-        if found := page.under(path):
-            return "\n\n".join(found)
+        if page.under(path):
+            return "\n\n".join(page.under(page.climbed(path, siblings=False)))
     return "\n\n".join(page.under(page.vote()))
 
 
