@@ -76,3 +76,16 @@ def test_headings_leads_and_second_sections_stay(spark):
 def test_linked_lists_beside_the_body_are_left_out():
     links = "<div class=x><p><a href=/1>Another page</a></p></div>"
     assert H.main_text(page("<p>real words of the article</p>") + links, []) == "real words of the article"
+
+
+def test_containers_that_hold_the_article_stay():
+    article = "<p>" + "real words of the article, and more of them. " * 5 + "</p>"
+    text = " ".join(["real words of the article, and more of them."] * 5)
+    for name in ("content with-sidebar", "post has-comments", "article-share", "page-with-header", "sidebar-page"):
+        assert H.main_text(page(f'<h1>A</h1><div class="{name}">{article}<div class=sidebar><p>side</p></div></div>'), []) == "A\n\n" + text
+    assert H.main_text(f"<body><form action=/x><div class=a>{article}</div><form><p>Name</p></form></form></body>", []).startswith(text)
+    # comments, however long, and what lies beside the article go as before
+    comments = '<div class="{}">' + article * 20 + "</div>"
+    assert H.main_text(page(article + comments.format("comments") + '<div class="related-posts"><p>More</p></div>'), []) == text
+    assert H.main_text(page(f'<div class="post has-comments">{article}</div>' + comments.format("comment-list")), []) == text
+    assert H.main_text("<p>for <math><mi>x</mi><mo>&lt;</mo><mn>3</mn></math> it holds</p>", []) == "for x<3 it holds"

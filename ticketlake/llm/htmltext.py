@@ -13,6 +13,9 @@ a page whose own scores mislead follows its host; a page that has none of them
 follows its own vote.  Under its host's path a page still climbs to text of its
 own that lies directly in the parent or in the same article.
 
+A form, or a container that a class word marks as noise, is left out only if it
+does not hold most of the page's unlinked text (``kinds`` below).
+
 Edge rows: null and empty pages give an empty text; a null url is a host of its
 own; repeated rows give a row each; an empty table gives none; unclosed tags,
 comments and scripts run to their parent's end or the page's; further columns
@@ -38,10 +41,10 @@ RANKS = 5
 HOSTS_BROADCAST_ROWS = 100_000
 
 # Fixed lists of HTML element names.
-RAW = "script|style|noscript|template|textarea|svg|iframe|select|button|object|canvas|math"
+RAW = "script|style|noscript|template|textarea|svg|iframe|select|button|object|canvas"
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "th", "center",
               "nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "fieldset", "figure", "details"}
-SKIPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}
+SKIPPED = {"nav", "footer", "aside", "menu", "dialog", "head", "fieldset"}
 BREAKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote",
                        "hr", "address", "figcaption", "caption", "summary", "thead", "tfoot", "title", "option", "legend"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -52,21 +55,32 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/><]*)([^>\"'<]*+(?:\"[^\"<]*\"[^>\"'<]*+|'[^'<]*'[^>\"'<]*+)*+)>"
     r"|<(/?)([a-zA-Z][^\s/><]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sidebar|menu|navbar|nav|navigation|breadcrumbs?|footer|cookies?|"
-    r"notice|consent|popup|modal|newsletter|subscribe|signup|promo|sponsor(?:ed)?|related|share|sharing|social|comments?|"
-    r"commentlist|replies|respond|disqus|widget|pagination|pager|toolbar|login|search|complementary|contentinfo)(?:$|[\s_-])")
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])")
+_COMMENTS = "comments?|commentlist|replies|respond|disqus"
+_NOISE = ("ads?|adverts?|advertisement|banner|sidebar|menu|navbar|nav|navigation|breadcrumbs?|footer|cookies?|"
+          "notice|consent|popup|modal|newsletter|subscribe|signup|promo|sponsor(?:ed)?|related|share|sharing|social|"
+          f"{_COMMENTS}|widget|pagination|pager|toolbar|login|search|complementary|contentinfo")
+_HEADER = "header|masthead"
+NOISE = re.compile(rf"(?:^|[\s_-])(?:{_NOISE})(?:$|[\s_-])")
+HEADER = re.compile(rf"(?:^|[\s_-])(?:{_HEADER})(?:$|[\s_-])")
+# A name that starts with such a word says what the container is, one that holds it later may say what stands beside it.
+NAMED = re.compile(rf"(?:^|\s)(?:{_NOISE}|{_HEADER})(?:$|[\s_-])")
+COMMENTS = re.compile(rf"(?:^|\s)(?:{_COMMENTS})(?:$|[\s_-])")
+LAYOUT = re.compile(r"(?:^|[\s_-])(?:content|post|article|entry|main|story|page|body|text)(?:$|[\s_-])")
+# Kinds of containers: kept; left out by tag; as comments; by a name that says so; by a form tag or a word in a name.
+PLAIN, TAGGED, COMMENT, NOISY, MAYBE = range(5)
 SPACE = re.compile(r"\s+")
 
 
 class Page:
-    """The blocks of a page: (container path, text, linked characters, kept)."""
+    """The blocks of a page: (container path, text, linked characters, kept, prose).
+
+    ``kinds`` has a kind per container and ``above`` the container around it.
+    """
 
-    def __init__(self, source: str, by_name: bool = True):
-        self.by_name = by_name
-        self.blocks: list[tuple[str, str, int, bool, bool]] = []
-        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, skipped, in article
+    def __init__(self, source: str):
+        self.held: list[tuple[str, str, int, int, bool]] = []  # path, text, linked, container, prose
+        self.kinds, self.above = [PLAIN], [0]
+        self.stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, path, container, in article
         self.text: list[str] = []
         self.linked = self.links = 0
         self.tag = ""
@@ -94,6 +108,7 @@ class Page:
         if at < len(source):
             self.add(source[at:])
         self.flush()
+        self.blocks = self.judged()
 
     def add(self, raw: str) -> None:
         t = entities.unescape(raw) if "&" in raw else raw
@@ -105,13 +120,13 @@ class Page:
         if self.text:
             t = SPACE.sub(" ", "".join(self.text)).strip()
             if t:
-                _, path, skipped, _ = self.stack[-1]
-                self.blocks.append((path, t, self.linked, not skipped, self.tag not in CONTAINERS and self.tag != "li"))
+                _, path, container, _ = self.stack[-1]
+                self.held.append((path, t, self.linked, container, self.tag not in CONTAINERS and self.tag != "li"))
             self.text = []
         self.linked = 0
 
     def open(self, tag: str, attributes: str) -> None:
-        _, path, skipped, inside = self.stack[-1]
+        _, path, container, inside = self.stack[-1]
         classes, names = [], []
         if "=" in attributes:
             for k, a, b, c in NAMES.findall(attributes):
@@ -120,12 +135,16 @@ class Page:
                 if k.lower() == "class":
                     classes = sorted({re.sub(r"\d+", "#", x) for x in value.split()})
         step = ".".join([tag, *classes])
-        skip = skipped or tag in SKIPPED or tag == "header" and not inside
-        if not skip and self.by_name and tag not in KEPT_WHOLE and names:
+        kind = TAGGED if tag in SKIPPED or tag == "header" and not inside else MAYBE if tag == "form" else PLAIN
+        if kind != TAGGED and tag not in KEPT_WHOLE and names:
             name = " ".join(names)
-            skip = bool(NOISE.search(name)) or not inside and bool(HEADER.search(name))
+            if NOISE.search(name) or not inside and HEADER.search(name):
+                layout = LAYOUT.search(name) or not NAMED.search(name)
+                kind = MAYBE if layout else COMMENT if COMMENTS.search(name) else NOISY
+        self.kinds.append(kind)
+        self.above.append(container)
         path = "" if tag in ("html", "head") else f"{path}>{step}" if path else step
-        self.stack.append((tag, path, skip, inside or tag in ("article", "main")))
+        self.stack.append((tag, path, len(self.kinds) - 1, inside or tag in ("article", "main")))
 
     def close(self, tag: str) -> None:
         self.tag = ""
@@ -134,6 +153,47 @@ class Page:
                 del self.stack[i:]
                 return
 
+    def scores(self, without: set[int]) -> list[float]:
+        """Unlinked text below every container, but what lies in one of ``without``."""
+        out, left_out = [0.0] * len(self.kinds), self.left_out(without)
+        for _, t, linked, container, prose in self.held:
+            if not left_out[container]:
+                out[container] += max(0, len(t) - 2 * linked) * (1.0 if prose else 0.5)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.above[i]] += out[i]
+        return out
+
+    def left_out(self, without: set[int]) -> list[bool]:
+        out = [False] * len(self.kinds)
+        for i in range(1, len(out)):
+            out[i] = out[self.above[i]] or i in without
+        return out
+
+    def judged(self) -> list[tuple[str, str, int, bool, bool]]:
+        """The blocks, kept or not.
+
+        Containers left out by a tag, as comments or by a name that says so are
+        no part of the measure for others: of the rest, a form or a container
+        with a noise word in its name must hold most to stay.  A container whose
+        name says it is noise (but comments) must hold ``HOLDS`` of all but the
+        tagged ones and comments.  Where that leaves nothing, names do not count.
+        """
+        of = {k: {i for i, kind in enumerate(self.kinds) if kind == k} for k in range(1, 5)}
+        if len(self.held) and any(of.values()):
+            gone = of[TAGGED] | of[COMMENT]
+            if of[NOISY]:
+                score = self.scores(gone)
+                gone |= {i for i in of[NOISY] if score[i] < HOLDS * score[0] or not score[i]}
+            if of[MAYBE]:
+                score = self.scores(gone)
+                gone |= {i for i in of[MAYBE] if 2 * score[i] <= score[0]}
+            left_out = self.left_out(gone)
+            if all(left_out[c] for *_, c, _ in self.held):
+                left_out = self.left_out(of[TAGGED])  # a name that covers the whole page means nothing
+        else:
+            left_out = [False] * len(self.kinds)
+        return [(p, t, linked, not left_out[c], prose) for p, t, linked, c, prose in self.held]
+
     def vote(self) -> str:
         """The container path around all unlinked text, from the deepest that holds most of the page's score."""
         score: dict[str, float] = {}
@@ -173,10 +233,7 @@ def below(path: str, container: str) -> bool:
 
 
 def parse(source: str | None) -> Page:
-    page = Page(source or "")
-    if not any(kept for *_, kept, _ in page.blocks) and page.blocks:
-        page = Page(source or "", by_name=False)  # a class name that covers the whole page means nothing
-    return page
+    return Page(source or "")
 
 
 def main_text(source: str | None, ranked: list[str]) -> str:
