@@ -5,10 +5,13 @@ ids, long hexadecimal strings).  The entropy scan adds spans the formats miss:
 every maximal run of token characters is a candidate; a window slides over it
 and its Shannon entropy is kept by incremental counts, one character entering
 and one leaving per step.  The threshold depends on the character class of the
-candidate (hex, alphanumeric, base64-like).  Overlapping windows over the
-threshold join to one span.  Allow-listed candidates (words and identifiers of
-one case, paths and URLs, repeated patterns, UUIDs, version strings, documented
-placeholders) and those inside a base span are suppressed.
+window (hex, alphanumeric, base64-like), so a key is judged alike alone and behind
+``NAME=`` or a path.  Windows that touch a base span do not count; overlapping
+windows over the threshold join to one span.  Allow-listed runs, spans and values
+(words and identifiers of one case, paths and URLs, repeated patterns, UUIDs,
+version strings) are suppressed, and a documented placeholder with the value
+between ``=`` that it is part of; a name with such a word suppresses no more than
+itself.
 
 Everything is local to a row, so no row is moved.  Edge rows: null and empty
 texts have no spans; repeated rows give a row each; an empty table gives none;
@@ -50,49 +53,86 @@ ALLOWED = [
 
 
 PLACEHOLDER = re.compile(r"example|placeholder|changeme|dummy|x{6}|your[-_]?(?:key|token|secret)", re.IGNORECASE)
+VALUE = re.compile(r"[^=]+=*")
+SEGMENT = re.compile(r"[^=/+_-]+")
 
 
-def class_of(s: str) -> str:
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
-        return "hex"
-    return "alnum" if s.isalnum() else "base64"
+def allowed(s: str) -> bool:
+    return any(p.fullmatch(s) for p in ALLOWED)
 
 
-def allowed(s: str) -> bool:
-    return PLACEHOLDER.search(s) is not None or any(p.fullmatch(s) for p in ALLOWED)
+def undocumented(s: str) -> list[tuple[int, int]]:
+    """The parts of a run outside the values between ``=`` that a placeholder within a random-looking string marks."""
+    out, at = [], 0
+    for m in VALUE.finditer(s):
+        if any(not allowed(w[0]) for w in SEGMENT.finditer(s, *m.span()) if PLACEHOLDER.search(w[0])):
+            out.append((at, m.start()))
+            at = m.end()
+    return [(a, b) for a, b in [*out, (at, len(s))] if b - a >= WINDOW]
 
 
 # c log2 c for the counts a window can hold.
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
-def entropy_windows(s: str, bits: float, size: int = WINDOW) -> list[tuple[int, int]]:
-    """Joined spans of the windows of ``size`` whose entropy is at least ``bits``.
-
-    With counts c, the entropy is log2(size) - sum(c log2 c) / size; a step
-    changes two counts.
-    """
-    most = (math.log2(size) - bits) * size + 1e-9
+def window_loads(s: str, size: int):
+    """(start, sum(c log2 c)) of every window of ``size``, with counts c; a step changes two counts."""
     counts: dict[str, int] = {}
-    load, out = 0.0, []
+    load = 0.0
     for i, ch in enumerate(s):
         c = counts.get(ch, 0)
         load += _CLOG[c + 1] - _CLOG[c]
         counts[ch] = c + 1
         if i + 1 >= size:
             a = i + 1 - size
-            if load <= most:
-                if out and a <= out[-1][1]:
-                    out[-1] = (out[-1][0], i + 1)
-                else:
-                    out.append((a, i + 1))
+            yield a, load
             gone = s[a]
             c = counts[gone]
             load += _CLOG[c - 1] - _CLOG[c]
             counts[gone] = c - 1
+
+
+def most_load(bits: float, size: int) -> float:
+    """The entropy is log2(size) - load / size."""
+    return (math.log2(size) - bits) * size + 1e-9
+
+
+def join_windows(starts, size: int) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a in starts:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], a + size)
+        else:
+            out.append((a, a + size))
     return out
 
 
+def entropy_windows(s: str, bits: float, size: int = WINDOW) -> list[tuple[int, int]]:
+    """Joined spans of the windows of ``size`` whose entropy is at least ``bits``."""
+    most = most_load(bits, size)
+    return join_windows((a for a, load in window_loads(s, size) if load <= most), size)
+
+
+_MOST = {k: most_load(bits, WINDOW) for k, bits in MIN_BITS.items()}
+_LOWER, _UPPER = set("0123456789abcdef"), set("0123456789ABCDEF")
+
+
+def class_windows(s: str):
+    """Starts of the windows of ``s`` whose entropy reaches the threshold of the window's class."""
+    least = min(MIN_BITS, key=MIN_BITS.get)
+    low = up = other = -1  # last character that is no lower-case hex digit, no upper-case one, not alphanumeric
+    for a, load in window_loads(s, WINDOW):
+        for i in range(0 if a == 0 else a + WINDOW - 1, a + WINDOW):
+            ch = s[i]
+            low = low if ch in _LOWER else i
+            up = up if ch in _UPPER else i
+            other = other if ch.isalnum() else i
+        if load <= _MOST[least]:
+            kind = "hex" if low < a or up < a else "alnum" if other < a else "base64"
+            if load <= _MOST[kind]:
+                yield a
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the fixed formats, leftmost non-overlapping per kind."""
     out = []
@@ -112,13 +152,24 @@ def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
         s = m[0]
         if allowed(s):
             continue
-        for a, b in entropy_windows(s, MIN_BITS[class_of(s)]):
-            a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for _, x, y in base) and not allowed(text[a:b]):
-                out.append(("entropy", a, b))
+        near = [(x - m.start(), y - m.start()) for _, x, y in base if x < m.end() and m.start() < y]
+        for first, last in undocumented(s):
+            starts = (first + a for a in class_windows(s[first:last]))
+            if near:
+                starts = (a for a in starts if not any(x < a + WINDOW and a < y for x, y in near))
+            for a, b in join_windows(starts, WINDOW):
+                if not allowed(s[a:b]) and not allowed(value_around(s, a, b)):
+                    out.append(("entropy", m.start() + a, m.start() + b))
     return out
 
 
+def value_around(s: str, a: int, b: int) -> str:
+    """``s[a:b]`` up to the next ``=`` or ``/`` on both sides."""
+    a = max(s.rfind("=", 0, a), s.rfind("/", 0, a)) + 1
+    ends = [i for i in (s.find("=", b), s.find("/", b)) if i >= 0]
+    return s[a:min(ends, default=len(s))]
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     rank = {k: i for i, k in enumerate(KINDS)}
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], rank[s[0]])))
