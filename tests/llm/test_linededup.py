@@ -72,3 +72,9 @@ def test_query_equals_sql(spark):
 def test_native(spark):
     plan = QUERIES["op8_line_dedup"](spark, SF001)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    rows = [(1, "a line of boiler plate"), (2, "x of its own\na line of boiler plate"), (2, "a line of boiler plate\ny of its own")]
+    got = sorted(r.text for r in L.drop_recurring_lines(documents(spark, rows)).where("doc_id = 2").collect())
+    assert got == ["x of its own", "y of its own"]

@@ -57,3 +57,25 @@ def test_empty_table_passes_all_stages(spark, tmp_path):
     for _, stage in P.STAGES:
         now = stage(spark, now, str(tmp_path))
     assert now.collect() == []
+
+
+def test_rows_are_judged_for_their_own_text(spark, tmp_path):
+    rng = random.Random(11)
+    one, two, three = (" ".join(words(rng, 80)) for _ in range(3))
+    rows = [(1, one), (2, one), (2, two), (2, two), (3, None), (3, ""), (3, three), (None, one), (None, None), (None, "own words")]
+    got = P.near_dedup(spark, documents(spark, rows), "").collect()
+    want = [(1, one), (2, two), (3, None), (3, ""), (3, three), (None, None), (None, "own words")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+    rows = []
+    for i in range(300):
+        text = words(rng, 60)
+        if i % 6 == 0:
+            text[::15] = ["vexling"] * len(text[::15])
+        rows.append((i, " ".join(text)))
+    spark.createDataFrame([(i, 0, int(i % 6 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    bad = " ".join(["vexling"] * 8 + words(rng, 60))
+    rows += [(900, bad), (900, one), (None, bad), (None, two)]
+    left = {(r.doc_id, r.text) for r in P.toxicity(spark, documents(spark, rows), str(tmp_path)).collect()}
+    assert {(900, one), (None, two)} <= left and not {(900, bad), (None, bad)} & left

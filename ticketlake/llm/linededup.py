@@ -18,7 +18,7 @@ before the shuffle; a line in every document is one row per task there.
 
 Edge rows: null texts stay null and empty texts empty; a document all of whose
 lines are dropped keeps its row with an empty text; rows that repeat a doc_id
-count as one document; rows without doc_id are neither counted nor changed;
+count as one document, each loses its own lines; rows without doc_id are neither counted nor changed;
 further columns pass through; an empty table gives no rows.
 """
 
@@ -44,20 +44,20 @@ def template_keys(lead: Column, rest: list[Column], n: Column) -> Column:
 
 
 def line_templates(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, pos, key): a row per line and template, lines from 0."""
+    """(doc, own, pos, key): a row per line and template, lines from 0; ``own`` is the hash of the row's text."""
     lines = docs.where(F.col(doc).isNotNull()).select(
-        F.col(doc).cast("long").alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+        F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("own"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
     line = F.trim(F.col("line"), F.lit(BLANKS))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace(line, f"[^{BLANKS}]*[0-9][^{BLANKS}]*", "<*>")).otherwise(line)
-    tokens = lines.select("doc", "pos", F.split(masked, f"[{BLANKS}]+").alias("tokens")).withColumn("n", F.size("tokens")).where(
+    tokens = lines.select("doc", "own", "pos", F.split(masked, f"[{BLANKS}]+").alias("tokens")).withColumn("n", F.size("tokens")).where(
         F.col("n") >= SHORT)
     left = F.col("n") - DEPTH
     cuts = [DEPTH + F.floor(left * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
     parts = tokens.select(
-        "doc", "pos", "n", F.xxhash64(F.slice("tokens", 1, DEPTH)).alias("lead"),
+        "doc", "own", "pos", "n", F.xxhash64(F.slice("tokens", 1, DEPTH)).alias("lead"),
         *[F.xxhash64(F.slice("tokens", cuts[i] + 1, cuts[i + 1] - cuts[i])).alias(f"s{i}") for i in range(SEGMENTS)])
     keys = template_keys(F.col("lead"), [F.col(f"s{i}") for i in range(SEGMENTS)], F.col("n"))
-    return parts.select("doc", "pos", F.explode(keys).alias("key"))
+    return parts.select("doc", "own", "pos", F.explode(keys).alias("key"))
 
 
 def drop_recurring_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,12 +66,12 @@ def drop_recurring_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text
     recurring = (keyed.groupBy("key").agg(F.min("doc").alias("home"), F.max("doc").alias("last"))
                  .where("home < last").select("key", "home"))
     drop = fresh(docs.columns, "_drop")
-    own = fresh(docs.columns, "_doc")
+    own, whose = fresh(docs.columns, "_doc"), fresh(docs.columns, "_own")
     gone = (keyed.join(recurring, "key").where("doc <> home")
-            .groupBy(F.col("doc").alias(own)).agg(F.collect_set("pos").alias(drop)))
+            .groupBy(F.col("doc").alias(own), F.col("own").alias(whose)).agg(F.collect_set("pos").alias(drop)))
     lines = F.split(F.col(text), "\n")
     kept = F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains(F.col(drop), i)))
-    both = docs.join(gone, F.col(doc).cast("long") == F.col(own), "left")
+    both = docs.join(gone, (F.col(doc).cast("long") == F.col(own)) & (F.xxhash64(text) == F.col(whose)), "left")
     cleaned = F.when(F.col(drop).isNull(), F.col(text)).otherwise(kept).alias(text)
     return both.select(*[cleaned if c.lower() == text.lower() else F.col(c) for c in docs.columns],
                        F.greatest(F.size(lines), F.lit(0)).alias("n_lines"),

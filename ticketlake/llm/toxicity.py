@@ -121,12 +121,13 @@ def word_weights(counts: DataFrame) -> tuple[DataFrame, float]:
 
 
 def evidence(texts: DataFrame, weights: DataFrame, other: float) -> DataFrame:
-    """(doc_id, n_words, per_word): the length-normalised log-likelihood difference of every text."""
+    """(doc_id, h1 and h2 where given, n_words, per_word): the length-normalised log-likelihood difference of every text."""
     buckets = bucket_count(texts.sparkSession)
+    own = [c for c in ("doc_id", "h1", "h2") if c in texts.columns]
 
     def describe(part):
         ids, doc_of, keys, lens = words_of(part)
-        head = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lens, pa.int64())], ["doc_id", "n_words"])
+        head = pa.RecordBatch.from_arrays([*map(part.column, own), pa.array(lens, pa.int64())], [*own, "n_words"])
         return head, pa.array(keys, pa.int64()), np.mod(keys, buckets), ids, doc_of
 
     def weighed(parts: pa.Table, known: pa.Table) -> pa.Table:
@@ -142,13 +143,13 @@ def evidence(texts: DataFrame, weights: DataFrame, other: float) -> DataFrame:
 
     def finish(head, total):
         n = head.column("n_words").to_numpy()
-        return pa.table({"doc_id": head.column("doc_id"), "n_words": head.column("n_words"),
+        return pa.table({**{c: head.column(c) for c in own}, "n_words": head.column("n_words"),
                          "per_word": pa.array(total / np.maximum(n, 1), pa.float64())})
 
     by_bucket = weights.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     sums = (packed_frequencies(texts, describe, buckets).groupBy("bucket")
             .cogroup(by_bucket.groupBy("bucket")).applyInArrow(weighed, SUMS))
-    return add_blocks(sums, "<f4", "doc_id long, n_words long, per_word double", finish)
+    return add_blocks(sums, "<f4", ", ".join(f"{c} {dict(texts.dtypes)[c]}" for c in own) + ", n_words long, per_word double", finish)
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
@@ -165,11 +166,14 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of ``docs`` by ``labels`` (doc_id, toxic)."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, hashed: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``docs`` by ``labels`` (doc_id, toxic); ``hashed`` adds h1 and h2 of the text."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     texts = texts_of(docs)
+    hashes = ["h1", "h2"] if hashed else []
+    if hashed:
+        texts = texts.withColumns({"h1": F.xxhash64("text"), "h2": F.hash("text")})
     counted = sized_broadcast(known.where(fold(F.col("doc_id")).isin(*COUNTED)), LABELS_BROADCAST_ROWS)
     counts = cut(class_counts(texts.join(counted, "doc_id", "left")).where("toxic + ordinary > 0"))
     weights, other = word_weights(counts)
@@ -189,5 +193,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     x = F.col("per_word") / scale
     z = F.lit(float(b)) + F.lit(float(s1)) * x + F.lit(float(s2)) * x * F.sqrt(F.col("n_words")) / 16
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    return seen.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+    return seen.select("doc_id", *hashes, F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
                        score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "per_word", "n_words")
