@@ -59,3 +59,18 @@ def test_weights_follow_the_formula(spark):
 
 def test_query_covers_every_document(spark):
     assert QUERIES["op2_toxicity"](spark, SF001).count() == spark.read.parquet(f"{SF001}/documents.parquet").count()
+
+
+def test_backoff_is_normalised_over_all_stems(spark):
+    import math
+    fields = "key long, toxic long, ordinary long, held_by long"
+    all_stems = [(1, 5, 1, 4), (2, 0, 9, 6), (3, 1, 0, 1), (4, 0, 0, 70), (5, 0, 0, 19)]
+    weights, _ = T.word_weights(T.labelled_counts(spark.createDataFrame(all_stems, fields)))
+    got = {r.key: r.weight for r in weights.collect()}
+    assert set(got) == {1, 2, 3}
+
+    def p(c, held, total, n1, t):
+        d = min(max(n1 / n1, 0.1), 0.95)
+        return max(c - d, 0) / total + d * t / total * held / 100
+
+    assert abs(got[1] - math.log(1 - T.MIX + T.MIX * p(5, 4, 6, 1, 2) / p(1, 4, 10, 1, 2))) < 1e-12

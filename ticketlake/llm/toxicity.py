@@ -23,9 +23,11 @@ without the mixture).  The evidence is normalised by the length in words (and by
 its root); a logistic curve, fitted on labelled rows the counts did not see,
 turns it into a probability.
 
-The counts come from every labelled training row.  Two scans: stem counts
+The counts come from the labelled rows of folds 1 to 3; those of fold 4 fit the
+curve only, as it must see rows the counts did not.  Two scans: stem counts
 (combined per block and per task before the shuffle), then packed
-frequencies grouped with the stem weights.  Stems no training row holds have one
+frequencies grouped with the stem weights.  Stems that no counted row holds become
+one row without key, which adds their documents to P(w).  Stems no training row holds have one
 constant weight.
 
 Folds by crc32 of doc_id as text, modulo 5: 0 is held out, 1 to 3 are counted,
@@ -98,6 +100,12 @@ def class_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, fields).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "held_by")])
 
 
+def labelled_counts(counts: DataFrame) -> DataFrame:
+    """``counts`` with all stems of no counted row as one row whose key is null."""
+    held = F.when(F.col("toxic") + F.col("ordinary") > 0, F.col("key")).alias("key")
+    return counts.groupBy(held).agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "held_by")])
+
+
 def word_weights(counts: DataFrame) -> tuple[DataFrame, float]:
     """(key, weight): log(1 - MIX + MIX * P(w | toxic) / P(w | ordinary)), and the weight of any other stem."""
     sums = [F.sum("held_by").cast("double").alias("held_by")]
@@ -114,6 +122,7 @@ def word_weights(counts: DataFrame) -> tuple[DataFrame, float]:
         p = F.greatest(F.col(c) - F.lit(d), F.lit(0.0)) / total + F.lit(back) * F.col("held_by") / F.lit(s["held_by"])
         return p, back
 
+    counts = counts.where("key is not null")
     if not s["n_toxic"] or not s["n_ordinary"]:
         return counts.select("key", F.lit(0.0).alias("weight")), 0.0
     (p_t, back_t), (p_o, back_o) = model("toxic"), model("ordinary")
@@ -175,7 +184,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     if hashed:
         texts = texts.withColumns({"h1": F.xxhash64("text"), "h2": F.hash("text")})
     counted = sized_broadcast(known.where(fold(F.col("doc_id")).isin(*COUNTED)), LABELS_BROADCAST_ROWS)
-    counts = cut(class_counts(texts.join(counted, "doc_id", "left")).where("toxic + ordinary > 0"))
+    counts = cut(labelled_counts(class_counts(texts.join(counted, "doc_id", "left"))))
     weights, other = word_weights(counts)
     seen = cut(evidence(texts, weights, other))
 
