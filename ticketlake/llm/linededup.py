@@ -9,8 +9,11 @@ title, a date in words) share such a template, two lines of prose that merely
 begin alike do not.
 
 A template that recurs in several documents is boilerplate.  Its lines stay in
-the document with the least doc_id and are dropped from all others, so every
-wording remains in the corpus once.  Lines under ``SHORT`` tokens say too little
+the document with the least doc_id and are dropped from all others.  Masked
+wordings that are equal so remain once, but a line may go for a template whose
+home line goes for another one, and the words of a generalised stretch (up to a
+quarter of the line) go with the line.  Not found are recurring lines that vary in
+two stretches, by an inserted word, or by a word below ``GENERAL`` tokens.  Lines under ``SHORT`` tokens say too little
 to be a template and stay.
 
 Only 64-bit template keys are shuffled, with min and max of doc_id combined
