@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import read_table
-from . import linededup
+from . import linededup, masksearch, merkle, mixing
 from .annforest import nearest
 from .decontam import find_contamination
 from .htmltext import extract_pages
@@ -83,3 +83,18 @@ def op5(spark, sf_dir):
 @register("op7_licenses")
 def op7(spark, sf_dir):
     return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+@register("op11_merkle_manifest", merkle.oracle())
+def op11(spark, sf_dir):
+    return merkle.verify_manifest(read_table(spark, sf_dir, "documents"))
+
+
+@register("op12_ranked_search", masksearch.oracle())
+def op12(spark, sf_dir):
+    return masksearch.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_mixing", mixing.oracle())
+def op13(spark, sf_dir):
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
