@@ -243,13 +243,43 @@ class TrainResult:
     importance: DataFrame | None = None
     recall: DataFrame | None = None
     labels: list[str] | None = None
+    vectors: object | None = None      # vectorstore.VectorTable of the tickets' texts
 
 
 def train_routing(spark: SparkSession, dataset: DataFrame, out_dir: str | None = None,
-                  fit_tfidf_on_all: bool = False, fit_final: bool = True, trained_at: str | None = None) -> TrainResult:
+                  fit_tfidf_on_all: bool = False, fit_final: bool = True, trained_at: str | None = None,
+                  vectors_name: str | None = None, name: str | None = None, source: str | None = None,
+                  snapshot: str | None = None) -> TrainResult:
     """Train job: routing model (when a team column exists) with hold-out
     metrics, then the production model on all rows; artifacts under out_dir.
-    ``fit_final=False`` stops at the metrics."""
+    ``fit_final=False`` stops at the metrics.  With ``vectors_name`` and out_dir, the
+    tickets' text vectors are stored as that table and the summary has their
+    ``vector_count``; a dataset without a team column is still indexed."""
+    result = _train(spark, dataset, out_dir, fit_tfidf_on_all, fit_final, trained_at, name, source, snapshot)
+    if vectors_name and out_dir:
+        result.vectors = index_tickets(normalize_columns(dataset), vectors_name, f"{out_dir.rstrip('/')}/vectors")
+        result.summary = result.summary.withColumn("vector_count", F.lit(result.vectors.rows).cast("long"))
+    return result
+
+
+# Ticket columns that a search result shows beside the text.
+VECTOR_COLUMNS = ("description", "assigned_team", "component", "severity", "status_line")
+
+
+def index_tickets(tickets: DataFrame, table_name: str, path: str, id_col: str = "ticket_id"):
+    """Text vectors of all tickets as a persisted table with the ticket columns."""
+    from .textvec import encode_texts, fit_encoder
+    from .vectorstore import write_vectors
+    if id_col not in tickets.columns:
+        from .columns import with_row_index
+        tickets = with_row_index(tickets, id_col)
+    carry = [c for c in VECTOR_COLUMNS if c in tickets.columns]
+    texts = tickets.groupBy(F.coalesce(F.col("description").cast("string"), F.lit("")).alias("description")).agg(F.count(F.lit(1)).alias("weight"))
+    encoder = fit_encoder(reliable_checkpoint(texts), weight_col="weight")
+    return write_vectors(encode_texts(tickets.select(id_col, *carry), encoder), table_name, path, id_col=id_col, carry=carry)
+
+
+def _train(spark, dataset, out_dir, fit_tfidf_on_all, fit_final, trained_at, name, source, snapshot) -> TrainResult:
     norm = normalize_columns(dataset)
     trained_at = trained_at or _dt.datetime.now(tz=_dt.timezone.utc).replace(tzinfo=None).isoformat()
     if "assigned_team" not in norm.columns:

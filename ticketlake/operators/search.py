@@ -2,16 +2,13 @@
 
 Exact top-k (cosine = inner product of unit vectors), ties broken by id:
 
-* small query batch (row count checked against ``max_broadcast_queries``):
-  the query matrix is broadcast once; each corpus partition is scored with one
-  matrix product inside ``mapInPandas`` and keeps an exact local top-k per
-  query; a ``row_number() <= k`` window merges the partial lists (Catalyst
-  adds a partial WindowGroupLimit before its shuffle).
-* large query batch: queries are cut into chunks and the corpus into blocks;
-  each (chunk, block) group is scored in ``applyInPandas`` on a cogroup, so no
-  task or driver holds all queries; the same window merges the lists.
-
-Only k rows per query leave each task, so shuffle volume is queries x k x tasks.
+queries go in chunks of about ``max_broadcast_queries`` rows, each broadcast once,
+past the corpus, which is only mapped: every Arrow batch of it is scored with
+matrix products inside ``mapInPandas`` and gives an exact top-k per query, and a
+``row_number() <= k`` window merges the lists (Catalyst adds a partial
+WindowGroupLimit before its shuffle).  Neither side is exploded or shuffled; k rows
+per query leave each batch.  Vectors that are searched more than once belong in
+a persisted table (``vectorstore``), where bounds skip most cells.
 """
 
 from __future__ import annotations
@@ -28,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import round_half_up
 from ..functions.vectors import l2_norm, l2_normalize
-from ..plans.session import ship_package
+from ..plans.session import reliable_checkpoint, ship_package
 
 MAX_BROADCAST_QUERIES = 4096
 CORPUS_BLOCK_ROWS = 200_000
@@ -153,6 +150,17 @@ def _score_slice(qids, qmat, pdf, k, id_col, vec_col, carry, qid_col):
     return res
 
 
+def _scorer(queries, k, id_col, carry, cells, block_rows):
+    """Scores the corpus batches of a task against one broadcast chunk of queries."""
+    def score_partition(batches):
+        ids, mat = queries.value
+        for pdf in batches:
+            res = _score_frame(ids, mat, pdf, k, id_col, "_cv", carry, "_qid", min(cells, block_rows * max(1, len(ids))))
+            if res is not None:
+                yield res
+    return score_partition
+
+
 def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                   vec_col: str = "embedding", query_id_col: str = "query_id", query_vec_col: str = "embedding",
                   carry: list[str] | None = None, normalize: bool = True, score_digits: int | None = 4,
@@ -175,39 +183,18 @@ def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str
         T.StructField("score", T.DoubleType()),
         *[T.StructField(x, corpus.schema[x].dataType) for x in carry],
     ])
-    n_queries = q.limit(max_broadcast_queries + 1).count()
-    if n_queries <= max_broadcast_queries:
-        rows = q.collect()  # bounded by the check above
-        qids = [r["_qid"] for r in rows]
-        qmat = np.array([r["_qv"] for r in rows], dtype=np.float64)
-        bq = corpus.sparkSession.sparkContext.broadcast((qids, qmat))
-
-        def score_partition(batches):
-            ids, mat = bq.value
-            for pdf in batches:
-                res = _score_frame(ids, mat, pdf, k, id_col, "_cv", carry, "_qid", max_score_cells)
-                if res is not None:
-                    yield res
-
-        partial = c.mapInPandas(score_partition, schema)
-    else:
-        n_chunks = int(np.ceil(q.count() / max_broadcast_queries))
-        n_blocks = max(1, int(np.ceil(c.count() / corpus_block_rows)))
-        qs = (q.withColumn("_chunk", F.pmod(F.xxhash64("_qid"), F.lit(n_chunks)))
-              .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-        cs = (c.withColumn("_blk", F.pmod(F.xxhash64(id_col), F.lit(n_blocks)))
-              .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))))
-
-        def score_group(qpdf, cpdf):
-            if len(qpdf) == 0 or len(cpdf) == 0:
-                return pd.DataFrame({f.name: [] for f in schema.fields})
-            mat = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
-            res = _score_frame(qpdf["_qid"].to_numpy(), mat, cpdf, k, id_col, "_cv", carry, "_qid",
-                               max_score_cells)
-            return res if res is not None else pd.DataFrame({f.name: [] for f in schema.fields})
-
-        partial = (qs.groupBy("_chunk", "_blk").cogroup(cs.groupBy("_chunk", "_blk"))
-                   .applyInPandas(score_group, schema))
+    # Computed once; counted and collected from the checkpoint.
+    q = reliable_checkpoint(q.withColumn("_at", F.xxhash64("_qid")))
+    chunks = max(1, -(-q.count() // max_broadcast_queries))
+    partial = None
+    for i in range(chunks):
+        rows = q.where(F.pmod("_at", F.lit(chunks)) == i).collect()  # about max_broadcast_queries rows
+        if not rows and partial is not None:
+            continue
+        bq = corpus.sparkSession.sparkContext.broadcast(
+            ([r["_qid"] for r in rows], np.array([r["_qv"] for r in rows], dtype=np.float64)))
+        part = c.mapInPandas(_scorer(bq, k, id_col, carry, max_score_cells, corpus_block_rows), schema)
+        partial = part if partial is None else partial.unionByName(part)
     w = Window.partitionBy("_qid").orderBy(F.desc("score"), F.asc(id_col))
     ranked = partial.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
     score = round_half_up("score", score_digits) if score_digits is not None else F.col("score")

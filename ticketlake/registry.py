@@ -722,7 +722,7 @@ s AS (SELECT cn.label AS query_label, en.vec_id, en.label, list_dot_product(cn.v
 r AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_label, rank, vec_id, {_or2('score', 4)} AS score, label FROM r WHERE rank <= 5""")
 def q_v3_blocked(spark, sf_dir):
-    """Same answer through the large-batch path (chunked queries x corpus blocks)."""
+    """Same answer through the large-batch path (chunks of queries past a mapped corpus)."""
     emb = embeddings(spark, sf_dir)
     queries = search.label_centroids(emb).withColumnRenamed("label", "query_label")
     return search.top_k_similar(emb, queries, k=5, query_id_col="query_label", carry=["label"],
@@ -742,6 +742,107 @@ def q_v5(spark, sf_dir):
     return search.approx_top_k_similar(emb, queries, k=5, query_id_col="query_label")
 
 
+# --- persisted vector tables (V2, V3, V5, R11) ------------------------------------------------
+
+import uuid  # noqa: E402
+
+from .operators import textvec, vectorstore  # noqa: E402
+from .plans.session import ensure_checkpoint_dir  # noqa: E402
+
+
+def scratch(spark, kind: str) -> tuple[str, str]:
+    """A fresh table name, and a folder for it in the shared checkpoint folder."""
+    tag = f"{kind}_{uuid.uuid4().hex}"
+    return tag, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}"
+
+
+def embedding_table(spark, sf_dir, **sizes):
+    """The embeddings as a persisted table, opened again by its path."""
+    name, path = scratch(spark, "vectors")
+    vectorstore.write_vectors(embeddings(spark, sf_dir), name, path, carry=["label"], **sizes)
+    return vectorstore.open_vectors(spark, name, path)
+
+
+@register("v2_table", f""", e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT vec_id, label, len(v) AS dim, {_or2(f'sqrt(list_sum(list_transform({_V_NORM}, lambda y: y * y)))', 6)} AS unit_norm FROM e""")
+def q_v2_table(spark, sf_dir):
+    return embedding_table(spark, sf_dir).vectors.select(
+        "vec_id", "label", F.size("embedding").alias("dim"), search.round_half_up(search.l2_norm(F.col("embedding")), 6).alias("unit_norm"))
+
+
+@register("v3_table", f"""{_V_CTES},
+s AS (SELECT cn.label AS query_label, en.vec_id, en.label, list_dot_product(cn.v, en.v) AS score FROM cn, en),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_label, rank, vec_id, {_or2('score', 4)} AS score, label FROM r WHERE rank <= 5""")
+def q_v3_table(spark, sf_dir):
+    queries = search.label_centroids(embeddings(spark, sf_dir)).withColumnRenamed("label", "query_label")
+    return vectorstore.search_vectors(embedding_table(spark, sf_dir), queries, k=5, query_id_col="query_label", carry=["label"]).rows
+
+
+@register("v5_table")
+def q_v5_table(spark, sf_dir):
+    queries = search.label_centroids(embeddings(spark, sf_dir)).withColumnRenamed("label", "query_label")
+    return vectorstore.probe_vectors(embedding_table(spark, sf_dir, cell_rows=64), queries, k=5, query_id_col="query_label", carry=["label"])
+
+
+# Sign vectors of the tickets' texts: bit j of a term's md5 is the sign of its j-th number.
+_TEXT_VECTORS = f""", tx AS (SELECT coalesce(description, '') AS description, count(*) AS tickets FROM tickets GROUP BY 1),
+tt AS (SELECT description, term, count(*) AS tf FROM (SELECT description,
+    unnest(regexp_extract_all(lower(description), '\\b\\w\\w+\\b')) AS term FROM tx) x GROUP BY 1, 2),
+ti AS (SELECT term, ln((1 + (SELECT sum(tickets) FROM tx)) / (1 + sum(tickets))) + 1 AS idf, md5(term) AS h
+    FROM tt JOIN tx USING (description) GROUP BY term),
+tv AS (SELECT description, j, sum(tf * idf * (2 * (((instr('0123456789abcdef', substr(h, CAST(j // 4 + 1 AS INTEGER), 1)) - 1)
+    >> CAST(3 - j % 4 AS INTEGER)) & 1) - 1)) AS x
+    FROM tt JOIN ti USING (term), (SELECT range AS j FROM range({textvec.DIM})) GROUP BY 1, 2),
+tn AS (SELECT description, list(x ORDER BY j) AS v FROM tv GROUP BY 1),
+tu AS (SELECT description, {_V_NORM} AS v FROM tn)"""
+
+
+def ticket_vectors(spark, sf_dir):
+    name, path = scratch(spark, "ticket_vectors")
+    return routing.index_tickets(tickets_internal(spark, sf_dir), name, path)
+
+
+@register("v1_signs", f"""{_TEXT_VECTORS}
+SELECT ticket_id, len(v) AS dim, {_or2('v[1]', 6)} AS first, {_or2('v[77]', 6)} AS middle, {_or2('v[128]', 6)} AS last,
+  {_or2('sqrt(list_sum(list_transform(v, lambda y: y * y)))', 6)} AS norm
+FROM tickets JOIN tu ON tu.description = coalesce(tickets.description, '')""")
+def q_v1_signs(spark, sf_dir):
+    def at(i):
+        return search.round_half_up(F.element_at("embedding", i), 6)
+    return ticket_vectors(spark, sf_dir).vectors.select(
+        "ticket_id", F.size("embedding").alias("dim"), at(1).alias("first"), at(77).alias("middle"), at(128).alias("last"),
+        search.round_half_up(search.l2_norm(F.col("embedding")), 6).alias("norm"))
+
+
+@register("v3_tickets", f"""{_TEXT_VECTORS},
+qx AS (SELECT assigned_team, j, avg(x) AS x FROM (SELECT assigned_team, unnest(generate_series(1, len(v))) AS j, unnest(v) AS x
+    FROM tickets JOIN tu ON tu.description = coalesce(tickets.description, '')) y GROUP BY 1, 2),
+qm AS (SELECT assigned_team, list(x ORDER BY j) AS v FROM qx GROUP BY 1),
+qv AS (SELECT assigned_team, {_V_NORM} AS v FROM qm),
+s AS (SELECT qv.assigned_team AS team, t.ticket_id, t.assigned_team, t.severity, round(list_dot_product(qv.v, tu.v), 10) AS score
+    FROM qv, tickets t JOIN tu ON tu.description = coalesce(t.description, '')),
+r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY score DESC, ticket_id) AS rank FROM s)
+SELECT team, rank, ticket_id, {_or2('score', 4)} AS score, assigned_team, severity FROM r WHERE rank <= 5""")
+def q_v3_tickets(spark, sf_dir):
+    """For each team, the tickets nearest to the mean of its texts, over the stored vectors."""
+    table = ticket_vectors(spark, sf_dir)
+    queries = search.label_centroids(table.vectors, label_col="assigned_team").withColumnRenamed("assigned_team", "team")
+    return vectorstore.search_vectors(table, queries, k=5, query_id_col="team", carry=["assigned_team", "severity"]).rows
+
+
+@register("r11_vectors", f"""{_TEXT_VECTORS}
+SELECT count(*) AS row_count, true AS routing_trained, CAST(count(DISTINCT assigned_team) AS INTEGER) AS classes,
+  count(v) AS vector_count, CAST(max(len(v)) AS INTEGER) AS dim
+FROM tickets LEFT JOIN tu ON tu.description = coalesce(tickets.description, '')""")
+def q_r11_vectors(spark, sf_dir):
+    """The train job with its vector table: what the summary says next to what the table holds."""
+    name, path = scratch(spark, "trained")
+    got = routing.train_routing(spark, tickets_internal(spark, sf_dir), path, trained_at="2001-08-02T12:00:00", vectors_name=name)
+    held = got.vectors.vectors.agg(F.max(F.size("embedding")).alias("dim"))
+    return got.summary.select("row_count", "routing_trained", "classes", "vector_count").crossJoin(held)  # one row each
+
+
 # --- routing (R1-R11) ------------------------------------------------------------------------
 
 from .operators import routing  # noqa: E402
