@@ -14,7 +14,8 @@ from pyspark.sql import Window, Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_rank, count_where, pct, round_half_up
-from .quantiles import attach_quantiles
+from .quantiles import attach_quantiles, join_on_keys
+from .states import distinct_counts
 
 ALL = "All"
 
@@ -159,16 +160,23 @@ def rank_teams(team_summary_df: DataFrame, by: str, descending: bool) -> DataFra
 
 
 def dealer_summary(dealer_mart: DataFrame, flt: KpiFilter | None = None, top: int | None = 20,
-                   floor_month: bool = False) -> DataFrame:
-    """Dealer rollup; ``Vehicles`` sums monthly distinct vehicles (vehicle-months)."""
-    t = apply(dealer_mart, (flt or KpiFilter()).month_conditions(floor_month))
+                   floor_month: bool = False, vehicles: DataFrame | None = None) -> DataFrame:
+    """Dealer rollup; ``Vehicles`` sums monthly distinct vehicles (vehicle-months).  With the marts'
+    distinct state of ``vehicles``, ``Distinct Vehicles`` counts each vehicle of the months once."""
+    months = (flt or KpiFilter()).month_conditions(floor_month)
+    t = apply(dealer_mart, months)
     out = t.groupBy(F.col("dealer_label").alias("Dealer"), F.col("dealer_country").alias("Country")).agg(
         F.sum("total_tickets").alias("Total Tickets"),
         F.sum("distinct_vehicles").alias("Vehicles"),
         pct(F.sum("sla_breached_tickets"), F.sum("closed_tickets"), 1).alias("SLA Breach %"),
         round_half_up(_weighted_hours(), 1).alias("Avg Resolution (h)"),
         round_half_up(F.avg("warranty_rate_pct"), 1).alias("Warranty %"),
-    ).orderBy(F.desc("Total Tickets"), "Dealer", "Country")
+    )
+    if vehicles is not None:
+        held = apply(vehicles, months).withColumnsRenamed({"dealer_label": "Dealer", "dealer_country": "Country"})
+        out = join_on_keys(out, distinct_counts(held, ["Dealer", "Country"], "Distinct Vehicles"), ["Dealer", "Country"])
+        out = out.na.fill(0, ["Distinct Vehicles"])
+    out = out.orderBy(F.desc("Total Tickets"), "Dealer", "Country")
     return out.limit(top) if top else out
 
 

@@ -84,10 +84,14 @@ def _counts() -> dict[str, Column]:
     }
 
 
-def team_workload(tickets: DataFrame, approx: bool = False) -> DataFrame:
-    """One row per team per month."""
-    n = _counts()
-    return _rollup(tickets, TEAM_KEYS, [
+def _hours() -> dict[str, Column]:
+    closed = _closed("resolution_hours")
+    return {"avg": F.avg(closed), "min": F.min(closed), "max": F.max(closed), "queue": F.avg("first_queue_hours")}
+
+
+def team_measures(n: dict[str, Column], h: dict[str, Column]) -> list[tuple[str, Column | object]]:
+    """Columns of the team mart from its counts and hours, in order."""
+    return [
         ("total_tickets", n["total"]),
         ("closed_tickets", n["closed"]),
         ("open_tickets", n["open"]),
@@ -96,50 +100,63 @@ def team_workload(tickets: DataFrame, approx: bool = False) -> DataFrame:
         ("warranty_claims", n["warranty"]),
         ("sla_breached_tickets", n["breached"]),
         ("sla_breach_rate_pct", pct(n["breached"], n["closed"])),
-        ("avg_resolution_hours", round_half_up(F.avg(_closed("resolution_hours")), 2)),
+        ("avg_resolution_hours", round_half_up(h["avg"], 2)),
         ("median_resolution_hours", MEDIAN),
-        ("min_resolution_hours", round_half_up(F.min(_closed("resolution_hours")), 2)),
-        ("max_resolution_hours", round_half_up(F.max(_closed("resolution_hours")), 2)),
-        ("avg_first_queue_hours", round_half_up(F.avg("first_queue_hours"), 2)),
+        ("min_resolution_hours", round_half_up(h["min"], 2)),
+        ("max_resolution_hours", round_half_up(h["max"], 2)),
+        ("avg_first_queue_hours", round_half_up(h["queue"], 2)),
         ("warranty_pct", pct(n["warranty"], n["total"])),
         ("critical_pct", pct(n["critical"], n["total"])),
-    ], approx)
+    ]
 
 
-def dealer_performance(tickets: DataFrame, approx: bool = False) -> DataFrame:
-    """One row per dealer per month."""
-    n = _counts()
-    return _rollup(tickets, DEALER_KEYS, [
+def dealer_measures(n: dict[str, Column], h: dict[str, Column], vehicles: Column) -> list[tuple[str, Column | object]]:
+    return [
         ("total_tickets", n["total"]),
         ("closed_tickets", n["closed"]),
         ("open_tickets", n["open"]),
         ("critical_tickets", n["critical"]),
         ("warranty_claims", n["warranty"]),
         ("sla_breached_tickets", n["breached"]),
-        ("distinct_vehicles", _distinct("vehicle_chassis_id", approx)),
+        ("distinct_vehicles", vehicles),
         ("sla_breach_rate_pct", pct(n["breached"], n["closed"])),
-        ("avg_resolution_hours", round_half_up(F.avg(_closed("resolution_hours")), 2)),
+        ("avg_resolution_hours", round_half_up(h["avg"], 2)),
         ("median_resolution_hours", MEDIAN),
-        ("max_resolution_hours", round_half_up(F.max(_closed("resolution_hours")), 2)),
-        ("avg_first_queue_hours", round_half_up(F.avg("first_queue_hours"), 2)),
+        ("max_resolution_hours", round_half_up(h["max"], 2)),
+        ("avg_first_queue_hours", round_half_up(h["queue"], 2)),
         ("warranty_rate_pct", pct(n["warranty"], n["total"])),
-    ], approx)
+    ]
 
 
-def product_defects(tickets: DataFrame, approx: bool = False) -> DataFrame:
-    """One row per product family / code / component / fault code / fault mode, by volume."""
-    n = _counts()
-    return _rollup(tickets, PRODUCT_KEYS, [
+def product_measures(n: dict[str, Column], h: dict[str, Column], vehicles: Column,
+                     dealers: Column) -> list[tuple[str, Column | object]]:
+    return [
         ("total_tickets", n["total"]),
         ("closed_tickets", n["closed"]),
         ("critical_tickets", n["critical"]),
         ("warranty_claims", n["warranty"]),
         ("sla_breached_tickets", n["breached"]),
-        ("affected_vehicles", _distinct("vehicle_chassis_id", approx)),
-        ("affected_dealers", _distinct("dealer_code", approx)),
+        ("affected_vehicles", vehicles),
+        ("affected_dealers", dealers),
         ("critical_rate_pct", pct(n["critical"], n["total"])),
         ("warranty_rate_pct", pct(n["warranty"], n["total"])),
         ("sla_breach_rate_pct", pct(n["breached"], n["closed"])),
-        ("avg_resolution_hours", round_half_up(F.avg(_closed("resolution_hours")), 2)),
+        ("avg_resolution_hours", round_half_up(h["avg"], 2)),
         ("median_resolution_hours", MEDIAN),
-    ], approx).orderBy(F.desc("total_tickets"))
+    ]
+
+
+def team_workload(tickets: DataFrame, approx: bool = False) -> DataFrame:
+    """One row per team per month."""
+    return _rollup(tickets, TEAM_KEYS, team_measures(_counts(), _hours()), approx)
+
+
+def dealer_performance(tickets: DataFrame, approx: bool = False) -> DataFrame:
+    """One row per dealer per month."""
+    return _rollup(tickets, DEALER_KEYS, dealer_measures(_counts(), _hours(), _distinct("vehicle_chassis_id", approx)), approx)
+
+
+def product_defects(tickets: DataFrame, approx: bool = False) -> DataFrame:
+    """One row per product family / code / component / fault code / fault mode, by volume."""
+    measures = product_measures(_counts(), _hours(), _distinct("vehicle_chassis_id", approx), _distinct("dealer_code", approx))
+    return _rollup(tickets, PRODUCT_KEYS, measures, approx).orderBy(F.desc("total_tickets"))

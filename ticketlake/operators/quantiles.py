@@ -16,10 +16,13 @@ and windows, none of which holds a whole group:
    per (group, bucket) and their running sum give each bucket's rank range;
    a group has at most a fixed number of buckets (about ``scale`` per doubling
    of the value), whatever its row count.
-3. Only the buckets that hold a target rank are joined back; inside each,
-   a window ordered by value finds the exact values at the two ranks around
-   ``p * (n - 1)``.  A bucket spans a relative width of ``2**(1/scale) - 1``
-   (0.07 % at the default), so it holds few distinct values.
+3. Only the buckets that hold a target rank are joined back.  A bucket spans a
+   relative width of ``2**(1/scale) - 1`` (0.07 % at the default), but continuous
+   values may still fill it, so it is cut again, into ``PIECES`` equal ranges between
+   its own least and largest value; counts and running sums per piece locate the
+   ranks once more.
+4. Inside the pieces that hold a target rank, a window ordered by value finds the
+   exact values at the two ranks around ``p * (n - 1)``.
 
 No driver round trip: the whole computation is one lazy plan.
 """
@@ -32,6 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SCALE = 1024
+# Ranges a bucket with a target rank is cut into, by its own values.
+PIECES = 1024
 
 
 def value_bucket(v: Column, scale: int = DEFAULT_SCALE) -> Column:
@@ -45,10 +50,12 @@ def value_bucket(v: Column, scale: int = DEFAULT_SCALE) -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: list[float],
-                    names: list[str], scale: int = DEFAULT_SCALE, keep_key: bool = False) -> DataFrame:
+                    names: list[str], scale: int = DEFAULT_SCALE, keep_key: bool = False,
+                    weight: str | None = None) -> DataFrame:
     """One row per group (``keys``; none = the whole table) that has a
     non-null value: the keys, then one double column per probability.
-    ``keep_key`` returns the struct group key ``_g`` instead of the key
+    ``weight`` names a column that says how often a row's value counts (the
+    rows of a mart state); ``keep_key`` returns the struct group key ``_g`` instead of the key
     columns (see :func:`attach_quantiles`).
 
     Matches ``percentile(value, p)``: position ``p * (n - 1)`` over the sorted
@@ -58,15 +65,16 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
         raise ValueError("one name per probability")
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     g = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)  # one null-safe key
-    counts = (df.select(g.alias("_g"), v.alias("_v")).filter(F.col("_v").isNotNull())
-              .groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    times = [F.col(weight).alias("_w")] if weight else []
+    counts = (df.select(g.alias("_g"), v.alias("_v"), *times).filter(F.col("_v").isNotNull())
+              .groupBy("_g", "_v").agg((F.coalesce(F.sum("_w"), F.lit(0)) if weight else F.count(F.lit(1))).alias("_c"))
               .withColumn("_b", value_bucket(F.col("_v"), scale)))
 
     # Rank range [before, before + count) of every (group, bucket).
     by_group = Window.partitionBy("_g")
     running = by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (counts.groupBy("_g", "_b").agg(F.sum("_c").alias("_bc"))
-            .select("_g", "_b", (F.sum("_bc").over(running) - F.col("_bc")).alias("_before"),
+    hist = (counts.groupBy("_g", "_b").agg(F.sum("_c").alias("_bc"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+            .select("_g", "_b", "_bc", "_least", "_most", (F.sum("_bc").over(running) - F.col("_bc")).alias("_before"),
                     F.sum("_bc").over(by_group).alias("_n")))
 
     def ranks(n: Column) -> list[tuple[Column, Column, Column]]:
@@ -79,13 +87,24 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     def holds(start: Column, end: Column, r: Column) -> Column:
         return (start <= r) & (r < end)
 
-    start, end = F.col("_before"), F.col("_before") + F.col("_bc")
-    wanted = [holds(start, end, r) for _, lo, hi in ranks(F.col("_n")) for r in (lo, hi)]
-    targets = hist.filter(_any(wanted)).select("_g", "_b", "_before", "_n")
+    def wanted() -> Column:
+        start, end = F.col("_before"), F.col("_before") + F.col("_bc")
+        return _any([holds(start, end, r) for _, lo, hi in ranks(F.col("_n")) for r in (lo, hi)])
 
-    # Exact ranks inside the target buckets only.
-    inside = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (counts.join(targets, ["_g", "_b"])
+    targets = hist.filter(wanted()).drop("_bc")
+
+    # The same once more inside the target buckets: pieces between the bucket's least and largest value.
+    width = F.col("_most") - F.col("_least")
+    piece = F.when(width > 0, F.floor((F.col("_v") - F.col("_least")) / width * F.lit(PIECES))).otherwise(F.lit(0))
+    cut = counts.join(targets, ["_g", "_b"]).withColumn("_p", F.coalesce(piece, F.lit(0)))
+    in_bucket = Window.partitionBy("_g", "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = (cut.groupBy("_g", "_b", "_p").agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"), F.max("_before").alias("_start"))
+              .select("_g", "_b", "_p", "_n", "_bc", (F.col("_start") + F.sum("_bc").over(in_bucket) - F.col("_bc")).alias("_before"))
+              .filter(wanted()).drop("_bc"))
+
+    # Exact ranks inside the target pieces only.
+    inside = Window.partitionBy("_g", "_b", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (cut.drop("_n", "_before").join(pieces, ["_g", "_b", "_p"])
               .select("_g", "_v", "_n", (F.col("_before") + F.sum("_c").over(inside)).alias("_end"), "_c"))
     r_start, r_end = F.col("_end") - F.col("_c"), F.col("_end")
     aggs = [F.max("_n").alias("_n")]
@@ -106,13 +125,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
 
 
 def attach_quantiles(base: DataFrame, df: DataFrame, keys: list[str], value: str | Column,
-                     probs: list[float], names: list[str]) -> DataFrame:
+                     probs: list[float], names: list[str], weight: str | None = None) -> DataFrame:
     """``base`` (one row per group of ``keys``) left-joined with the exact
     quantiles of ``value`` over ``df`` per group (NULL when a group has no
     value).  The join is on the quantile aggregation's own group key, so
     Catalyst knows that side is unique per key and drops the whole quantile
     plan when a query reads none of its columns."""
-    q = exact_quantiles(df, keys, value, probs, names, keep_key=True)
+    q = exact_quantiles(df, keys, value, probs, names, keep_key=True, weight=weight)
     g = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
     return (base.select(g.alias("_g"), *[F.col(f"`{c}`") for c in base.columns])
             .join(q, "_g", "left").drop("_g"))

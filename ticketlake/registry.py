@@ -233,6 +233,85 @@ def q_dealer_sum_f(spark, sf_dir):
     return kpi.dealer_summary(dealer_mart(spark, sf_dir), FLT)
 
 
+# --- mergeable states: the marts and their roll-ups without the tickets (A1-A3, A5, A8, A12) ------
+
+from .operators import states  # noqa: E402
+from .plans.session import reliable_checkpoint  # noqa: E402
+
+
+def value_state(spark, sf_dir, keys):
+    """The state, written once: one scan of the tickets whatever is asked of it."""
+    return reliable_checkpoint(states.value_state(enriched(spark, sf_dir), keys))
+
+
+def distinct_state(spark, sf_dir, keys, column):
+    e = reliable_checkpoint(enriched(spark, sf_dir).select(*keys, column).distinct())
+    return reliable_checkpoint(states.distinct_state(e, keys, column, states.value_codes(e, column)))
+
+
+@register("a1_state", "SELECT * FROM team")
+def q_team_state(spark, sf_dir):
+    return states.team_workload(value_state(spark, sf_dir, marts.TEAM_KEYS))
+
+
+@register("a2_state", "SELECT * FROM dealer")
+def q_dealer_state(spark, sf_dir):
+    return states.dealer_performance(value_state(spark, sf_dir, marts.DEALER_KEYS),
+                                     distinct_state(spark, sf_dir, marts.DEALER_KEYS, "vehicle_chassis_id"))
+
+
+@register("a3_state", "SELECT * FROM prod")
+def q_product_state(spark, sf_dir):
+    return states.product_defects(value_state(spark, sf_dir, marts.PRODUCT_KEYS),
+                                  distinct_state(spark, sf_dir, marts.PRODUCT_KEYS, "vehicle_chassis_id"),
+                                  distinct_state(spark, sf_dir, marts.PRODUCT_KEYS, "dealer_code"))
+
+
+_SPREAD = f"""count(*) AS total_tickets, count(*) FILTER (WHERE is_closed) AS closed_tickets,
+  count(*) FILTER (WHERE is_sla_breach) AS sla_breached_tickets,
+  {_opct('count(*) FILTER (WHERE is_closed AND is_sla_breach)', 'count(*) FILTER (WHERE is_closed)', 2)} AS closed_sla_breach_pct,
+  {_or2('avg(resolution_hours) FILTER (WHERE is_closed)', 2)} AS avg_resolution_hours,
+  {_or2('quantile_cont(resolution_hours, 0.5) FILTER (WHERE is_closed)', 2)} AS median_hours,
+  {_or2('quantile_cont(resolution_hours, 0.9) FILTER (WHERE is_closed)', 2)} AS p90_hours"""
+
+
+@register("a8_team_all_months", f"SELECT assigned_team, {_SPREAD} FROM kpi GROUP BY 1")
+def q_a8_team(spark, sf_dir):
+    """Teams over all months, medians and rates included, from the monthly state."""
+    state = states.merge_values(value_state(spark, sf_dir, marts.TEAM_KEYS), ["assigned_team"])
+    return states.state_quantiles(state, ["assigned_team"], [0.5, 0.9], ["median_hours", "p90_hours"])
+
+
+@register("a8_region_year", f"SELECT geo_region, created_year, {_SPREAD} FROM kpi GROUP BY 1, 2")
+def q_a8_region(spark, sf_dir):
+    state = value_state(spark, sf_dir, marts.DEALER_KEYS)
+    return states.state_quantiles(state, ["geo_region", "created_year"], [0.5, 0.9], ["median_hours", "p90_hours"])
+
+
+_DEALER_DISTINCT = """SELECT s.*, v."Distinct Vehicles" FROM ({body}) s JOIN (SELECT dealer_label AS "Dealer", dealer_country AS "Country",
+  count(DISTINCT vehicle_chassis_id) AS "Distinct Vehicles" FROM kpi {w} GROUP BY 1, 2) v USING ("Dealer", "Country")
+ORDER BY "Total Tickets" DESC, 1, 2 LIMIT 20"""
+
+
+def dealer_vehicles(spark, sf_dir):
+    return distinct_state(spark, sf_dir, marts.DEALER_KEYS, "vehicle_chassis_id")
+
+
+@register("a12_distinct_vehicles", _DEALER_DISTINCT.format(body=_DEALER_SUM.format(w=""), w=""))
+def q_a12_distinct(spark, sf_dir):
+    return kpi.dealer_summary(dealer_mart(spark, sf_dir), vehicles=dealer_vehicles(spark, sf_dir))
+
+
+@register("a12_distinct_month_filter", _DEALER_DISTINCT.format(body=_DEALER_SUM.format(w=_MW), w=_MW))
+def q_a12_distinct_f(spark, sf_dir):
+    return kpi.dealer_summary(dealer_mart(spark, sf_dir), FLT, vehicles=dealer_vehicles(spark, sf_dir))
+
+
+@register("a5_vehicles_by_region", "SELECT geo_region, count(DISTINCT vehicle_chassis_id) AS distinct_vehicles FROM kpi GROUP BY 1")
+def q_a5_region(spark, sf_dir):
+    return states.distinct_counts(dealer_vehicles(spark, sf_dir), ["geo_region"], "distinct_vehicles")
+
+
 @register("k5_volume", f"""SELECT * FROM ({_DEALER_SUM.format(w='')}) s ORDER BY "Total Tickets" DESC, 1, 2 LIMIT 10""")
 def q_k5v(spark, sf_dir):
     return kpi.top_dealers(kpi.dealer_summary(dealer_mart(spark, sf_dir), top=None), "Total Tickets")
