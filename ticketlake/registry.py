@@ -10,7 +10,7 @@ from . import oracle_sql as O
 from .operators import marts
 from .operators.enrich import enrich_tickets
 from .operators.staging import stage_tickets
-from .sources.fixtures import tickets_raw
+from .sources.fixtures import read_table, tickets_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -651,6 +651,50 @@ def q_overview_quality(spark, sf_dir):
     return quality.overview(tickets_internal(spark, sf_dir))
 
 
+def _overview_of(table: str, cols: list[str]) -> str:
+    held = f"(SELECT DISTINCT {', '.join(cols)} FROM {table}) d"
+    again = f"(count(*) - (SELECT count(*) FROM {held}))"
+    nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in cols)
+    return f"""SELECT count(*) AS rows, {len(cols)} AS columns, {again} AS duplicate_rows,
+  {_or2(f'100.0 * {again} / nullif(count(*), 0)', 4)} AS duplicate_pct,
+  {_or2(f'100.0 * ({nulls}) / (nullif(count(*), 0) * {float(len(cols))})', 4)} AS overall_null_pct FROM {table}"""
+
+
+# Tables with rows that do repeat: the copies among the documents, and the status columns of lineitem.
+_COPIES = {"documents": ["text", "lang", "n_chars"], "lineitem": ["l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"]}
+
+
+@register("q3_documents", _overview_of("documents", _COPIES["documents"]))
+def q_overview_documents(spark, sf_dir):
+    return quality.overview(read_table(spark, sf_dir, "documents").select(*_COPIES["documents"]))
+
+
+@register("q3_lineitem", _overview_of("lineitem", _COPIES["lineitem"]))
+def q_overview_lineitem(spark, sf_dir):
+    return quality.overview(read_table(spark, sf_dir, "lineitem").select(*_COPIES["lineitem"]))
+
+
+@register("q3_groups", """SELECT lang, n_chars, md5(text) AS text_md5, count(*) AS n FROM documents
+GROUP BY text, lang, n_chars HAVING count(*) > 1""")
+def q_duplicate_groups(spark, sf_dir):
+    """The documents that occur more than once, with how often."""
+    groups = quality.duplicate_groups(read_table(spark, sf_dir, "documents").select(*_COPIES["documents"]))
+    return groups.select("lang", "n_chars", F.md5("text").alias("text_md5"), "n")
+
+
+def _profile_of(table: str, types: dict[str, str]) -> str:
+    return "SELECT * FROM (" + _union(
+        [f"SELECT '{c}' AS \"column\", '{t}' AS type, "
+         f"{_or2(f'100.0 * count(*) FILTER (WHERE {c} IS NULL) / nullif(count(*), 0)', 1)} AS null_pct, "
+         f"count(DISTINCT {c}) AS unique_values, coalesce(CAST(min({c}) AS VARCHAR), '—') AS sample FROM {table}"
+         for c, t in types.items()]) + ") u"
+
+
+@register("q5_documents", _profile_of("documents", {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}))
+def q_schema_documents(spark, sf_dir):
+    return quality.schema_profile(read_table(spark, sf_dir, "documents"))
+
+
 @register("q4", "SELECT \"column\", null_pct FROM (" + _union(
     [f"SELECT '{c}' AS \"column\", {_or2(f'100.0 * count(*) FILTER (WHERE {c} IS NULL) / nullif(count(*), 0)', 4)} AS null_pct FROM tickets"
      for c in _INTERNAL_COLS]) + ") u WHERE null_pct > 0 ORDER BY null_pct DESC, 1")
