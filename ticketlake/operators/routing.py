@@ -17,7 +17,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import reliable_checkpoint, sized_broadcast
@@ -298,18 +298,27 @@ def _train(spark, dataset, out_dir, fit_tfidf_on_all, fit_final, trained_at, nam
     imp = feature_importance(eval_model, spark)
     final = fit_routing(split) if fit_final else None
     if out_dir and final:
-        save_artifacts(spark, final, out_dir, dataset, acc, cm, imp, trained_at)
+        save_artifacts(spark, final, out_dir, dataset, acc, cm, imp, trained_at, name, source, snapshot)
     summary = acc.select(
         F.lit(split.count()).alias("row_count"), F.lit(True).alias("routing_trained"),
         F.col("accuracy"), F.lit(len(eval_model.labels)).alias("classes"), F.lit(trained_at).alias("trained_at_utc"))
     return TrainResult(final, summary, acc, cm, imp, recall, eval_model.labels)
 
 
+def training_part(dataset: DataFrame) -> Column:
+    """What a training's lineage is told apart by: the month of creation, where the dataset has one."""
+    for c in ("creation_date", "created_date"):
+        if c in dataset.columns:
+            return F.substring(F.col(c).cast("string"), 1, 7)
+    return F.lit("all")
+
+
 def save_artifacts(spark: SparkSession, model: RoutingModel, out_dir: str, dataset: DataFrame,
-                   acc: DataFrame, cm: DataFrame, imp: DataFrame, trained_at: str) -> None:
+                   acc: DataFrame, cm: DataFrame, imp: DataFrame, trained_at: str, name: str | None = None,
+                   source: str | None = None, snapshot: str | None = None) -> None:
     """Model folder, performance record (accuracy, classes, confusion, top
-    features) and training metadata with the dataset fingerprint, as JSON."""
-    from ..sources.storage import fingerprint
+    features) and the training's lineage with the dataset's fingerprint."""
+    from ..sources.lineage import record_training
     root = out_dir.rstrip("/")
     model.save(f"{root}/routing_model")
     # One record: a few teams squared and the top terms, so its arrays are bounded.
@@ -321,9 +330,7 @@ def save_artifacts(spark: SparkSession, model: RoutingModel, out_dir: str, datas
     perf.coalesce(1).write.mode("overwrite").json(f"{root}/model_performance")
     cm.coalesce(1).write.mode("overwrite").json(f"{root}/confusion")
     imp.coalesce(1).write.mode("overwrite").json(f"{root}/feature_importance")
-    fp = fingerprint(dataset).select("row_count", "hash_xor", F.col("hash_sum").cast("string").alias("hash_sum"),
-                                     F.lit(trained_at).alias("trained_at_utc"))
-    fp.coalesce(1).write.mode("append").json(f"{root}/routing_training_metadata")
+    record_training(spark, root, dataset, training_part(dataset), trained_at, name, source, snapshot)
 
 
 def load_performance(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle_sql as O
-from .operators import marts
+from .operators import marts, routing
 from .operators.enrich import enrich_tickets
 from .operators.staging import stage_tickets
-from .sources.fixtures import read_table, tickets_raw
+from .plans.session import ensure_checkpoint_dir
+from .sources import lineage
+from .sources.fixtures import raw_column_exprs, read_table, tickets_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +28,12 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def scratch(spark: SparkSession, kind: str) -> tuple[str, str]:
+    """A fresh table name, and a folder for it in the shared checkpoint folder."""
+    tag = f"{kind}_{uuid.uuid4().hex}"
+    return tag, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}"
+
+
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_tickets(tickets_raw(spark, sf_dir))
 
@@ -571,9 +580,60 @@ def q_status(spark, sf_dir):
     return storage.dataset_status(tickets_raw(spark, sf_dir), name="tickets", source="tables")
 
 
-@register("s17")
+def _digest_sql(table: str, types: dict[str, str], part: str, where: str = "") -> str:
+    """(part, rows, digest) of a table, as in ``lineage``."""
+    def text(c: str) -> str:
+        if types[c] == "double":
+            return f"CAST(CAST({c} AS DECIMAL(38,9)) AS VARCHAR)"
+        return f"CAST({c} AS VARCHAR)"
+    row = " || ".join(f"coalesce(CAST(strlen({text(c)}) AS VARCHAR) || ':' || {text(c)}, '-')" for c in sorted(types))
+    halves = ", ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + i * lineage.HALF}, {lineage.HALF}) AS BIGINT)) AS VARCHAR)" for i in range(2))
+    return (f"SELECT part, count(*) AS rows, md5(concat_ws(':', CAST(count(*) AS VARCHAR), {halves})) AS digest FROM "
+            f"(SELECT coalesce(CAST({part} AS VARCHAR), '{lineage.NULL_PART}') AS part, md5({row}) AS d FROM {table} {where}) x GROUP BY part")
+
+
+_RAW_DIGEST = {n: {"odometer_reading": "double", "resolution_seconds": "double"}.get(n, "string") for n, _ in raw_column_exprs()}
+_MONTH = "substr(CAST(created_date AS VARCHAR), 1, 7)"
+
+
+@register("s17", f""", parts AS ({_digest_sql('raw', _RAW_DIGEST, _MONTH)})
+SELECT CAST(sum(rows) AS BIGINT) AS row_count, count(*) AS partitions, md5(string_agg(part || '=' || digest, ',' ORDER BY part)) AS digest FROM parts""")
 def q_fingerprint(spark, sf_dir):
-    return storage.fingerprint(tickets_raw(spark, sf_dir))
+    raw = tickets_raw(spark, sf_dir)
+    return lineage.table_digest(lineage.partition_digests(raw, routing.training_part(raw)))
+
+
+@register("s17_partitions", _digest_sql("raw", _RAW_DIGEST, _MONTH))
+def q_fingerprint_parts(spark, sf_dir):
+    raw = tickets_raw(spark, sf_dir)
+    return lineage.partition_digests(raw, routing.training_part(raw))
+
+
+@register("s17_documents", _digest_sql("documents", {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}, "source"))
+def q_fingerprint_documents(spark, sf_dir):
+    return lineage.partition_digests(read_table(spark, sf_dir, "documents"), "source")
+
+
+# A later delivery: without the oldest year, and with the tickets of 1995 resolved by now closed.
+_LATER = ("(SELECT * REPLACE (CASE WHEN ticket_status = 'Resolved' AND created_date >= DATE '1995-01-01' AND created_date < DATE '1996-01-01' "
+          "THEN 'Closed' ELSE ticket_status END AS ticket_status) FROM raw WHERE created_date >= DATE '1993-01-01') later")
+
+
+@register("s18", f""", b AS ({_digest_sql('raw', _RAW_DIGEST, _MONTH, "WHERE created_date < DATE '2001-01-01'")}),
+a AS ({_digest_sql(_LATER, _RAW_DIGEST, _MONTH)})
+SELECT coalesce(a.part, b.part) AS part, CASE WHEN b.part IS NULL THEN 'added' WHEN a.part IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  b.rows AS rows_before, a.rows AS rows_after
+FROM a FULL JOIN b ON a.part = b.part WHERE a.digest IS DISTINCT FROM b.digest""")
+def q_lineage(spark, sf_dir):
+    """What changed in the tickets since a training that is on record, by month."""
+    raw = tickets_raw(spark, sf_dir)
+    month = routing.training_part(raw)
+    _, root = scratch(spark, "lineage")
+    lineage.record_training(spark, root, raw.where("created_date < DATE '2001-01-01'"), month, "2001-01-01T00:00:00", name="tickets",
+                            source="orders", snapshot="first")
+    in_1995 = (F.col("ticket_status") == "Resolved") & (F.year("created_date") == 1995)
+    later = raw.where("created_date >= DATE '1993-01-01'").withColumn("ticket_status", F.when(in_1995, "Closed").otherwise(F.col("ticket_status")))
+    return lineage.changes_since_training(spark, root, later, month)
 
 
 @register("a20", """SELECT "column", value, count(*) AS count FROM (
@@ -867,16 +927,7 @@ def q_v5(spark, sf_dir):
 
 # --- persisted vector tables (V2, V3, V5, R11) ------------------------------------------------
 
-import uuid  # noqa: E402
-
 from .operators import textvec, vectorstore  # noqa: E402
-from .plans.session import ensure_checkpoint_dir  # noqa: E402
-
-
-def scratch(spark, kind: str) -> tuple[str, str]:
-    """A fresh table name, and a folder for it in the shared checkpoint folder."""
-    tag = f"{kind}_{uuid.uuid4().hex}"
-    return tag, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}"
 
 
 def embedding_table(spark, sf_dir, **sizes):
