@@ -44,10 +44,10 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
     """end - start in seconds (double) for TIMESTAMP_NTZ values, zone-free."""
     iv = c(end) - c(start)
     return (
-        F.extract(F.lit("DAY"), iv).cast("double") * 86400.0
-        + F.extract(F.lit("HOUR"), iv).cast("double") * 3600.0
-        + F.extract(F.lit("MINUTE"), iv).cast("double") * 60.0
-        + F.extract(F.lit("SECOND"), iv).cast("double")
+        F.date_part(F.lit("DAY"), iv).cast("double") * 86400.0
+        + F.date_part(F.lit("HOUR"), iv).cast("double") * 3600.0
+        + F.date_part(F.lit("MINUTE"), iv).cast("double") * 60.0
+        + F.date_part(F.lit("SECOND"), iv).cast("double")
     )
 
 
