@@ -96,6 +96,18 @@ def test_sql_guard(spark):
     with pytest.raises(ValueError):
         check_select("SELECT (SELECT max(a) FROM csv.`/tmp/x.csv`) AS m")
     assert check_select("WITH a AS (SELECT replace('a', 'a', 'b') AS x) SELECT x FROM a")
+    for call in ("reflect", "JAVA_METHOD", "try_reflect", "`reflect`"):
+        for sql in ("SELECT {}('java.lang.System', 'getProperty', 'user.home') AS x",
+                    "SELECT 1 WHERE upper({}('java.lang.System', 'getProperty', 'user.home')) > 'a'",
+                    "WITH a AS (SELECT {}('java.lang.System', 'lineSeparator') AS x) SELECT x FROM a",
+                    "SELECT (SELECT max({}('java.lang.System', 'lineSeparator')) FROM range(2)) AS m",
+                    "SELECT id FROM range(3) WHERE id IN (SELECT length({}('java.lang.System', 'lineSeparator')))",
+                    "SELECT id FROM range(3) ORDER BY {}('java.lang.System', 'lineSeparator')",
+                    "SELECT sum(id) OVER (ORDER BY {}('java.lang.System', 'lineSeparator')) FROM range(3)",
+                    "SELECT * FROM range(3) r, LATERAL (SELECT {}('java.lang.System', 'lineSeparator')) l"):
+            with pytest.raises(ValueError, match="JVM"):
+                check_select(sql.format(call))
+    assert check_select("SELECT 'reflect(x)' AS reflect")
     assert run_select(spark, "SELECT id FROM range(10000)").count() == 10000
     assert run_select(spark, "SELECT id FROM range(10000)", limit=7000).count() == 7000
     assert run_select(spark, "SELECT id FROM range(100) LIMIT 50", limit=70).count() == 50

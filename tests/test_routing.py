@@ -95,3 +95,19 @@ def test_artifacts_and_performance(spark, trained, tmp_path_factory):
     root = [p for p in os.listdir(str(tmp_path_factory.getbasetemp())) if p.startswith("model")][0]
     perf = routing.load_performance(spark, os.path.join(str(tmp_path_factory.getbasetemp()), root)).first()
     assert perf["class_names"] == ["Billing", "Hardware", "Network"] and 0.0 <= perf["accuracy"] <= 1.0
+
+
+def test_certificate_tells_an_optimum(spark, fixture_df):
+    """The gradient vanishes at the fitted coefficients, and not at those of a fit that was stopped early."""
+    done = routing.certificate(routing.fit_routing(fixture_df), fixture_df).collect()
+    assert {r["team"] for r in done} == set(TEXTS) and all(r["max_gradient"] < 1e-4 for r in done)
+    early = routing.certificate(routing.fit_routing(fixture_df, max_iter=1), fixture_df).collect()
+    assert max(r["max_gradient"] for r in early) > 1e-3
+
+
+def test_split_is_one_pass(spark, fixture_df):
+    out = routing.stratified_split(fixture_df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Window" not in plan
+    assert out.where("is_test").count() == 6
+    assert routing.stratified_split(fixture_df.limit(0)).count() == 0

@@ -61,25 +61,27 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42,
 
     Skew-safe: rows are bucketed by the first hex digits of the hash; per
     (class, bucket) counts locate each class's boundary bucket, and only that
-    bucket is ranked with a window, so no task holds a whole class.
+    bucket is ranked with a window, so no task holds a whole class.  The hash and id
+    at the cut, one row per class, then decide every row in one pass.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    t = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, SPLIT_BUCKET_HEX))
-    counts = t.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    cw = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.partitionBy(label_col)
+    narrow = df.select(F.col(label_col).alias("_label"), F.col(id_col).cast("string").alias("_id"), h.alias("_h")).withColumn(
+        "_b", F.substring("_h", 1, SPLIT_BUCKET_HEX))
+    counts = narrow.groupBy("_label", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    cw = Window.partitionBy("_label").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = (counts.withColumn("_cum", F.sum("_n").over(cw))
-           .withColumn("_k", F.ceil(F.sum("_n").over(tot) * F.lit(float(test_fraction))).cast("bigint"))
+           .withColumn("_k", F.ceil(F.sum("_n").over(Window.partitionBy("_label")) * F.lit(float(test_fraction))).cast("bigint"))
            .withColumn("_before", F.col("_cum") - F.col("_n")))
-    boundary = cum.filter((F.col("_before") < F.col("_k")) & (F.col("_cum") >= F.col("_k"))).select(
-        label_col, F.col("_b").alias("_bb"), (F.col("_k") - F.col("_before")).alias("_need"))
-    lab = t.join(sized_broadcast(boundary, MAX_TEAMS_BROADCAST), label_col, "left")
-    inner = lab.filter(F.col("_b") == F.col("_bb"))
-    rw = Window.partitionBy(label_col).orderBy("_h", id_col)
-    inner = inner.withColumn("_is_test", F.row_number().over(rw) <= F.col("_need"))
-    outer = lab.filter(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))).withColumn(
-        "_is_test", F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
-    return inner.unionByName(outer).withColumnRenamed("_is_test", "is_test").drop("_h", "_b", "_bb", "_need")
+    # One row per class: the bucket its cut lies in, then the cut itself.
+    boundary = reliable_checkpoint(cum.filter((F.col("_before") < F.col("_k")) & (F.col("_cum") >= F.col("_k"))).select(
+        "_label", F.col("_b"), (F.col("_k") - F.col("_before")).alias("_need")))
+    inside = narrow.join(sized_broadcast(boundary, MAX_TEAMS_BROADCAST), ["_label", "_b"])
+    rw = Window.partitionBy("_label").orderBy("_h", "_id")
+    cut = reliable_checkpoint(inside.withColumn("_r", F.row_number().over(rw)).filter(F.col("_r") == F.col("_need")).select(
+        F.col("_label").alias("_of"), F.struct("_h", "_id").alias("_cut")))
+    own = F.struct(h.alias("_h"), F.col(id_col).cast("string").alias("_id"))
+    return (df.join(sized_broadcast(cut, MAX_TEAMS_BROADCAST), F.col(label_col).eqNullSafe(F.col("_of")), "left")
+            .withColumn("is_test", F.coalesce(own <= F.col("_cut"), F.lit(False))).drop("_of", "_cut"))
 
 
 def tokenizer(input_col: str = "description", output_col: str = "tokens") -> RegexTokenizer:
@@ -180,6 +182,44 @@ def fit_routing(train: DataFrame, c: float = 1.0, max_iter: int = 1000, max_feat
     return RoutingModel(pm, list(idx_model.labels), list(cv.vocabulary), scaling)
 
 
+def certificate(model: RoutingModel, train: DataFrame, c: float = 1.0) -> DataFrame:
+    """(team, n_terms, max_gradient) of the penalised training loss at the model's coefficients.
+
+    The loss is strictly convex, so a gradient of zero proves the optimum.  The
+    features, probabilities and gradient are recomputed from the texts by joins
+    and aggregations, apart from the pipeline that was fitted: with x the unit TF-IDF
+    weights, d(loss)/d(b_kj) = sum w (p_k - [y = k]) x_j / sum w + b_kj / (c n),
+    and without the penalty for an intercept (a term of weight one in every text).
+    """
+    spark = train.sparkSession
+    lr = model.pipeline.stages[5]
+    coef, bias = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
+    teams = model.labels
+    # Model parameters: teams times the bounded vocabulary.
+    betas = spark.createDataFrame([(team, term, float(coef[i, j])) for i, team in enumerate(teams) for j, term in enumerate(model.vocabulary)]
+                                  + [(team, None, float(bias[i])) for i, team in enumerate(teams)], "team string, term string, beta double")
+    idf = spark.createDataFrame([(t, float(w)) for t, w in zip(model.vocabulary, model.idf, strict=True)], "term string, idf double")
+    docs = reliable_checkpoint(train.groupBy("description", "assigned_team").agg(F.count(F.lit(1)).cast("double").alias("w"))
+                               .withColumn("doc", F.monotonically_increasing_id()))
+    n = docs.agg(F.sum("w")).first()[0] or 0.0
+    words = F.regexp_extract_all(F.lower("description"), F.lit(TOKEN_PATTERN), F.lit(0))
+    tf = docs.select("doc", F.explode(words).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    raw = tf.join(F.broadcast(idf), "term").withColumn("x", F.col("tf") * F.col("idf"))
+    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    x = raw.join(norms, "doc").select("doc", "term", (F.col("x") / F.col("norm")).alias("x"))
+    x = reliable_checkpoint(x.unionByName(docs.select("doc", F.lit(None).cast("string").alias("term"), F.lit(1.0).alias("x"))))
+    b = betas.withColumnRenamed("term", "of")
+    z = x.join(F.broadcast(b), F.col("term").eqNullSafe(F.col("of"))).groupBy("doc", "team").agg(F.sum(F.col("x") * F.col("beta")).alias("z"))
+    by_doc = Window.partitionBy("doc")
+    p = z.withColumn("e", F.exp(F.col("z") - F.max("z").over(by_doc))).withColumn("p", F.col("e") / F.sum("e").over(by_doc))
+    residual = p.join(docs, "doc").select("doc", "team", (F.col("w") * (F.col("p") - (F.col("team") == F.col("assigned_team")).cast("int"))).alias("r"))
+    sums = x.join(residual, "doc").groupBy("team", "term").agg((F.sum(F.col("r") * F.col("x")) / F.lit(max(n, 1.0))).alias("g"))
+    penalty = F.when(F.col("of").isNull(), F.lit(0.0)).otherwise(F.col("beta") / F.lit(c * max(n, 1.0)))
+    sums = sums.withColumnsRenamed({"team": "at"})
+    full = b.join(sums, (F.col("team") == F.col("at")) & F.col("of").eqNullSafe(F.col("term")), "left")
+    return full.groupBy("team").agg(F.count("of").alias("n_terms"), F.max(F.abs(F.coalesce("g", F.lit(0.0)) + penalty)).alias("max_gradient"))
+
+
 def predict(model: RoutingModel, df: DataFrame, text_col: str = "description") -> DataFrame:
     """Best team, its probability, and all team scores for every row."""
     src = df.withColumn("description", F.coalesce(F.col(text_col).cast("string"), F.lit("")))

@@ -29,11 +29,42 @@ STARTER_QUERIES: dict[str, str] = {
 }
 
 
+# Functions that call any method of a class on the class path.
+_JVM_CALLS = {"reflect", "try_reflect", "java_method"}
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _parts(plan) -> tuple[set[str], set[str]]:
+    """Names of the nodes and of the functions of a parsed plan: children, CTEs and subqueries wherever they stand."""
+    names, functions, plans, exprs = set(), set(), [plan], []
+    while plans or exprs:
+        if plans:
+            node = plans.pop()
+            names.add(node.nodeName())
+            plans += _items(node.children())
+            if node.nodeName() == "UnresolvedWith":
+                plans += [pair._2() for pair in _items(node.cteRelations())]
+            exprs += _items(node.expressions())
+            continue
+        e = exprs.pop()
+        exprs += _items(e.children())
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            functions.add(e.nameParts().last().lower())
+        elif kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+            plans.append(e.plan())
+    return names, functions
+
+
 def check_select(sql: str, spark: SparkSession | None = None) -> str:
     """The trimmed text if it is one read-only query over views, else an error.
 
     The parsed plan decides: commands and writes are refused wherever they stand
-    (``replace()`` as a function is not one), and so are files read by path.
+    (``replace()`` as a function is not one), and so are files read by path and
+    functions that call methods of the JVM.
     """
     clean = (sql or "").strip().rstrip(";").strip()
     if not clean:
@@ -42,12 +73,9 @@ def check_select(sql: str, spark: SparkSession | None = None) -> str:
         raise ValueError("Only SELECT queries are allowed.")
     spark = spark or SparkSession.getActiveSession()
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(clean)
-    names, todo = set(), [plan]
-    while todo:
-        node = todo.pop()
-        names.add(node.nodeName())
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
+    names, functions = _parts(plan)
+    if found := sorted(functions & _JVM_CALLS):
+        raise ValueError(f"Functions that run code of the JVM are not allowed: {', '.join(found)}.")
     if any(n.startswith(("Insert", "Create", "Delete", "Update", "Merge", "Drop", "Replace", "Set")) or n.endswith("Command")
            for n in names):
         raise ValueError("Only SELECT queries are allowed.")

@@ -19,11 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, oracle: str | None = None):
+def register(name: str, oracle: str | None = None, layers: bool = True):
     def deco(fn):
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = O.with_layers(oracle)
+            ORACLES[name] = O.with_layers(oracle) if layers else oracle
         return fn
     return deco
 
@@ -545,6 +545,36 @@ def q_auto_id(spark, sf_dir):
         assigned_team_column="", ticket_id_column="")
 
 
+@register("p9_index", """SELECT count(*) AS n, 0 AS least, count(*) - 1 AS most, count(*) AS different FROM tickets""")
+def q_auto_id_range(spark, sf_dir):
+    """The numbers of the automatic ids: each from 0 on, once."""
+    nr = F.substring_index("ticket_id", "-", -1).cast("long")
+    return q_auto_id(spark, sf_dir).agg(F.count(nr).alias("n"), F.min(nr).cast("int").alias("least"), F.max(nr).alias("most"),
+                                        F.count_distinct(nr).alias("different"))
+
+
+@register("s8", """SELECT name, row_count FROM (SELECT replace(status_line, ' ', '-') || '-tickets' AS name, count(*) AS row_count FROM tickets
+  GROUP BY status_line UNION ALL SELECT '007', count(*) FROM tickets WHERE severity = 'Critical') s ORDER BY 1""")
+def q_snapshots(spark, sf_dir):
+    """Three named snapshots of the tickets, listed."""
+    return storage.list_snapshots(spark, ticket_snapshots(spark, sf_dir))
+
+
+def ticket_snapshots(spark, sf_dir):
+    t = tickets_internal(spark, sf_dir)
+    _, root = scratch(spark, "snapshots")
+    for state in ("Open", "Closed"):
+        storage.write_snapshot(t.where(F.col("status_line") == state), root, f" {state} tickets! ")
+    storage.write_snapshot(t.where("severity = 'Critical'"), root, "007")
+    return root
+
+
+@register("s9", """SELECT ticket_id, status, severity, creation_datetime, time_to_close_seconds FROM tickets WHERE severity = 'Critical'""")
+def q_load_snapshot(spark, sf_dir):
+    got = storage.load_snapshot(spark, ticket_snapshots(spark, sf_dir), "007", view=None)
+    return got.select("ticket_id", "status", "severity", "creation_datetime", "time_to_close_seconds")
+
+
 @register("p17_p18", """SELECT ticket_id, ticket_status,
   CASE WHEN ticket_status IN ('Resolved', 'Closed') THEN 'Closed' ELSE 'Open' END AS status_line,
   CASE WHEN closed_at IS NULL THEN NULL ELSE epoch(closed_at - created_at) END AS resolution_seconds
@@ -842,6 +872,64 @@ def q_suite(spark, sf_dir):
     return ex.run_suite(models, columns={"raw": ex.RAW_ONLY})
 
 
+# Tables that do break rules, so that failures other than zero are compared.
+_BROKEN = [
+    ex.Check("lineitem", "l_orderkey", "unique"), ex.Check("lineitem", "l_returnflag", "accepted_values", ("A", "N")),
+    ex.Check("lineitem", "l_quantity", "min_value", minimum=25), ex.Check("lineitem", "l_shipdate", "not_null"),
+    ex.Check("documents", "text", "unique"), ex.Check("documents", "lang", "accepted_values", ("en", "de")),
+    ex.Check("documents", "n_chars", "min_value", minimum=400), ex.Check("labelled", "toxic", "not_null"),
+]
+
+
+@register("x_failures", """SELECT model, test, "column", failures, failures = 0 AS passed FROM (
+  SELECT 0 AS seq, 'lineitem' AS model, 'unique' AS test, 'l_orderkey' AS "column",
+    (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) u) AS failures
+  UNION ALL SELECT 1, 'lineitem', 'accepted_values', 'l_returnflag', count(*) FROM lineitem WHERE l_returnflag = 'R'
+  UNION ALL SELECT 2, 'lineitem', 'min_value', 'l_quantity', count(*) FROM lineitem WHERE l_quantity < 25
+  UNION ALL SELECT 3, 'lineitem', 'not_null', 'l_shipdate', count(*) FROM lineitem WHERE l_shipdate IS NULL
+  UNION ALL SELECT 4, 'documents', 'unique', 'text', (SELECT count(*) FROM (SELECT text FROM documents GROUP BY 1 HAVING count(*) > 1) u)
+  UNION ALL SELECT 5, 'documents', 'accepted_values', 'lang', count(*) FROM documents WHERE lang IN ('fr', 'es')
+  UNION ALL SELECT 6, 'documents', 'min_value', 'n_chars', count(*) FROM documents WHERE n_chars < 400
+  UNION ALL SELECT 7, 'labelled', 'not_null', 'toxic', count(*) FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic IS NULL
+) s ORDER BY seq""")
+def q_failures(spark, sf_dir):
+    docs, lab = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    models = {"lineitem": read_table(spark, sf_dir, "lineitem"), "documents": docs,
+              "labelled": docs.select("doc_id").join(lab, "doc_id", "left").select("doc_id", "toxic")}
+    return ex.run_suite(models, _BROKEN)
+
+
+# Staged tickets with every 97th resolution negative and the close dates of 1996 lost.
+_BROKEN_STG = """(SELECT * REPLACE (CASE WHEN first_queue_seconds % 97 = 0 THEN -resolution_seconds ELSE resolution_seconds END AS resolution_seconds,
+  CASE WHEN year(closed_date) = 1996 THEN NULL ELSE closed_date END AS closed_date) FROM stg)"""
+
+
+def broken_staging(spark, sf_dir):
+    lost = F.when(F.year("closed_date") == 1996, F.lit(None)).otherwise(F.col("closed_date"))
+    turned = F.when(F.col("first_queue_seconds") % 97 == 0, -F.col("resolution_seconds")).otherwise(F.col("resolution_seconds"))
+    return staged(spark, sf_dir).withColumns({"closed_date": lost, "resolution_seconds": turned})
+
+
+@register("x_r_failures", f"""SELECT 'staging' AS model, test, CAST(NULL AS VARCHAR) AS "column", failures, failures = 0 AS passed FROM (
+  SELECT 'assert_no_negative_resolution' AS test, count(*) AS failures FROM {_BROKEN_STG} b
+   WHERE ticket_status = 'Closed' AND resolution_seconds IS NOT NULL AND resolution_seconds < 0
+  UNION ALL SELECT 'assert_closed_has_closed_date', count(*) FROM {_BROKEN_STG} b WHERE ticket_status = 'Closed' AND closed_date IS NULL) s""")
+def q_singular_failures(spark, sf_dir):
+    return ex.run_singular(broken_staging(spark, sf_dir))
+
+
+@register("x_s_failures", f"""SELECT ticket_id, created_at, closed_at, resolution_seconds FROM {_BROKEN_STG} b
+WHERE ticket_status = 'Closed' AND resolution_seconds IS NOT NULL AND resolution_seconds < 0""")
+def q_negative_rows(spark, sf_dir):
+    return ex.negative_resolution(broken_staging(spark, sf_dir))
+
+
+@register("x_c_failures", f"""SELECT ticket_id, ticket_status, closed_at, closed_date FROM {_BROKEN_STG} b
+WHERE ticket_status = 'Closed' AND closed_date IS NULL""")
+def q_undated_rows(spark, sf_dir):
+    return ex.closed_without_date(broken_staging(spark, sf_dir))
+
+
 @register("f8_x_s", """SELECT ticket_id, created_at, closed_at, resolution_seconds FROM stg
 WHERE ticket_status = 'Closed' AND resolution_seconds IS NOT NULL AND resolution_seconds < 0""")
 def q_negative(spark, sf_dir):
@@ -1053,7 +1141,7 @@ def q_r3(spark, sf_dir):
 @register("r4", f""", {_TOK}, n AS (SELECT count(*) AS n FROM tickets)
 SELECT term, count(DISTINCT ticket_id) AS doc_freq,
   {_or2('ln((1 + any_value(n)) / (1 + count(DISTINCT ticket_id))) + 1', 6)} AS idf
-FROM d, n GROUP BY term""")
+FROM d, n GROUP BY term ORDER BY count(*) DESC, term LIMIT {routing.MAX_FEATURES}""")
 def q_r4(spark, sf_dir):
     data = routing_data(spark, sf_dir)
     _, cv, scaling = routing.fit_tfidf(data)
@@ -1069,6 +1157,34 @@ def _trained(spark, sf_dir, final=False):
     return routing.train_routing(spark, tickets_internal(spark, sf_dir), fit_final=final, trained_at="2001-08-02T12:00:00")
 
 
+@register("r5", f""", {_TOK}, t AS (SELECT term FROM d GROUP BY term ORDER BY count(*) DESC, term LIMIT {routing.MAX_FEATURES})
+SELECT assigned_team AS team, (SELECT count(*) FROM t) AS n_terms, true AS optimal FROM tickets GROUP BY 1""")
+def q_r5(spark, sf_dir):
+    """The fitted coefficients are the optimum: no partial derivative of the loss is over 1e-4."""
+    data = routing_data(spark, sf_dir)
+    got = routing.certificate(routing.fit_routing(data), data)
+    return got.select("team", "n_terms", (F.col("max_gradient") < 1e-4).alias("optimal"))
+
+
+@register("r7_support", """SELECT assigned_team AS team, CAST(ceil(0.2 * count(*)) AS BIGINT) AS support
+FROM (SELECT coalesce(assigned_team, 'Unassigned') AS assigned_team FROM tickets) t GROUP BY 1""")
+def q_r7_support(spark, sf_dir):
+    """Held-out tickets per team, as the confusion matrix has them."""
+    return _trained(spark, sf_dir).confusion.groupBy(F.col("actual").alias("team")).agg(F.sum("n").alias("support"))
+
+
+@register("r8_scores", """SELECT ticket_id, (SELECT string_agg(DISTINCT assigned_team, ',' ORDER BY assigned_team) FROM tickets) AS teams,
+  1.0 AS total, true AS best_is_predicted FROM tickets""")
+def q_r8_scores(spark, sf_dir):
+    """Every prediction scores each team once, sums to one, and names the team of the largest score."""
+    data = routing_data(spark, sf_dir)
+    got = routing.predict(routing.fit_routing(data), data)
+    total = F.aggregate(F.map_values("team_scores"), F.lit(0.0), lambda a, x: a + x)
+    best = (F.col("team_scores")[F.col("predicted_team")] == F.col("confidence")) & (F.col("confidence") == F.array_max(F.map_values("team_scores")))
+    return got.select("ticket_id", F.array_join(F.array_sort(F.map_keys("team_scores")), ",").alias("teams"),
+                      search.round_half_up(total, 6).alias("total"), best.alias("best_is_predicted"))
+
+
 @register("r6_k7")
 def q_r6(spark, sf_dir):
     return _trained(spark, sf_dir).importance
@@ -1113,7 +1229,9 @@ def q_r11(spark, sf_dir):
 
 # --- reply drafts (G1-G5) ---------------------------------------------------------------------
 
-from .operators import drafts  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
+
+from .operators import drafts, textsearch  # noqa: E402
 
 _RX = "'\\b\\w\\w+\\b'"
 _G_CTES = f""", cd AS (SELECT ticket_id, coalesce(description, '') AS description,
@@ -1187,6 +1305,31 @@ def q_g3(spark, sf_dir):
                                                      drafts.format_context(F.col("context"))).alias("prompt"))
 
 
+# Texts that are all different: the benchmark's items as queries over the documents.
+_GD = f"""WITH docs AS (SELECT text, min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text),
+dt AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term
+    FROM docs) x GROUP BY 1, 2, 3),
+di AS (SELECT term, ln((1.0 + (SELECT sum(n) FROM docs)) / (1.0 + sum(n))) + 1 AS idf FROM dt GROUP BY term),
+dn AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS nrm FROM dt JOIN di USING (term) GROUP BY 1),
+qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term
+    FROM benchmark) x GROUP BY 1, 2),
+qn AS (SELECT item_id, sqrt(sum(tf * idf * tf * idf)) AS nrm FROM qt JOIN di USING (term) GROUP BY 1),
+s AS (SELECT item_id, doc_id, round(sum((qt.tf * idf / qn.nrm) * (dt.tf * idf / dn.nrm)), 10) AS score
+    FROM qt JOIN di USING (term) JOIN dt USING (term) JOIN qn USING (item_id) JOIN dn USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
+
+
+@register("g1_documents", _GD + f"SELECT item_id, rank, doc_id, {_or2('score', 4)} AS score FROM r WHERE rank <= 3", layers=False)
+def q_g1_documents(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    texts = docs.groupBy("text").agg(F.min("doc_id").alias("first_id")).select(F.md5("text").alias("key"), "text", "first_id")
+    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text")
+    found = textsearch.top_k_texts(items, texts, textsearch.smooth_idf(docs, "text"), 3)
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    return (found.join(texts, "key").select(F.col("query_key").alias("item_id"), F.col("first_id").alias("doc_id"), "score")
+            .withColumn("rank", F.row_number().over(w).cast("long")).select("item_id", "rank", "doc_id", search.round_half_up("score", 4).alias("score")))
+
+
 _DRAFT_SQL = f"""'Thanks for reporting this issue.' || chr(10) || chr(10) || 'Summary: ' ||
   CASE WHEN length(s) > 220 THEN rtrim(substr(s, 1, 217)) || '...' ELSE s END ||
   chr(10) || 'Recommended owner: ' || CASE WHEN trim(team1) <> '' THEN trim(team1) ELSE 'Support Team' END ||
