@@ -88,3 +88,40 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (201, 200)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(2, 41)} | {100 + k: 100 for k in range(1, 30)} | {201: 200}
+
+
+def test_wide_sketch_keeps_pairs_of_the_similarity(spark):
+    """Pairs at 0.8 and more pass; most at 0.7 do not."""
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for n in range(60):
+        base = words(rng, 400)
+        other = list(base)
+        for at in rng.sample(range(0, 400, 6), (2, 7, 16)[n % 3]):
+            other[at] = "other%d" % rng.randrange(10 ** 6)
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(other))]
+        pairs.append((2 * n, 2 * n + 1))
+    docs = documents(spark, rows)
+    wide = {r.rep: r.wide for r in N.wide_sketches(docs, spark.range(200), False).collect()}
+    texts = dict(rows)
+    true = N.jaccard_of([texts[a] for a, _ in pairs], [texts[b] for _, b in pairs])
+    df = spark.createDataFrame([(a, wide[a], wide[b]) for a, b in pairs], "a long, x array<long>, y array<long>")
+    passed = {r.a for r in df.where(N.wide_enough("x", "y", 0.8)).collect()}
+    assert all(a in passed for (a, _), j in zip(pairs, true) if j >= 0.8)
+    low = [a for (a, _), j in zip(pairs, true) if j < 0.71]
+    assert low and sum(a in passed for a in low) <= len(low) // 4
+
+
+def test_dense_group_with_outliers(spark):
+    """A large group around one text, with members apart from each other by more than the similarity."""
+    rng = random.Random(21)
+    base = words(rng, 150)
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(rng.randint(0, 14)):
+            t[rng.randrange(150)] = "changed%d" % rng.randrange(10 ** 6)
+        rows.append((i, " ".join(t)))
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(documents(spark, rows)).collect()}
+    want = classes_by_definition(rows)
+    assert got == want and len(set(want.values())) > 5
