@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -99,3 +100,24 @@ def test_placeholders_names_and_values_of_words_stay_allowed():
 def test_a_key_beside_a_base_span_is_found():
     text = "deadbeef0123456789ab/x9Qv2LmZ7tRk4WbN8sYp1JdHx9Qv"
     assert [text[a:b] for _, a, b in S.entropy_spans(text, S.base_spans(text))][0].endswith("x9Qv2LmZ7tRk4WbN8sYp1JdHx9Qv")
+
+
+def test_long_runs_take_linear_time():
+    import time
+    rng = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    for text in ("0123456789abcdef-" * 60_000, " ".join(f"token={word(30)} {word(25)}" for _ in range(15_000)),
+                 "-".join(word(24) + "aaaaaaaaaaaaaaaaaaaaaaaaa" for _ in range(20_000))):
+        t = time.time()
+        S.entropy_spans(text, S.base_spans(text))
+        assert time.time() - t < 20
+
+
+def test_windows_clear_of_base_spans_by_definition():
+    rng = random.Random(6)
+    for _ in range(200):
+        spans = [(rng.choice(S.KINDS[:3]), a, a + rng.randint(1, 30)) for a in (rng.randrange(300) for _ in range(rng.randint(0, 8)))]
+        starts = sorted(rng.sample(range(300), 60))
+        want = [a for a in starts if not any(x < a + S.WINDOW and a < y for _, x, y in spans)]
+        assert list(S.clear_of(iter(starts), S.covered(spans), 0)) == want

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,29 +146,53 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def covered(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The parts of the text that spans of any kind cover, in order, none touching another."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def clear_of(starts, parts: list[tuple[int, int]], at: int):
+    """Of window starts in ascending order those whose window meets no part from the ``at``-th on."""
+    for a in starts:
+        while at < len(parts) and parts[at][1] <= a:
+            at += 1
+        if at == len(parts) or parts[at][0] >= a + WINDOW:
+            yield a
+
+
 def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of random-looking strings that touch no base span."""
-    out = []
+    out, parts, at = [], covered(base), 0
     for m in CANDIDATE.finditer(text):
         s = m[0]
+        while at < len(parts) and parts[at][1] <= m.start():
+            at += 1
         if allowed(s):
             continue
-        near = [(x - m.start(), y - m.start()) for _, x, y in base if x < m.end() and m.start() < y]
+        ends = [i for i, ch in enumerate(s) if ch in "=/"]
+        known: dict[tuple[int, int], bool] = {}  # values that are judged
         for first, last in undocumented(s):
-            starts = (first + a for a in class_windows(s[first:last]))
-            if near:
-                starts = (a for a in starts if not any(x < a + WINDOW and a < y for x, y in near))
-            for a, b in join_windows(starts, WINDOW):
-                if not allowed(s[a:b]) and not allowed(value_around(s, a, b)):
+            starts = (m.start() + first + a for a in class_windows(s[first:last]))
+            for a, b in join_windows(clear_of(starts, parts, at), WINDOW):
+                a, b = a - m.start(), b - m.start()
+                value = value_around(s, a, b, ends)
+                if value not in known:
+                    known[value] = allowed(s[value[0]:value[1]])
+                if not known[value] and not allowed(s[a:b]):
                     out.append(("entropy", m.start() + a, m.start() + b))
     return out
 
 
-def value_around(s: str, a: int, b: int) -> str:
-    """``s[a:b]`` up to the next ``=`` or ``/`` on both sides."""
-    a = max(s.rfind("=", 0, a), s.rfind("/", 0, a)) + 1
-    ends = [i for i in (s.find("=", b), s.find("/", b)) if i >= 0]
-    return s[a:min(ends, default=len(s))]
+def value_around(s: str, a: int, b: int, ends: list[int]) -> tuple[int, int]:
+    """``s[a:b]`` up to the next of ``ends`` (the places of ``=`` and ``/``) on both sides."""
+    low, high = bisect_left(ends, a), bisect_left(ends, b)
+    return ends[low - 1] + 1 if low else 0, ends[high] if high < len(ends) else len(s)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
