@@ -89,3 +89,39 @@ def test_containers_that_hold_the_article_stay():
     assert H.main_text(page(article + comments.format("comments") + '<div class="related-posts"><p>More</p></div>'), []) == text
     assert H.main_text(page(f'<div class="post has-comments">{article}</div>' + comments.format("comment-list")), []) == text
     assert H.main_text("<p>for <math><mi>x</mi><mo>&lt;</mo><mn>3</mn></math> it holds</p>", []) == "for x<3 it holds"
+
+
+def test_reader_comments_go_whatever_their_length():
+    article = "<p>A short article.</p>"
+    long = "<p>" + "what readers say about it, at length. " * 40 + "</p>"
+    for name in ("reader-comments", "user-comments", "post-comments", "article-comments", "comments", "comment-list", "entry_comments"):
+        for kind in ("class", "id"):
+            for body in (f'{article}<div {kind}="{name}">{long}</div>', f'<article>{article}<section {kind}="x {name}">{long}</section></article>',
+                         f'{article}<ol {kind}="{name}"><li>{long}<ol><li>{long}</li></ol></li><li>{long}</li></ol>'):
+                assert H.main_text(page(body), []) == "A short article.", (name, body[:60])
+                assert H.main_text(page(body), ["body>div.p#.post"]) == "A short article."
+    # Names that speak about comments are not comments, and lists of the article stay.
+    for name in ("has-comments", "no-comments", "comments-closed", "with_comments"):
+        assert H.main_text(page(f'<div class="{name}">{long}</div>'), []).startswith("what readers")
+    assert H.main_text(page(f"<ul class=points><li>one</li><li>two</li></ul>{long}"), []).startswith("one\n\ntwo\n\nwhat")
+
+
+def test_odd_pages_of_a_megabyte_take_seconds():
+    import time
+    import tracemalloc
+    n = 1_000_000
+    pages_ = ["<a " * (n // 3), "<div class=abc>" * 8000 + "deep" + "</div>" * 8000, "<div class=abc>x" * 20_000, "</div>" * (n // 6),
+              "<script " * (n // 8), "<!-- " * (n // 5), "<p title=\"" * (n // 10), "x > y " + "<b " * (n // 3), "<" * n, "<ol class=comments><li>x" * 20_000]
+    for source in pages_:
+        tracemalloc.start()
+        t = time.time()
+        H.main_text(source, ["body>div.abc"])
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.time() - t < 20 and most < 200e6, (source[:20], time.time() - t, most)
+
+
+def test_text_behind_the_last_tag():
+    assert H.main_text("<p>a</p> b <c d", []) == "a\n\nb <c d"
+    assert H.main_text("<p>a</p> b <!-- c", []) == "a\n\nb"
+    assert H.main_text("a < b <!doctype", []) == "a < b"

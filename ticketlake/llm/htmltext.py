@@ -14,7 +14,9 @@ follows its own vote.  Under its host's path a page still climbs to text of its
 own that lies directly in the parent or in the same article.
 
 A form, or a container that a class word marks as noise, is left out only if it
-does not hold most of the page's unlinked text (``kinds`` below).
+does not hold most of the page's unlinked text (``kinds`` below).  Reader comments
+are left out whatever their length: a container or list one of whose names has a
+comment word among its words and none that speaks about comments (has-, no-, -closed).
 
 Edge rows: null and empty pages give an empty text; a null url is a host of its
 own; repeated rows give a row each; an empty table gives none; unclosed tags,
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import ship_package, sized_broadcast
+from .blocks import cut
 
 # Share of a page's score that the container must hold from which it climbs.
 HOLDS = 0.8
@@ -54,6 +57,8 @@ TOKEN = re.compile(
     rf"<!--.*?(?:--!?>|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/><]*)([^>\"'<]*+(?:\"[^\"<]*\"[^>\"'<]*+|'[^'<]*'[^>\"'<]*+)*+)>"
     r"|<(/?)([a-zA-Z][^\s/><]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+# Behind the last ``>`` of a page no tag ends: only what runs to the end of the page is left to find.
+TAIL = re.compile(r"<!--.*|<[!?/].*", re.DOTALL)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _COMMENTS = "comments?|commentlist|replies|respond|disqus"
 _NOISE = ("ads?|adverts?|advertisement|banner|sidebar|menu|navbar|nav|navigation|breadcrumbs?|footer|cookies?|"
@@ -64,31 +69,71 @@ NOISE = re.compile(rf"(?:^|[\s_-])(?:{_NOISE})(?:$|[\s_-])")
 HEADER = re.compile(rf"(?:^|[\s_-])(?:{_HEADER})(?:$|[\s_-])")
 # A name that starts with such a word says what the container is, one that holds it later may say what stands beside it.
 NAMED = re.compile(rf"(?:^|\s)(?:{_NOISE}|{_HEADER})(?:$|[\s_-])")
-COMMENTS = re.compile(rf"(?:^|\s)(?:{_COMMENTS})(?:$|[\s_-])")
+COMMENT_WORD = re.compile(_COMMENTS)
+# Words of a name by which a container says something about its comments, instead of being them.
+ABOUT = {"has", "with", "no", "without", "hide", "show", "open", "opened", "closed", "enabled", "disabled", "allowed", "on", "off", "count"}
+LISTS = {"ul", "ol", "dl"}
 LAYOUT = re.compile(r"(?:^|[\s_-])(?:content|post|article|entry|main|story|page|body|text)(?:$|[\s_-])")
 # Kinds of containers: kept; left out by tag; as comments; by a name that says so; by a form tag or a word in a name.
 PLAIN, TAGGED, COMMENT, NOISY, MAYBE = range(5)
 SPACE = re.compile(r"\s+")
 
 
+def names_of(attributes: str) -> tuple[list[str], list[str]]:
+    """The values of class, id and role, and the class names with digits generalised."""
+    classes, names = [], []
+    if "=" in attributes:
+        for k, a, b, c in NAMES.findall(attributes):
+            value = (a or b or c).lower()
+            names.append(value)
+            if k.lower() == "class":
+                classes = sorted({re.sub(r"\d+", "#", x).replace(">", "#") for x in value.split()})
+    return names, classes
+
+
+def is_comments(names: list[str]) -> bool:
+    """Whether a name is that of reader comments: one of its words is a comment word and none says otherwise."""
+    for name in " ".join(names).split():
+        words = re.split(r"[_-]+", name)
+        if any(COMMENT_WORD.fullmatch(w) for w in words) and not ABOUT.intersection(words):
+            return True
+    return False
+
+
+def tags(source: str):
+    """The tokens of a page in order; each ``<`` is looked at once."""
+    last, at = source.rfind(">"), source.find("<")
+    while at >= 0:
+        m = (TOKEN if at <= last else TAIL).match(source, at)
+        if m:
+            yield m
+        at = source.find("<", m.end() if m else at + 1)
+
+
 class Page:
-    """The blocks of a page: (container path, text, linked characters, kept, prose).
+    """The blocks of a page: (node, text, linked characters, kept, prose).
 
     ``kinds`` has a kind per container and ``above`` the container around it.
+    Containers of one path are one node: ``steps`` has the node's last step and
+    ``parents`` the node above, 0 being the page itself.
     """
 
     def __init__(self, source: str):
-        self.held: list[tuple[str, str, int, int, bool]] = []  # path, text, linked, container, prose
+        self.held: list[tuple[int, str, int, int, bool]] = []  # node, text, linked, container, prose
         self.kinds, self.above = [PLAIN], [0]
-        self.stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, path, container, in article
+        self.steps, self.parents, self.children = [""], [0], {}
+        self.stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, node, container, in article
+        self.places: dict[str, list[int]] = {}  # tag -> places in the stack
         self.text: list[str] = []
-        self.linked = self.links = 0
+        self.linked = self.links = self.lists = 0
         self.tag = ""
         at = 0
-        for m in TOKEN.finditer(source):
+        for m in tags(source):
             if m.start() > at:
                 self.add(source[at:m.start()])
             at = m.end()
+            if m.re is TAIL:
+                continue
             if name := (m[3] or m[6]):
                 name, closing = name.lower(), m[2] or m[5]
                 if name == "a":
@@ -101,14 +146,17 @@ class Page:
                         self.close(name)
                     else:
                         self.tag = name
-                        if name in CONTAINERS:
-                            self.open(name, m[4] or m[7] or "")
+                        attributes = m[4] or m[7] or ""
+                        # A list is a container where it is one of comments, and within such a list.
+                        if name in CONTAINERS or name in LISTS and (self.lists or is_comments(names_of(attributes)[0])):
+                            self.open(name, attributes)
             elif m[1] is None:
                 continue
         if at < len(source):
             self.add(source[at:])
         self.flush()
         self.blocks = self.judged()
+        self.measure()
 
     def add(self, raw: str) -> None:
         t = entities.unescape(raw) if "&" in raw else raw
@@ -120,38 +168,43 @@ class Page:
         if self.text:
             t = SPACE.sub(" ", "".join(self.text)).strip()
             if t:
-                _, path, container, _ = self.stack[-1]
-                self.held.append((path, t, self.linked, container, self.tag not in CONTAINERS and self.tag != "li"))
+                _, node, container, _ = self.stack[-1]
+                self.held.append((node, t, self.linked, container, self.tag not in CONTAINERS and self.tag != "li"))
             self.text = []
         self.linked = 0
 
+    def node(self, parent: int, step: str) -> int:
+        found = self.children.get((parent, step))
+        if found is None:
+            found = self.children[parent, step] = len(self.steps)
+            self.steps.append(step)
+            self.parents.append(parent)
+        return found
+
     def open(self, tag: str, attributes: str) -> None:
-        _, path, container, inside = self.stack[-1]
-        classes, names = [], []
-        if "=" in attributes:
-            for k, a, b, c in NAMES.findall(attributes):
-                value = (a or b or c).lower()
-                names.append(value)
-                if k.lower() == "class":
-                    classes = sorted({re.sub(r"\d+", "#", x) for x in value.split()})
-        step = ".".join([tag, *classes])
+        _, node, container, inside = self.stack[-1]
+        names, classes = names_of(attributes)
         kind = TAGGED if tag in SKIPPED or tag == "header" and not inside else MAYBE if tag == "form" else PLAIN
         if kind != TAGGED and tag not in KEPT_WHOLE and names:
             name = " ".join(names)
-            if NOISE.search(name) or not inside and HEADER.search(name):
-                layout = LAYOUT.search(name) or not NAMED.search(name)
-                kind = MAYBE if layout else COMMENT if COMMENTS.search(name) else NOISY
+            if is_comments(names):
+                kind = COMMENT
+            elif NOISE.search(name) or not inside and HEADER.search(name):
+                kind = MAYBE if LAYOUT.search(name) or not NAMED.search(name) else NOISY
         self.kinds.append(kind)
         self.above.append(container)
-        path = "" if tag in ("html", "head") else f"{path}>{step}" if path else step
-        self.stack.append((tag, path, len(self.kinds) - 1, inside or tag in ("article", "main")))
+        node = 0 if tag in ("html", "head") else self.node(node, ".".join([tag, *classes]))
+        self.lists += tag in LISTS
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, node, len(self.kinds) - 1, inside or tag in ("article", "main")))
 
     def close(self, tag: str) -> None:
         self.tag = ""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+        if self.places.get(tag):
+            for gone, *_ in reversed(self.stack[self.places[tag][-1]:]):
+                self.places[gone].pop()
+                self.lists -= gone in LISTS
+                self.stack.pop()
 
     def scores(self, without: set[int]) -> list[float]:
         """Unlinked text below every container, but what lies in one of ``without``."""
@@ -169,7 +222,7 @@ class Page:
             out[i] = out[self.above[i]] or i in without
         return out
 
-    def judged(self) -> list[tuple[str, str, int, bool, bool]]:
+    def judged(self) -> list[tuple[int, str, int, bool, bool]]:
         """The blocks, kept or not.
 
         Containers left out by a tag, as comments or by a name that says so are
@@ -194,42 +247,73 @@ class Page:
             left_out = [False] * len(self.kinds)
         return [(p, t, linked, not left_out[c], prose) for p, t, linked, c, prose in self.held]
 
-    def vote(self) -> str:
-        """The container path around all unlinked text, from the deepest that holds most of the page's score."""
-        score: dict[str, float] = {}
-        total = 0.0
-        for path, t, linked, kept, prose in self.blocks:
+    def measure(self) -> None:
+        """Per node: how many kept blocks with more text than links lie in it directly (``own``) and below it
+        (``total``), their score, whether it lies in an article, and the range of nodes below."""
+        n = len(self.steps)
+        self.own, self.total, self.score = [0] * n, [0] * n, [0.0] * n
+        for node, t, linked, kept, prose in self.blocks:
             if kept:
-                s = max(0, len(t) - 2 * linked) * (1.0 if prose else 0.5)
-                total += s
-                steps = path.split(">")
-                for i in range(1, len(steps) + 1):
-                    key = ">".join(steps[:i])
-                    score[key] = score.get(key, 0.0) + s
-        good = [k for k, s in score.items() if s >= HOLDS * total and total > 0]
-        return self.climbed(max(good, key=lambda k: (k.count(">"), k), default=""), siblings=True)
-
-    def climbed(self, path: str, siblings: bool) -> str:
-        """``path``, or the nearest container above it that leaves no unlinked text out.
+                self.own[node] += len(t) > 2 * linked
+                self.score[node] += max(0, len(t) - 2 * linked) * (1.0 if prose else 0.5)
+        self.total = list(self.own)
+        sizes = [1] * n
+        for i in range(n - 1, 0, -1):
+            above = self.parents[i]
+            self.total[above] += self.total[i]
+            self.score[above] += self.score[i]
+            sizes[above] += sizes[i]
+        # Preorder numbers: the nodes below one are a range.
+        self.first, self.depth, self.article = [0] * n, [0] * n, [False] * n
+        free = [1] * n
+        for i in range(1, n):
+            above = self.parents[i]
+            self.first[i] = self.first[above] + free[above]
+            free[above] += sizes[i]
+            self.depth[i] = self.depth[above] + 1
+            self.article[i] = self.article[above] or self.steps[i].split(".")[0] in ("article", "main")
+        self.sizes = sizes
+
+    def below(self, node: int, container: int) -> bool:
+        return 0 <= self.first[node] - self.first[container] < self.sizes[container]
+
+    def path(self, node: int) -> str:
+        steps = []
+        while node:
+            steps.append(self.steps[node])
+            node = self.parents[node]
+        return ">".join(reversed(steps))
+
+    def find(self, path: str) -> int | None:
+        """The node of a path, if the page has it."""
+        node = 0
+        for step in path.split(">") if path else ():
+            node = self.children.get((node, step))
+            if node is None:
+                return None
+        return node
+
+    def vote(self) -> int:
+        """The node around all unlinked text, from the deepest that holds most of the page's score."""
+        whole = self.score[0]
+        good = [i for i in range(1, len(self.steps)) if self.score[i] >= HOLDS * whole and whole > 0]
+        return self.climbed(max(good, key=lambda i: (self.depth[i], -i), default=0), siblings=True)
+
+    def climbed(self, node: int, siblings: bool) -> int:
+        """``node``, or the nearest one above it that leaves no unlinked text out.
 
         Text in other children of a container counts with ``siblings``, or
         within an article; text directly in it always counts.
         """
-        best = path
-        while path:
-            inner, path = path, path.rpartition(">")[0]
-            whole = siblings or any(step.split(".")[0] in ("article", "main") for step in path.split(">"))
-            if any(kept and len(t) > 2 * linked and (p == path or whole and below(p, path)) and not below(p, inner)
-                   for p, t, linked, kept, _ in self.blocks):
-                best = path
+        best = node
+        while node:
+            inner, node = node, self.parents[node]
+            if self.own[node] or (siblings or self.article[node]) and self.total[node] > self.total[inner]:
+                best = node
         return best
 
-    def under(self, path: str) -> list[str]:
-        return [t for p, t, _, kept, _ in self.blocks if kept and below(p, path)]
-
-
-def below(path: str, container: str) -> bool:
-    return not container or path == container or path.startswith(container + ">")
+    def under(self, node: int) -> list[str]:
+        return [t for at, t, _, kept, _ in self.blocks if kept and self.below(at, node)]
 
 
 def parse(source: str | None) -> Page:
@@ -240,8 +324,9 @@ def main_text(source: str | None, ranked: list[str]) -> str:
     """Text under the first of the ranked paths that the page has, else under its own vote."""
     page = parse(source)
     for path in ranked:
-        if page.under(path):
-            return "\n\n".join(page.under(page.climbed(path, siblings=False)))
+        node = page.find(path)
+        if node is not None and page.under(node):
+            return "\n\n".join(page.under(page.climbed(node, siblings=False)))
     return "\n\n".join(page.under(page.vote()))
 
 
@@ -257,7 +342,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def votes(batches):
         for batch in batches:
-            got = [parse(h.as_py()).vote() for h in batch.column("html")]
+            pages_read = (parse(h.as_py()) for h in batch.column("html"))
+            got = [page.path(page.vote()) for page in pages_read]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(got, pa.string())], ["host", "path"])
 
     counted = (held.select("host", "html").mapInArrow(votes, "host string, path string").where("path <> ''")
@@ -274,6 +360,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = held.join(sized_broadcast(ranked, HOSTS_BROADCAST_ROWS), "host", "left")
+    joined = held.join(sized_broadcast(cut(ranked), HOSTS_BROADCAST_ROWS), "host", "left")
     return joined.select("page_id", "url", "html", "ranked").mapInArrow(
         extract, "page_id long, url string, text string, n_chars long")
