@@ -64,3 +64,20 @@ def test_edge_rows_and_blocks(spark, edge_rows, edge_docs, no_docs):
     assert D.find_contamination(no_docs, bench).collect() == []
     assert D.find_contamination(docs, bench.limit(0)).collect() == []
     assert D.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_blocks_of_items_give_what_one_block_gives(spark, edge_rows):
+    rng = random.Random(12)
+    items = [" ".join(words(rng, 20)) for _ in range(6)] + ["one", "tiny item"]
+    rows = [*edge_rows, *[(100 + i, " ".join(words(rng, 30)) + " " + t + " " + " ".join(words(rng, 30))) for i, t in enumerate(items)],
+            (300, " ".join(words(rng, 80))), (301, "tiny item!"), (None, items[0])]
+    docs = documents(spark, rows)
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(D.find_contamination(docs, bench, block_chars=150)) == key(D.find_contamination(docs, bench))
+    kept = D.drop_contaminated(docs, bench, block_chars=150)
+    assert kept.columns == docs.columns and key(kept) == key(D.drop_contaminated(docs, bench))
+    # Short items are reported, and drop no text on their own that is much more than they are.
+    ids = {r.doc_id for r in kept.collect()}
+    assert {106, 107, 300} <= ids and not {100, 101, 102, 103, 104, 105, 301, 7} & ids
+    assert {106, 107, 301} <= {r.doc_id for r in D.find_contamination(docs, bench).where("item_id >= 6").collect()}

@@ -46,7 +46,7 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path, edge_rows):
 def test_registered():
     import __spark_entry__ as E
     assert E.queries()["pipeline"] is P.run
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
