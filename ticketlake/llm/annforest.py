@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import ship_package
-from .blocks import cut
+from .blocks import bucket_count, cut
 
 TREES = 16
 LEAF = 64
@@ -174,7 +174,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
     of_vector = Window.partitionBy("vec").orderBy("id")
     index = cut(rows.where(F.size("vec") == dim).withColumn("nth", F.row_number().over(of_vector)).where(F.col("nth") <= k + 1)
                 .groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("row", F.xxhash64("vec")))
-    asked = asked.where(F.size("vec") == dim)
+    # The queries are few bytes but much work: they go to as many tasks as a shuffle has.
+    asked = asked.where(F.size("vec") == dim).repartition(bucket_count(spark), "id")
     top = index.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
 
     def lift(x: np.ndarray) -> np.ndarray:
