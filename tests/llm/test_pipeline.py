@@ -3,7 +3,7 @@ import random
 import corpus_pipeline as P
 from ticketlake.llm.queries import ORACLES, QUERIES
 
-from .conftest import documents, words
+from .conftest import SF001, documents, words
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path, edge_rows):
@@ -79,3 +79,49 @@ def test_rows_are_judged_for_their_own_text(spark, tmp_path):
     rows += [(900, bad), (900, one), (None, bad), (None, two)]
     left = {(r.doc_id, r.text) for r in P.toxicity(spark, documents(spark, rows), str(tmp_path)).collect()}
     assert {(900, one), (None, two)} <= left and not {(900, bad), (None, bad)} & left
+
+
+def test_stages_by_definition(spark):
+    """The chain on a whole small table, every stage recomputed from its own input in plain Python."""
+    from ticketlake.llm import decontam as D
+
+    from .test_linededup import by_definition as deduplicated
+    from .test_neardup import classes_by_definition
+    from .test_toxicity import scores_by_definition
+    table = lambda name: spark.read.parquet(f"{SF001}/{name}.parquet")
+    now = table("documents")
+    text_of = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    stages = dict(P.STAGES)
+
+    rows = text_of(now)
+    labels = [(r.doc_id, r.toxic) for r in table("labels").collect()]
+    now = stages["toxicity"](spark, now, SF001).checkpoint()
+    scores = scores_by_definition(rows, labels)
+    assert min(abs(s - 0.5) for _, s in scores) > 1e-3  # no score on the edge
+    assert text_of(now) == [r for r, (_, s) in zip(rows, scores) if s < 0.5]
+
+    rows = text_of(now)
+    now = stages["line_dedup"](spark, now, SF001).checkpoint()
+    assert text_of(now) == sorted(deduplicated(rows))
+
+    rows = text_of(now)
+    now = stages["near_dedup"](spark, now, SF001).checkpoint()
+    classes = classes_by_definition(rows)
+    assert text_of(now) == [(i, t) for i, t in rows if classes[i] == i]
+
+    rows = text_of(now)
+    items = [D.normal(r.text) for r in table("benchmark").collect()]
+
+    def holds(text):
+        for item in items:
+            edits = int(len(item) * D.RATE)
+            if item and D.best_end(D.masks_of(item), len(item), text, edits):
+                return True
+        return False
+
+    now = stages["decontamination"](spark, now, SF001).checkpoint()
+    assert min(map(len, items)) > 1 / D.RATE
+    assert text_of(now) == [(i, t) for i, t in rows if not holds(D.normal(t))]
+
+    packed = stages["packing"](spark, now, SF001)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in now.collect()}
