@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import fresh
+from .blocks import cut, fresh
 
 DEPTH = 3
 SEGMENTS = 4
@@ -47,7 +47,7 @@ def template_keys(lead: Column, rest: list[Column], n: Column) -> Column:
 
 
 def line_templates(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, own, pos, key): a row per line and template, lines from 0; ``own`` is the hash of the row's text."""
+    """(doc, own, pos, keys): a row per line with its template keys, lines from 0; ``own`` is the hash of the row's text."""
     lines = docs.where(F.col(doc).isNotNull()).select(
         F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("own"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
     line = F.trim(F.col("line"), F.lit(BLANKS))
@@ -60,12 +60,13 @@ def line_templates(docs: DataFrame, doc: str, text: str) -> DataFrame:
         "doc", "own", "pos", "n", F.xxhash64(F.slice("tokens", 1, DEPTH)).alias("lead"),
         *[F.xxhash64(F.slice("tokens", cuts[i] + 1, cuts[i + 1] - cuts[i])).alias(f"s{i}") for i in range(SEGMENTS)])
     keys = template_keys(F.col("lead"), [F.col(f"s{i}") for i in range(SEGMENTS)], F.col("n"))
-    return parts.select("doc", "own", "pos", F.explode(keys).alias("key"))
+    return parts.select("doc", "own", "pos", keys.alias("keys"))
 
 
 def drop_recurring_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``; adds n_lines and n_dropped."""
-    keyed = line_templates(docs, doc, text)
+    # Lines are parsed once; the keys are read again from the checkpoint.
+    keyed = cut(line_templates(docs, doc, text)).select("doc", "own", "pos", F.explode("keys").alias("key"))
     recurring = (keyed.groupBy("key").agg(F.min("doc").alias("home"), F.max("doc").alias("last"))
                  .where("home < last").select("key", "home"))
     drop = fresh(docs.columns, "_drop")
