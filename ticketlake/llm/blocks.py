@@ -13,6 +13,7 @@ one entry per block in one bucket.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -55,7 +56,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def blocks(batches: Iterable[pa.RecordBatch], docs: int = BLOCK_DOCS, chars: int = BLOCK_CHARS,
            text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into slices of bounded rows and characters (a longer text stands alone)."""
+    """Arrow batches cut into slices of bounded rows and characters (a longer text stands alone).
+
+    After the last one the worker gives back the memory that it holds unused.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start, room = 0, 0
@@ -66,6 +70,33 @@ def blocks(batches: Iterable[pa.RecordBatch], docs: int = BLOCK_DOCS, chars: int
             room += int(n)
         if start < len(batch):
             yield batch.slice(start)
+    give_back()
+
+
+# A Python worker serves the tasks of one stage after the other: what an operator
+# remembers from task to task is forgotten when another one's tasks come.
+_WORKER_CACHES: list = []
+
+
+def worker_cache(cache):
+    """Registers something with ``clear()`` that a worker keeps between tasks."""
+    _WORKER_CACHES.append(cache)
+    return cache
+
+
+def claim(mine) -> None:
+    """To be called by a task that uses the cache ``mine``: clears those of other operators."""
+    for cache in _WORKER_CACHES:
+        if cache is not mine:
+            cache.clear()
+
+
+def give_back() -> None:
+    """Returns freed memory of Arrow and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 class Numbered(dict):

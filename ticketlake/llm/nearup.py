@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import sized_broadcast
-from .blocks import blocks, cut, texts_of
+from .blocks import blocks, claim, cut, texts_of, worker_cache
 from .graph import components
 
 SHINGLE = 5
@@ -72,7 +72,7 @@ class WordHash(dict):
         return h
 
 
-_HASH = WordHash()
+_HASH = worker_cache(WordHash())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,6 +92,7 @@ _PLACE = [np.uint64((2 * k + 1) * GOLDEN & MASK) for k in range(SHINGLE)]
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed shingles of all texts and the text each belongs to, with repeats."""
+    claim(_HASH)
     lists = [WORD.findall(t.lower()) for t in texts]
     sizes = np.array([len(w) for w in lists], np.int64)
     total = int(sizes.sum())
@@ -271,7 +272,7 @@ def verified(pairs: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def check(batches):
-        for part in blocks(batches, docs=512, text="ta"):
+        for part in blocks(batches, docs=512, chars=2_000_000, text="ta"):
             j = jaccard_of(part.column("ta").to_pylist(), part.column("tb").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(j)],
                                              ["a", "b", "similarity"]).filter(pa.array(j >= at_least))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import blocks, cut, spark_conf_int, texts_of
+from .blocks import blocks, claim, cut, spark_conf_int, texts_of, worker_cache
 from .tokencount import tokenizer
 
 CAPACITY = 4096
@@ -89,12 +89,13 @@ class WordIds(dict):
 
 @cache
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return worker_cache(WordIds(path))
 
 
 def id_bytes(texts: list[str], path: str, end_id: int) -> list[bytes]:
     """All ids of each text and the end id, little-endian uint32."""
     known = word_ids(path)
+    claim(known)
     words = [known.split(t) for t in texts]
     known.learn(set().union(*words))
     end = end_id.to_bytes(4, "little")

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import sized_broadcast
-from .blocks import ROWS_OUT, SUMS, Numbered, add_blocks, blocks, bucket_count, bucket_sums, cut, packed_frequencies, texts_of
+from .blocks import ROWS_OUT, SUMS, Numbered, add_blocks, blocks, bucket_count, bucket_sums, claim, cut, packed_frequencies, texts_of, worker_cache
 from .nearup import WordHash
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -60,7 +60,7 @@ LABELS_BROADCAST_ROWS = 1_000_000
 # Rows the curve is fitted on at most, the first by hash of doc_id.
 FIT_ROWS = 200_000
 
-_HASH = WordHash()
+_HASH = worker_cache(WordHash())
 
 
 def fold(doc_id):
@@ -69,6 +69,7 @@ def fold(doc_id):
 
 def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
     """(word number, text it is in, 64-bit key per number, words per text) of a slice."""
+    claim(_HASH)
     number, ids, lens = Numbered(), [], []
     for t in part.column("text").to_pylist():
         found = [w[:STEM] for w in WORD.findall(t.lower())]
