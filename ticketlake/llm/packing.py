@@ -43,6 +43,8 @@ LP_GAP = 1e-4
 CACHE_ENTRIES = 800_000
 # Characters below this code point stay below it in lower case.
 PLAIN_BELOW = 0x180
+# Pre-tokens encoded as one text.
+LEARNED_AT_ONCE = 100
 # Sub-groups of a class while ranking, so that a hot length is many groups.
 RANK_BUCKETS = 64
 
@@ -63,28 +65,56 @@ class WordIds(dict):
     the parts between blanks and line feeds are looked at one by one: no
     pre-token crosses white space, and the normalizer looks no further than a
     character and its marks; a part that is not plain is encoded as it is.
+
+    Plain pre-tokens are learned many at once, as one text with blanks between:
+    the last id of a pre-token is one that ends words, so the ids can be told apart.
     """
 
+    ascii = bytes([9, 10, 13, *range(32, 127)])
     other = re.compile(f"[^\t\n\r -~\xa1-{chr(PLAIN_BELOW - 1)}]|<\\|")
     words = plain_words()
 
     def __init__(self, path: str):
         super().__init__()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tok = tokenizer(path)
+        # Plain pre-tokens need no normalizer, and blanks alone part them.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(self.tok.model.end_of_word_suffix)]] = True
+
+    def plain(self, text: str) -> bool:
+        if text.isascii():
+            return not text.encode().translate(None, self.ascii) and "<|" not in text
+        return self.other.search(text) is None
 
     def split(self, text: str) -> list[str]:
-        if self.other.search(text) is None:
+        if self.plain(text):
             return self.words.findall(text.lower())
         parts = text.replace("\n", " ").split(" ")
-        return [w for p in parts for w in ([p] if self.other.search(p) else self.words.findall(p.lower()))]
+        return [w for p in parts for w in (self.words.findall(p.lower()) if self.plain(p) else [p])]
 
     def learn(self, words: set[str]) -> None:
         """Encodes what is missing in one call; a cache over its bound starts anew."""
         if len(self) > CACHE_ENTRIES:
             self.clear()
-        missing = list(words.difference(self))
-        for w, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+        missing = words.difference(self)
+        alone = [w for w in missing if not self.plain(w)]
+        for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        rest = list(missing.difference(alone))
+        for at in range(0, len(rest), LEARNED_AT_ONCE):
+            some = rest[at:at + LEARNED_AT_ONCE]
+            [encoded] = self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4")
+            data, start = ids.tobytes(), 0
+            for w, end in zip(some, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                self[w] = data[start:end]
+                start = end
 
 
 @cache
