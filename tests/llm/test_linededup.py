@@ -10,31 +10,32 @@ from .conftest import CLASHING, SF001, documents
 
 def by_definition(rows):
     """Texts by position after dropping recurring lines."""
-    def keys(line):
-        line = line.strip(L.BLANKS)
-        toks = re.split("[ \t\r\f]+", re.sub("[^ \t\r\f]*[0-9][^ \t\r\f]*", "<*>", line))
-        n = len(toks)
-        if n < L.SHORT:
-            return []
-        out = [(-1, n, tuple(toks))]
-        if n >= L.GENERAL:
-            cuts = [L.DEPTH + (n - L.DEPTH) * i // L.SEGMENTS for i in range(L.SEGMENTS + 1)]
-            out += [(i, n, tuple(toks[:cuts[i]] + toks[cuts[i + 1]:])) for i in range(L.SEGMENTS)]
-        return out
-
-    held = {}
+    def wording(line):
+        return tuple(re.split("[ \t\r\f]+", re.sub("[^ \t\r\f]*[0-9][^ \t\r\f]*", "<*>", line.strip(L.BLANKS))))
+
+    def templates(w):
+        rest = len(w) - L.DEPTH
+        strips = max(2 * L.SEGMENTS, 2 * -(-rest // L.FIELD))
+        cuts = [L.DEPTH + rest * j // strips for j in range(strips + 1)]
+        return [(j, len(w), w[:cuts[j]] + w[cuts[j + 2]:]) for j in range(strips - 1)] if len(w) >= L.GENERAL else []
+
+    home, under = {}, {}
     for i, t in rows:
-        if i is not None and t is not None:
-            for line in t.split("\n"):
-                for k in keys(line):
-                    held.setdefault(k, set()).add(i)
-    gone = {}
+        for line in (t or "").split("\n") if i is not None else []:
+            if len(wording(line)) >= L.SHORT:
+                home[wording(line)] = min(i, home.get(wording(line), i))
+    for w in home:
+        for k in templates(w):
+            under.setdefault(k, []).append(w)
+    least = {k: min(home[w] for w in ws) for k, ws in under.items()}
+    firm = {w for w in home if all(least[k] == home[w] for k in templates(w))}
+    goes = {w for w in home if any(least[k] < home[w] and any(v in firm and home[v] == least[k] for v in under[k]) for k in templates(w))}
+    out = []
     for i, t in rows:
         if i is not None and t is not None:
-            for p, line in enumerate(t.split("\n")):
-                if any(len(held[k]) > 1 and i != min(held[k]) for k in keys(line)):
-                    gone.setdefault(i, set()).add(p)
-    return [(i, t if t is None or i not in gone else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i])) for i, t in rows]
+            t = "\n".join(x for x in t.split("\n") if wording(x) not in home or (home[wording(x)] == i and wording(x) not in goes))
+        out.append((i, t))
+    return out
 
 
 ROWS = [(1, "keep this line here\nUser 17 logged in at 10:30 today\nThe end of one"),
@@ -78,3 +79,52 @@ def test_rows_of_one_id_lose_their_own_lines(spark):
     rows = [(1, "a line of boiler plate"), (2, "x of its own\na line of boiler plate"), (2, "a line of boiler plate\ny of its own")]
     got = sorted(r.text for r in L.drop_recurring_lines(documents(spark, rows)).where("doc_id = 2").collect())
     assert got == ["x of its own", "y of its own"]
+
+
+WORDS = [f"{a}{b}" for a in "bcdfghjk" for b in ("an", "el", "ir", "os", "ut", "ay", "em", "il", "on", "ur")]
+
+
+def changed(words, at, by):
+    return " ".join([*words[:at], *by, *words[at + len(by):]])
+
+
+def test_a_field_is_found_wherever_it_lies(spark):
+    first = " ".join(WORDS)
+    rows = [(1, first)] + [(2 + at, changed(WORDS, at, ["one", "other", "name"])) for at in range(L.DEPTH, len(WORDS) - 2)]
+    got = {r.doc_id: r.text for r in L.drop_recurring_lines(documents(spark, rows)).collect()}
+    assert got == dict(by_definition(rows)) == {i: first if i == 1 else "" for i, _ in rows}
+
+
+def test_chains_and_unique_stretches_keep_their_words(spark):
+    chain = [(1, " ".join(WORDS)), (2, changed(WORDS, 20, ["one", "two"])),
+             (3, changed(changed(WORDS, 20, ["one", "two"]).split(), 60, ["three", "four"]))]
+    long = [(4, "start of it " + " ".join(WORDS)), (5, "start of it " + changed(WORDS, 30, [f"own{w}" for w in WORDS[:20]]))]
+    for rows in (chain, long, chain + long):
+        got = dict((r.doc_id, r.text) for r in L.drop_recurring_lines(documents(spark, rows)).collect())
+        assert got == dict(by_definition(rows))
+    assert got[1] == chain[0][1] and got[2] == ""
+    assert got[3] == chain[2][1]  # its only template leads to a line that goes
+    assert got[4] == long[0][1] and got[5] == long[1][1]  # 20 words of its own are no field
+
+
+def test_lost_words_are_bounded(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").collect()]
+    kept = {r.doc_id: r.text for r in L.drop_recurring_lines(documents(spark, rows)).collect()}
+    assert kept == dict(by_definition(rows))
+    stay = {}
+    for t in kept.values():
+        for line in (t or "").split("\n"):
+            w = re.split("[ \t\r\f]+", re.sub("[^ \t\r\f]*[0-9][^ \t\r\f]*", "<*>", line.strip(L.BLANKS)))
+            stay.setdefault((len(w), *w[:L.DEPTH]), []).append(w)
+    for i, t in rows:
+        left = (kept[i] or "").split("\n")
+        for line in (t or "").split("\n"):
+            if line not in left:
+                w = re.split("[ \t\r\f]+", re.sub("[^ \t\r\f]*[0-9][^ \t\r\f]*", "<*>", line.strip(L.BLANKS)))
+                assert min(sum(x != y for x, y in zip(w, v, strict=True)) for v in stay[(len(w), *w[:L.DEPTH])]) <= L.FIELD
+
+
+def test_many_lines_in_one_text(spark):
+    text = "\n".join(f"line {w} has words of its own {v}" for w in WORDS for v in WORDS * 10)
+    got = {r.doc_id: r.n_dropped for r in L.drop_recurring_lines(documents(spark, [(1, text), (2, text + "\nlast line of two")])).collect()}
+    assert got == {1: 0, 2: 64000}
