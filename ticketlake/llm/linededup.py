@@ -76,8 +76,10 @@ def template_keys(tokens: Column, n: Column, leaf: Column) -> Column:
 
 def line_templates(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """A row per line: doc, ``own`` (hash of the row's text), pos (from 0), leaf, wording, and the keys of its templates."""
-    lines = docs.where(F.col(doc).isNotNull()).select(
-        F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("own"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+    # The text is hashed and split below the explode, so no line carries it.
+    split = docs.where(F.col(doc).isNotNull()).select(
+        F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("own"), F.split(F.col(text), "\n").alias("lines"))
+    lines = split.select("doc", "own", F.posexplode("lines").alias("pos", "line"))
     line = F.trim(F.col("line"), F.lit(BLANKS))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace(line, f"[^{BLANKS}]*[0-9][^{BLANKS}]*", "<*>")).otherwise(line)
     tokens = lines.select("doc", "own", "pos", F.split(masked, f"[{BLANKS}]+").alias("tokens")).withColumn("n", F.size("tokens")).where(
