@@ -107,3 +107,16 @@ def test_approx_recall_and_candidates(spark):
     score = {(r["query_id"], r["vec_id"]): r["score"] for r in found}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert all(abs(s - unit[a] @ unit[b]) < 1e-4 for (a, b), s in score.items())
+
+
+def test_normalising_takes_one_pass(spark):
+    """The length of a vector is computed once, not once for every number of it."""
+    import time
+
+    from ticketlake.functions.vectors import l2_normalize
+    df = spark.range(4).select("id", F.expr("transform(sequence(1, 20000), x -> cast(x as double))").alias("v"))
+    began = time.monotonic()
+    got = df.select(l2_normalize(F.col("v")).alias("u")).select(F.expr("aggregate(u, 0D, (a, x) -> a + x * x)").alias("n")).collect()
+    assert time.monotonic() - began < 5 and all(abs(r["n"] - 1) < 1e-9 for r in got)
+    odd = spark.createDataFrame([([0.0, 0.0],), (None,), ([],), ([3.0, None],)], "v array<double>").select(l2_normalize(F.col("v"))).collect()
+    assert [r[0] for r in odd] == [[0.0, 0.0], None, [], [3.0, None]]
