@@ -70,3 +70,25 @@ def test_frequent_terms_do_not_bring_up_every_text(data):
     # A query of the three most frequent words meets nearly every text, but few can win.
     assert holding[0] > 0.8 * len(corpus) and n[0] < 0.25 * holding[0]
     assert sum(n.values()) < 0.35 * sum(holding.values())
+
+
+def test_postings_of_the_queries_terms_weigh_by_all_terms(spark, data, monkeypatch):
+    """Lengths count common and rare terms and terms no query has; postings lie by key, and sums per text move nothing."""
+    queries, corpus, q, c = data
+    monkeypatch.setattr(S, "COMMON_TERMS", 50)
+    idf = S.smooth_idf(c, "text")
+    asked = S.reliable_checkpoint(S.unit_weights(S.term_counts(q.where("key < 4"), "key", "text"), idf).withColumnsRenamed({"key": "q", "w": "wq"}))
+    kept = S.keep_postings(asked, c.repartition(3), idf)
+    terms = {r["term"] for r in asked.select("term").distinct().collect()}
+    want = {(r["key"], r["term"]): r["w"] for r in S.unit_weights(S.term_counts(c, "key", "text"), idf).collect() if r["term"] in terms}
+    got = {(r["key"], r["term"]): r["w"] for r in kept.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    sums = kept.join(F.broadcast(asked), "term").groupBy("q", "key").agg(F.sum("w"))
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_idf_counts_rows(spark):
+    rows = spark.createDataFrame([("aa bb aa",), ("aa bb aa",), ("bb cc",), (None,)], "text string")
+    got = {r["term"]: r["idf"] for r in S.smooth_idf(rows, "text").collect()}
+    assert {t: round(x, 12) for t, x in got.items()} == {t: round(math.log(5 / (1 + n)) + 1, 12) for t, n in {"aa": 2, "bb": 3, "cc": 1}.items()}

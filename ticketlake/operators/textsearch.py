@@ -16,14 +16,20 @@ every text, and lose nothing:
 3. The postings of the remaining blocks are added up per text.  What its unread
    postings can add is bounded term by term, and by the lengths of what is left of
    query and text; texts that cannot reach t go, the others are scored in full.
+
+Postings are kept of the queries' terms, one row a text in files bucketed by the text's
+key (:func:`keep_postings`), so that what is added up per text is not shuffled.  The
+lengths of the texts' vectors are over all their terms.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import reliable_checkpoint
+from ..plans.session import ensure_checkpoint_dir, reliable_checkpoint, sized_broadcast
 
 WORDS = r"(?U)\b\w\w+\b"
 BLOCKS = 64
@@ -33,6 +39,10 @@ TRIED = 10
 # Ways to read: the share of the lower bound that terms left out altogether may add up to,
 # and that everything unread may.
 CHOICES = ((1.0, 1.0), (0.0, 1.0), (0.5, 0.5), (0.0, 0.5), (0.25, 0.25), (0.0, 0.25), (0.0, 0.0))
+# Most terms whose idf every task holds; the texts' other terms meet theirs in a join by shuffle.
+COMMON_TERMS = 65_536
+# Rows of the queries' side up to which it is broadcast.
+SMALL_SIDE = 1_000_000
 # Bounds give way by more than rounding.
 SLACK = 1e-9
 
@@ -53,9 +63,8 @@ def unit_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
 
 def smooth_idf(corpus: DataFrame, text: str) -> DataFrame:
     """(term, idf) with ln((1 + n) / (1 + df)) + 1 over all rows of the corpus, equal texts counted each."""
-    grouped = corpus.groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))
-    df = grouped.select("n", F.explode(words).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORDS), F.lit(0)))
+    df = corpus.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rows = corpus.agg(F.count(F.lit(1)).alias("n_rows"))
     return df.crossJoin(F.broadcast(rows)).select(  # one row
         "term", (F.log((F.lit(1.0) + F.col("n_rows")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
@@ -63,7 +72,7 @@ def smooth_idf(corpus: DataFrame, text: str) -> DataFrame:
 
 def posting_blocks(postings: DataFrame) -> DataFrame:
     """(term, key, w) with the term's ``most`` weight and the posting's ``block``, BLOCKS for the heaviest."""
-    most = postings.groupBy("term").agg(F.max("w").alias("most"))
+    most = sized_broadcast(reliable_checkpoint(postings.groupBy("term").agg(F.max("w").alias("most"))), SMALL_SIDE)
     return postings.join(most, "term").withColumn("block", F.floor(F.lit(float(BLOCKS)) * F.col("w") / F.col("most")).cast("int"))
 
 
@@ -81,13 +90,13 @@ def candidate_pairs(q: DataFrame, blocked: DataFrame, k: int, head: int = HEAD)
     q: (q, term, wq); blocked: postings with blocks.
     """
     sizes = reliable_checkpoint(block_sizes(blocked))
-    heavy = sizes.where(F.col("above") < head).select("term", "block")
-    partial = (q.join(blocked.join(heavy, ["term", "block"]), "term")
+    heavy = sized_broadcast(sizes.where(F.col("above") < head).select("term", "block"), SMALL_SIDE)
+    partial = (blocked.join(heavy, ["term", "block"]).join(sized_broadcast(q, SMALL_SIDE), "term")
                .groupBy("q", "key").agg(F.sum(F.col("wq") * F.col("w")).alias("score")))
     best = Window.partitionBy("q").orderBy(F.desc("score"))
     # The most promising of them are scored in full.
-    tried = partial.withColumn("n", F.row_number().over(best)).where(F.col("n") <= TRIED * k).select("q", "key")
-    exact = (tried.join(q, "q").join(blocked.select("key", "term", "w"), ["key", "term"])
+    tried = reliable_checkpoint(partial.withColumn("n", F.row_number().over(best)).where(F.col("n") <= TRIED * k).select("q", "key"))
+    exact = (blocked.select("key", "term", "w").join(sized_broadcast(tried.join(q, "q"), SMALL_SIDE), ["key", "term"])
              .groupBy("q", "key").agg(F.sum(F.col("wq") * F.col("w")).alias("score")))
     at_least = (exact.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
                 .groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("t")).where(F.col("n") == k).select("q", "t"))
@@ -123,12 +132,48 @@ def candidate_pairs(q: DataFrame, blocked: DataFrame, k: int, head: int = HEAD)
     totals = plan.groupBy("q").agg(F.sum("unread").alias("all_unread"), F.sum(F.col("wq") * F.col("wq")).alias("all_q2"), F.max("t").alias("t"))
     wanted = (plan.where("from_block IS NOT NULL").join(sizes.select("term", "block"), "term").where("block >= from_block")
               .select("q", "term", "block", "wq", "unread"))
-    seen = (wanted.join(blocked.select("term", "block", "key", "w"), ["term", "block"]).groupBy("q", "key").agg(
+    seen = (blocked.select("term", "block", "key", "w").join(sized_broadcast(wanted, SMALL_SIDE), ["term", "block"]).groupBy("q", "key").agg(
         F.sum(F.col("wq") * F.col("w")).alias("known"), F.sum("unread").alias("less"),
         F.sum(F.col("wq") * F.col("wq")).alias("q2"), F.sum(F.col("w") * F.col("w")).alias("w2")))
     rest = F.least(F.col("all_unread") - F.col("less"), F.sqrt(F.greatest(F.lit(0.0), F.col("all_q2") - F.col("q2")))
                    * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("w2"))))
-    return seen.join(totals, "q").where(F.col("known") + rest >= F.col("t") - SLACK).select("q", "key")
+    return seen.join(sized_broadcast(totals, SMALL_SIDE), "q").where(F.col("known") + rest >= F.col("t") - SLACK).select("q", "key")
+
+
+def written(df: DataFrame, kind: str, key: str | None = None) -> DataFrame:
+    """df from columnar files in the shared checkpoint folder; with ``key`` in a bucket for each shuffle partition."""
+    spark = df.sparkSession
+    tag = f"{kind}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}"
+    if key is None:
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(tag)
+    return spark.table(tag)
+
+
+def keep_postings(q: DataFrame, corpus: DataFrame, idf: DataFrame) -> DataFrame:
+    """(key, term, w) of the queries' terms, w as of :func:`unit_weights`, from a table of one row a text.
+
+    idf: written.  One pass over the texts: the idf of the most frequent terms is at hand, so
+    that only the rare ones are shuffled for the lengths.
+    """
+    common = F.broadcast(idf.orderBy("idf", "term").limit(COMMON_TERMS))  # bounded by COMMON_TERMS
+    asked = sized_broadcast(q.select("term").distinct().withColumn("asked", F.lit(True)), SMALL_SIDE)
+    counts = term_counts(corpus.repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"), "key", "text")
+    one = F.struct("term", "tf")
+    texts = written(counts.join(common, "term", "left").join(asked, "term", "left").groupBy("key").agg(
+        F.coalesce(F.sum(F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf")), F.lit(0.0)).alias("common2"),
+        F.collect_list(F.when(F.col("asked"), one)).alias("held"),
+        F.collect_list(F.when(F.col("idf").isNull(), one)).alias("rare")), "texts", "key")
+    rare = (texts.select("key", F.inline("rare")).join(idf, "term").groupBy("key")
+            .agg(F.sum(F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf")).alias("rare2")))
+    sized = texts.select("key", "common2", "held").where(F.size("held") > 0).join(rare, "key", "left").select(
+        "key", F.sqrt(F.col("common2") + F.coalesce("rare2", F.lit(0.0))).alias("norm"), "held")
+    kept = written(sized, "postings", "key").select("key", "norm", F.inline("held"))
+    weight = sized_broadcast(reliable_checkpoint(idf.join(asked.select("term"), "term", "left_semi")), SMALL_SIDE)
+    return kept.join(weight, "term").select("key", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"))
 
 
 def top_k_texts(queries: DataFrame, corpus: DataFrame, idf: DataFrame, k: int, head: int = HEAD) -> DataFrame:
@@ -136,10 +181,13 @@ def top_k_texts(queries: DataFrame, corpus: DataFrame, idf: DataFrame, k: int, h
 
     queries: (key, text); corpus: (key, text, first_id), one row per key.
     """
+    idf = written(idf, "idf")
     q = reliable_checkpoint(unit_weights(term_counts(queries, "key", "text"), idf).withColumnsRenamed({"key": "q", "w": "wq"}))
-    c = reliable_checkpoint(posting_blocks(unit_weights(term_counts(corpus, "key", "text"), idf)))
-    candidates = candidate_pairs(q, c, k, head)
-    scored = (candidates.join(q, "q").join(c.select("key", "term", "w"), ["key", "term"]).groupBy("q", "key")
+    c = posting_blocks(keep_postings(q, corpus, idf))
+    candidates = reliable_checkpoint(candidate_pairs(q, c, k, head))
+    # Of the texts that are candidates, the postings are few.
+    few = c.select("key", "term", "w").join(sized_broadcast(candidates.select("key").distinct(), SMALL_SIDE), "key", "left_semi")
+    scored = (few.join(candidates, "key").join(sized_broadcast(q, SMALL_SIDE), ["q", "term"]).groupBy("q", "key")
               .agg(F.round(F.sum(F.col("wq") * F.col("w")), 10).alias("score")))
     ranked = scored.join(corpus.select("key", "first_id"), "key").withColumn(
         "n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first_id")))

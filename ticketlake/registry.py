@@ -1322,11 +1322,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 @register("g1_documents", _GD + f"SELECT item_id, rank, doc_id, {_or2('score', 4)} AS score FROM r WHERE rank <= 3", layers=False)
 def q_g1_documents(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    texts = docs.groupBy("text").agg(F.min("doc_id").alias("first_id")).select(F.md5("text").alias("key"), "text", "first_id")
+    texts = docs.groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.min("doc_id").alias("first_id"))
     items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text")
     found = textsearch.top_k_texts(items, texts, textsearch.smooth_idf(docs, "text"), 3)
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return (found.join(texts, "key").select(F.col("query_key").alias("item_id"), F.col("first_id").alias("doc_id"), "score")
+    return (found.join(texts.select("key", "first_id"), "key").select(F.col("query_key").alias("item_id"), F.col("first_id").alias("doc_id"), "score")
             .withColumn("rank", F.row_number().over(w).cast("long")).select("item_id", "rank", "doc_id", search.round_half_up("score", 4).alias("score")))
 
 
